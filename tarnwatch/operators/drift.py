@@ -65,7 +65,10 @@ def binned_wasserstein(reference: Column, current: Column, edges: Column) -> Col
 # --- quality ---------------------------------------------------------------
 
 def numeric_counts(windows: DataFrame, profile: Profile, by: Sequence[str]) -> DataFrame:
-    """One row per window and numeric feature: validity counts and histogram."""
+    """Validity and bin counts: (by..., feature, bin, rows, missing, invalid, n, out_of_range).
+
+    Plain counts, so they can be taken on a stream as well and added up later.
+    """
     edges = profile.edges()
 
     def outside(row: dict) -> Column:
@@ -73,18 +76,13 @@ def numeric_counts(windows: DataFrame, profile: Profile, by: Sequence[str]) -> D
         return (value < row["min"]) | (value > row["max"])
 
     cells = binned(windows, edges, by, extra={row["feature"]: outside(row) for row in profile.numeric})
-    partial = cells.groupBy(*by, "feature", "bin").agg(
+    return cells.groupBy(*by, "feature", "bin").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("missing")).alias("missing"),
         F.count_if(F.col("invalid")).alias("invalid"),
         F.count("value").alias("n"),
         F.count_if(F.col("flag")).alias("out_of_range"),
     )
-    return partial.groupBy(*by, "feature").agg(
-        F.sum("rows").alias("n"), F.sum("missing").alias("n_missing"), F.sum("invalid").alias("n_invalid"),
-        F.sum("n").alias("n_valid"), F.sum("out_of_range").alias("n_out_of_range"),
-        count_array(max(len(e) for e in edges.values()) - 1).alias("all_counts"),
-    )
 
 
 def _rate(count: str) -> Column:
@@ -95,8 +93,12 @@ def _quality_status(increases: Sequence[Column], policy: DriftPolicy) -> Column:
     return ladder(F.greatest(F.lit(0.0), *increases), policy.quality_increase)
 
 
-def numeric_evidence(windows: DataFrame, profile: Profile, policy: DriftPolicy, by: Sequence[str]) -> DataFrame:
-    counts = numeric_counts(windows, profile, by)
+def numeric_evidence(counts: DataFrame, profile: Profile, policy: DriftPolicy, by: Sequence[str]) -> DataFrame:
+    """PSI and Wasserstein distance from `numeric_counts`, one row per window and feature."""
+    counts = counts.groupBy(*by, "feature").agg(
+        F.sum("rows").alias("n"), F.sum("missing").alias("n_missing"), F.sum("invalid").alias("n_invalid"),
+        F.sum("n").alias("n_valid"), F.sum("out_of_range").alias("n_out_of_range"),
+        count_array(max(len(e) for e in profile.edges().values()) - 1).alias("all_counts"))
     frozen = profile.numeric_table().select(
         "feature", F.col("missing_rate").alias("baseline_missing_rate"), "edges",
         F.transform("counts", lambda c: c.cast("double")).alias("reference"))
@@ -128,8 +130,8 @@ def numeric_evidence(windows: DataFrame, profile: Profile, policy: DriftPolicy,
     )
 
 
-def categorical_evidence(windows: DataFrame, profile: Profile, policy: DriftPolicy, by: Sequence[str]) -> DataFrame:
-    """Jensen-Shannon and chi-square per window and feature.
+def categorical_evidence(counts: DataFrame, profile: Profile, policy: DriftPolicy, by: Sequence[str]) -> DataFrame:
+    """Jensen-Shannon and chi-square per window and feature, from `category_counts`.
 
     Categories absent from a window are never materialised: their part of every
     sum follows from the reference mass that was not met.
@@ -138,7 +140,7 @@ def categorical_evidence(windows: DataFrame, profile: Profile, policy: DriftPoli
         "feature", F.col("n").alias("reference_n"), F.col("missing_rate").alias("baseline_missing_rate"),
         "n_categories", "smallest", "literal_unknown")
     known = profile.categories.select("feature", "category", F.col("n").alias("r"))
-    counts = category_counts(windows, profile.categorical_features, by).join(known, ["feature", "category"], "left")
+    counts = counts.join(known, ["feature", "category"], "left")
     is_unknown = F.col("r").isNull()
     # A known category that is literally called like the unknown cell is counted in no cell.
     in_cell = ~is_unknown & (F.col("category") != UNKNOWN_CATEGORY)
@@ -229,9 +231,15 @@ def feature_evidence(windows: DataFrame, profile: Profile, policy: DriftPolicy =
     """Quality and drift of every feature in every window, one row each."""
     parts = []
     if profile.numeric_features:
-        parts.append(numeric_evidence(windows, profile, policy, by))
+        parts.append(numeric_evidence(numeric_counts(windows, profile, by), profile, policy, by))
     if profile.categorical_features:
-        parts.append(categorical_evidence(windows, profile, policy, by))
+        counts = category_counts(windows, profile.categorical_features, by)
+        parts.append(categorical_evidence(counts, profile, policy, by))
+    return with_status(parts, by)
+
+
+def with_status(parts: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+    """Numeric and categorical evidence together, p-values adjusted, overall status set."""
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     rows = rows.withColumn("p_value", chi_square_p(F.col("chi_square"), F.col("chi_square_degrees")))
     rows = adjust_p_values(rows, "p_value", by)
