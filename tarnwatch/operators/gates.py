@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnwatch.config import GatePolicy
 from tarnwatch.functions.expressions import valid_probability
-from tarnwatch.operators.metrics import ALL, _grouped, full_metrics
+from tarnwatch.operators.metrics import grouped, ungrouped, full_metrics
 from tarnwatch.plans.ordering import quantiles
 
 
@@ -67,7 +67,7 @@ def evaluate(
     by: Sequence[str] = (), champion_score: str | None = None, champion_threshold: float | None = None,
 ) -> DataFrame:
     """One row per group: status, failures, candidate and champion metrics."""
-    df, group = _grouped(df, by)
+    df, group = grouped(df, by)
     verdict = input_verdict(df, label, score, threshold, group, champion_score, champion_threshold)
     usable = df.where(valid_probability(F.col(score).cast("double")) & F.col(label).cast("int").isin(0, 1))
     rows = verdict.join(full_metrics(usable, label, score, threshold, key, policy.ece_bins, group), group, "left")
@@ -83,13 +83,14 @@ def evaluate(
     reason = F.coalesce("verdict", "champion_verdict")
     metrics = [m for m in policy.absolute]
     hidden = F.col("verdict").isNotNull()
-    return rows.select(
+    verdicts = rows.select(
         *group, "n_rows",
         F.when(reason.isNotNull(), "invalid").when(F.size(failures) > 0, "failed").otherwise(passed).alias("status"),
         F.when(reason.isNotNull(), F.array(reason)).otherwise(failures).alias("failures"),
         *[F.when(~hidden, F.col(m)).alias(m) for m in metrics],
         *([F.col(f"champion_{m}") for m in policy.regression] if champion_score else []),
-    ).drop(ALL)
+    )
+    return ungrouped(verdicts, by)
 
 
 def final_status(status: Column, failures: Column) -> Column:

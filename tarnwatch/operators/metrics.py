@@ -22,10 +22,14 @@ from tarnwatch.plans.ordering import (
 ALL = "__all"
 
 
-def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+def grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
+def ungrouped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df if by else df.drop(ALL)
+
+
 def _scored(df: DataFrame, label: str, score: str, by: Sequence[str], *more: Column) -> DataFrame:
     return df.select(
         *by, clean_number(F.col(score)).alias("score"), F.col(label).cast("int").cast("long").alias("pos"), *more,
@@ -43,7 +47,7 @@ def ranked_scores(
     buckets and shifted by the totals of the buckets above, so no task sorts a
     whole group.
     """
-    df, group = _grouped(df, by)
+    df, group = grouped(df, by)
     base = _scored(df, label, score, group)
     splits = split_points(base, {"score": F.col("score")}, buckets)
     placed = with_buckets(base, {"score": "bucket"}, splits)
@@ -81,7 +85,7 @@ def ranking_from(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Step-wise average precision and tie-averaged ROC AUC (null for one class)."""
     group = list(by) or [ALL]
-    return ranking_from(ranked_scores(df, label, score, by, buckets), group).drop(ALL)
+    return ungrouped(ranking_from(ranked_scores(df, label, score, by, buckets), group), by)
 
 
 def precision_recall_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
@@ -146,7 +150,7 @@ def equal_frequency_bins(
     cut further by hash prefix. Every row is then placed by comparing it with the
     few border rows, without a shuffle.
     """
-    df, group = _grouped(df, by)
+    df, group = grouped(df, by)
     base = _scored(df, label, score, group, F.md5(F.col(key).cast("string")).alias("tie"))
     splits = split_points(base, {"score": F.col("score")}, buckets)
     heavy = list(splits["score"].heavy)
@@ -159,8 +163,9 @@ def equal_frequency_bins(
     borders = freeze(border.groupBy(*group).agg(F.collect_list(F.struct("score", "tie")).alias("borders")), "bin-borders")
     passed = F.filter("borders", lambda b: (b["score"] < F.col("score")) | ((b["score"] == F.col("score")) & (b["tie"] <= F.col("tie"))))
     located = base.join(borders, group, "left").withColumn("bin", F.coalesce(F.size(passed), F.lit(0)))
-    return located.groupBy(*group, "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_probability"), F.avg("pos").alias("observed_rate")).drop(ALL)
+    bins_found = located.groupBy(*group, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_probability"), F.avg("pos").alias("observed_rate"))
+    return ungrouped(bins_found, by)
 
 
 def expected_calibration_error(
@@ -176,13 +181,13 @@ def full_metrics(
     buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """All gate metrics, one row per group."""
-    df, group = _grouped(df, by)
-    return (
+    df, group = grouped(df, by)
+    joined = (
         ranking_metrics(df, label, score, group, buckets)
         .join(threshold_metrics(df, label, score, threshold, group), group)
         .join(expected_calibration_error(df, label, score, key, bins, group, buckets), group)
-        .drop(ALL)
     )
+    return ungrouped(joined, by)
 
 
 # --- distances to a raw reference ------------------------------------------------
@@ -203,7 +208,7 @@ def two_sample_distances(
     split = F.abs(ref_above - cur_above)
     # Distance to the next value above: within a bucket by lead, across buckets by the bucket's edge values.
     return _with_step(ranked.withColumn("split", split), group).groupBy(*group).agg(
-        F.max("split").alias("ks"), F.sum(F.col("split") * F.col("step")).alias("wasserstein")).drop(ALL)
+        F.max("split").alias("ks"), F.sum(F.col("split") * F.col("step")).alias("wasserstein")).drop(*([] if by else [ALL]))
 
 
 def _with_step(ranked: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -101,11 +101,11 @@ def evaluate_candidate(
 ) -> DataFrame:
     """Gate a candidate on the test part, rebuilt from keys and seed alone."""
     test = only(stratified_split(df, key=key, stratum=[label], seed=seed, fractions=fractions), "test")
-    rows = score_with_model(candidate.model, test, keep=[*key, label, *[c for c in test.columns if c not in (*key, label)]])
+    rows = score_with_model(candidate.model, test, out="candidate_score", keep=test.columns)
     if champion is not None:
-        rows = score_with_model(champion.model, rows, out="champion_probability", keep=rows.columns)
-    columns = [*key, label, "probability"] + (["champion_probability"] if champion else [])
+        rows = score_with_model(champion.model, rows, out="champion_score", keep=rows.columns)
+    columns = [*key, label, "candidate_score"] + (["champion_score"] if champion else [])
     return evaluate(
-        freeze(rows.select(*columns), "candidate-scores"), label, "probability", candidate.threshold, key[0], policy,
-        champion_score="champion_probability" if champion else None,
+        freeze(rows.select(*columns), "candidate-scores"), label, "candidate_score", candidate.threshold, key[0], policy,
+        champion_score="champion_score" if champion else None,
         champion_threshold=champion.threshold if champion else None)

@@ -45,9 +45,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType)
     return spark.read.schema(schema).json(path)
 
 
-def read_records_document(spark: SparkSession, path: str, record_schema: str, required: Sequence[str]) -> DataFrame:
-    """{"records": [...]} documents to rows that have all required fields."""
-    df = spark.read.schema(f"records array<struct<{_as_struct(record_schema)}>>").option("multiLine", True).json(path)
+def read_records_document(
+    spark: SparkSession, path: str, record_schema: str, required: Sequence[str], one_per_file: bool = True,
+) -> DataFrame:
+    """{"records": [...]} documents, one per file or one per line, to rows that have all required fields."""
+    schema = f"records array<struct<{_as_struct(record_schema)}>>"
+    df = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
     rows = df.select(F.inline("records"))
     for name in required:
         rows = rows.where(F.col(name).isNotNull())
@@ -58,8 +61,16 @@ def _as_struct(ddl: str) -> str:
     return T.StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
 
 
-def read_parquet_or_orc(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    return spark.read.format(file_format).load(path)
+def instant_schema(schema: T.StructType) -> T.StructType:
+    """Timestamps without a zone are UTC instants, here and in every policy."""
+    return T.StructType([
+        T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable)
+        for f in schema.fields])
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan with zone-less timestamps read as instants, no cast in the way of pushdown."""
+    return spark.read.schema(instant_schema(spark.read.parquet(path).schema)).parquet(path)
 
 
 # --- folders -----------------------------------------------------------------
