@@ -108,13 +108,15 @@ def rows_at_ranks(
         .agg(F.collect_list(F.struct("target", (F.col("rank") - F.col("below")).alias("at"))).alias("targets"))
     )
     keys = [*by, *bucket]
-    wanted = items.join(freeze(targets, "rank-targets"), keys)
-    counted = wanted.groupBy(*keys, *order).agg(
-        F.sum(weight).alias("n"), F.first("size").alias("size"), F.first("targets").alias("targets"))
+    targets = freeze(targets, "rank-targets")
+    # Semi join and hash aggregate first; the target lists meet the few rows that are left.
+    wanted = items.join(targets.select(*keys), keys, "left_semi")
+    counted = wanted.groupBy(*keys, *order).agg(F.sum(weight).alias("n"))
     running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         counted
         .withColumn("upto", F.sum("n").over(running))
+        .join(targets, keys)
         .select(*by, "size", *order, F.inline(F.filter(
             "targets", lambda t: (t["at"] >= F.col("upto") - F.col("n")) & (t["at"] < F.col("upto")))))
         .drop("at")
