@@ -26,7 +26,10 @@ def ladder(value: Column, thresholds: Sequence[float]) -> Column:
 
 
 def severity(status: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), status)
+    level = F.lit(None).cast("int")
+    for name, value in SEVERITY.items():
+        level = F.when(status == name, value).otherwise(level)
+    return level
 
 
 def worst_of(*statuses: Column) -> Column:

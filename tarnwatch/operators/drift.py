@@ -31,35 +31,30 @@ from tarnwatch.plans.ordering import assign_parts
 TOLERATED_COLUMNS = ("id", "customerID", "Churn")
 
 
-def array_total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+def array_total(values: str) -> str:
+    return f"aggregate({values}, 0D, (a, x) -> a + x)"
 
 
-def psi(reference: Column, current: Column, epsilon: float) -> Column:
-    """Population stability index of two count arrays over the same bins."""
-    r_total = F.greatest(array_total(reference), F.lit(1.0))
-    c_total = F.greatest(array_total(current), F.lit(1.0))
+def psi(reference: str, current: str, epsilon: float) -> Column:
+    """Population stability index of two count-array columns over the same bins."""
+    r = f"r / greatest({array_total(reference)}, 1D)"
+    c = f"c / greatest({array_total(current)}, 1D)"
+    eps = f"CAST({epsilon!r} AS double)"
+    terms = f"zip_with({reference}, {current}, (r, c) -> ({c} - {r}) * ln(({c} + {eps}) / ({r} + {eps})))"
+    return F.expr(array_total(terms))
 
-    def term(r: Column, c: Column) -> Column:
-        r, c = r / r_total, c / c_total
-        return (c - r) * F.ln((c + epsilon) / (r + epsilon))
 
-    return array_total(F.zip_with(reference, current, term))
-
-
-def binned_wasserstein(reference: Column, current: Column, edges: Column) -> Column:
+def binned_wasserstein(reference: str, current: str, edges: str) -> Column:
     """First Wasserstein distance with all mass at bin midpoints; null without mass."""
     r_total, c_total = array_total(reference), array_total(current)
-    gaps = F.size(reference) - 1
-
-    def step(i: Column) -> Column:
-        r_cdf = array_total(F.slice(reference, 1, i)) / r_total
-        c_cdf = array_total(F.slice(current, 1, i)) / c_total
-        # midpoints i and i+1 are half of edge[i+1] - edge[i-1] apart
-        return F.abs(r_cdf - c_cdf) * (F.get(edges, i + 1) - F.get(edges, i - 1)) / 2
-
-    distance = F.when(gaps > 0, array_total(F.transform(F.sequence(F.lit(1), F.greatest(gaps, F.lit(1))), step))).otherwise(0.0)
-    return F.when((r_total > 0) & (c_total > 0), distance)
+    r_cdf = f"{array_total(f'slice({reference}, 1, i)')} / {r_total}"
+    c_cdf = f"{array_total(f'slice({current}, 1, i)')} / {c_total}"
+    # Midpoints i and i + 1 are half of edge[i + 1] - edge[i - 1] apart.
+    step = f"abs({r_cdf} - {c_cdf}) * (get({edges}, i + 1) - get({edges}, i - 1)) / 2"
+    steps = f"transform(sequence(1, greatest(size({reference}) - 1, 1)), i -> {step})"
+    return F.expr(f"""
+        CASE WHEN {r_total} > 0 AND {c_total} > 0 THEN
+          CASE WHEN size({reference}) > 1 THEN {array_total(steps)} ELSE 0D END END""")
 
 
 # --- quality ---------------------------------------------------------------
@@ -110,9 +105,9 @@ def numeric_evidence(counts: DataFrame, profile: Profile, policy: DriftPolicy, b
         *by, "feature", F.lit("numeric").alias("kind"), "n", "n_valid", "baseline_missing_rate",
         _rate("n_missing").alias("missing_rate"), _rate("n_invalid").alias("invalid_rate"),
         F.lit(0.0).alias("unknown_rate"), _rate("n_out_of_range").alias("out_of_range_rate"),
-        (F.col("n_valid") - array_total(F.col("current")).cast("long")).alias("n_outside"),
-        F.when(enough, psi(F.col("reference"), F.col("current"), policy.epsilon)).alias("psi"),
-        F.when(enough, binned_wasserstein(F.col("reference"), F.col("current"), F.col("edges"))).alias("wasserstein"),
+        (F.col("n_valid") - F.expr(f"CAST({array_total('current')} AS long)")).alias("n_outside"),
+        F.when(enough, psi("reference", "current", policy.epsilon)).alias("psi"),
+        F.when(enough, binned_wasserstein("reference", "current", "edges")).alias("wasserstein"),
         span.alias("span"), enough.alias("enough"),
     ).withColumn("wasserstein_normalized", F.col("wasserstein") / F.col("span"))
     none = F.lit(None).cast("double")
@@ -287,9 +282,9 @@ def prediction_drift(
     base = prediction_histogram(reference, probability, threshold=threshold, low=low, high=high, edges=edges)
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     # The reference side is a single aggregate row, joined on a constant.
-    paired = now.withColumn("__one", F.lit(1)).join(
+    paired = now.select("*", F.lit(1).alias("__one"), as_double(F.col("counts")).alias("current")).join(
         F.broadcast(base.select(F.lit(1).alias("__one"), as_double(F.col("counts")).alias("reference"))), "__one")
-    measured = paired.withColumn("psi", psi(F.col("reference"), as_double(F.col("counts")), policy.epsilon))
+    measured = paired.withColumn("psi", psi("reference", "current", policy.epsilon))
     return measured.select(
         *by, "n", "n_invalid", "psi", "mean", "positive_rate", "n_safe", "n_low", "n_medium", "n_high",
         F.when(F.col("n_invalid") > 0, "unknown").otherwise(ladder(F.col("psi"), policy.psi)).alias("status"))

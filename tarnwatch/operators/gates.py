@@ -67,8 +67,9 @@ def evaluate(
     by: Sequence[str] = (), champion_score: str | None = None, champion_threshold: float | None = None,
 ) -> DataFrame:
     """One row per group: status, failures, candidate and champion metrics."""
+    verdict = input_verdict(df, label, score, threshold, by, champion_score, champion_threshold)
+    verdict = grouped(verdict, by)[0]  # taken before grouping: an empty table still gets its verdict
     df, group = grouped(df, by)
-    verdict = input_verdict(df, label, score, threshold, group, champion_score, champion_threshold)
     usable = df.where(valid_probability(F.col(score).cast("double")) & F.col(label).cast("int").isin(0, 1))
     rows = verdict.join(full_metrics(usable, label, score, threshold, key, policy.ece_bins, group), group, "left")
     failures = absolute_failures(policy)

@@ -149,7 +149,7 @@ def binned(df: DataFrame, edges: Mapping[str, Sequence[float]], by: Sequence[str
 
 def count_array(bins: int) -> Column:
     """Aggregate over (bin, n) rows of one group: counts as an array, empty bins included."""
-    return F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == i, F.col("n"))), F.lit(0)) for i in range(bins)])
+    return F.expr(f"array({', '.join(f'coalesce(sum(CASE WHEN bin = {i} THEN n END), 0L)' for i in range(bins))})")
 
 
 def histogram(df: DataFrame, edges: Mapping[str, Sequence[float]], by: Sequence[str] = ()) -> DataFrame:
@@ -206,6 +206,32 @@ def _rounded(value: float | None) -> float | None:
     return None if value is None else round(value, 8)
 
 
+def _bin_moments(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> dict[str, list]:
+    """Counts and moments per feature and bin in one scan; a dozen rows per feature come back."""
+    rows = binned(df, edges, []).groupBy("feature", "bin").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("missing")).alias("missing"), F.count("value").alias("n"),
+        F.avg("value").alias("mean"), F.var_pop("value").alias("variance")).collect()
+    found: dict[str, list] = {}
+    for row in rows:
+        found.setdefault(row["feature"], []).append(row)
+    return found
+
+
+def _numeric_row(feature: str, edges: list[float], cells: list, quantile: Mapping[float, float]) -> dict:
+    total = sum(c["rows"] for c in cells)
+    filled = [c for c in cells if c["n"]]
+    n = sum(c["n"] for c in filled)
+    mean = sum(c["n"] * c["mean"] for c in filled) / n
+    variance = sum(c["n"] * (c["variance"] + (c["mean"] - mean) ** 2) for c in filled) / n
+    by_bin = {c["bin"]: c["n"] for c in cells if c["bin"] is not None}
+    return {
+        "feature": feature, "n": total, "missing_rate": _rounded(sum(c["missing"] for c in cells) / total),
+        "mean": _rounded(mean), "std": _rounded(math.sqrt(variance)),
+        **{name: _rounded(quantile[p]) for name, p in SUMMARY_PROBS.items()},
+        "edges": edges, "counts": [by_bin.get(i, 0) for i in range(len(edges) - 1)],
+    }
+
+
 def _numeric_reference(df: DataFrame, features: Sequence[str]) -> tuple[dict, ...]:
     probs = sorted({*SUMMARY_PROBS.values(), *DECILES})
     found: dict[str, dict[float, float]] = {}
@@ -215,14 +241,8 @@ def _numeric_reference(df: DataFrame, features: Sequence[str]) -> tuple[dict, ..
     if empty:
         raise PolicyError(f"numeric features without any value: {', '.join(empty)}")
     edges = {f: frozen_edges([found[f][p] for p in DECILES]) for f in features}
-    counts = {r["feature"]: list(r["counts"]) for r in histogram(df, edges).collect()}
-    stats = {r["feature"]: r for r in numeric_summary(df, features).collect()}
-    return tuple({
-        "feature": f, "n": stats[f]["n"], "missing_rate": _rounded(stats[f]["missing_rate"]),
-        "mean": _rounded(stats[f]["mean"]), "std": _rounded(stats[f]["std"]),
-        **{name: _rounded(found[f][p]) for name, p in SUMMARY_PROBS.items()},
-        "edges": edges[f], "counts": counts[f],
-    } for f in features)
+    cells = _bin_moments(df, edges)
+    return tuple(_numeric_row(f, edges[f], cells[f], found[f]) for f in features)
 
 
 def build_profile(
