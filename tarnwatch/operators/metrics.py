@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tarnwatch.functions.expressions import safe_ratio
 from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.ordering import (
-    DEFAULT_BUCKETS,
-    HASH_PREFIX,
+    bucket_count,
     clean_number,
+    hash_digits,
     rows_at_ranks,
     split_points,
     with_buckets,
@@ -37,7 +37,7 @@ def _scored(df: DataFrame, label: str, score: str, by: Sequence[str], *more: Col
 
 
 def ranked_scores(
-    df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS,
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct score, with what lies strictly above it.
 
@@ -51,6 +51,10 @@ def ranked_scores(
     base = _scored(df, label, score, group)
     splits = split_points(base, {"score": F.col("score")}, buckets)
     placed = with_buckets(base, {"score": "bucket"}, splits)
+    # Said once and early, these filters are the same on both sides of the join
+    # below, so that both read one and the same shuffle of `blocks`.
+    for c in (*group, "bucket"):
+        placed = placed.where(F.col(c).isNotNull())
     blocks = placed.groupBy(*group, "bucket", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
     totals = blocks.groupBy(*group, "bucket").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
     above = Window.partitionBy(*group).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,13 +86,13 @@ def ranking_from(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
         .alias("roc_auc"))
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Step-wise average precision and tie-averaged ROC AUC (null for one class)."""
     group = list(by) or [ALL]
     return ungrouped(ranking_from(ranked_scores(df, label, score, by, buckets), group), by)
 
 
-def precision_recall_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def precision_recall_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """(by..., threshold, precision, recall): one point per distinct score."""
     tp = F.col("above_pos") + F.col("pos")
     return ranked_scores(df, label, score, by, buckets).select(
@@ -96,7 +100,7 @@ def precision_recall_curve(df: DataFrame, label: str, score: str, by: Sequence[s
         safe_ratio(tp, F.col("total_pos")).alias("recall"))
 
 
-def best_f1_threshold(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def best_f1_threshold(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Highest F1; the lowest threshold among equals."""
     p, r = F.col("precision"), F.col("recall")
     f1 = 2 * p * r / F.greatest(p + r, F.lit(1e-12))
@@ -141,7 +145,7 @@ def calibration_table(df: DataFrame, label: str, score: str, edges: Sequence[flo
 
 
 def equal_frequency_bins(
-    df: DataFrame, label: str, score: str, key: str, bins: int, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS,
+    df: DataFrame, label: str, score: str, key: str, bins: int, by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
     """(by..., bin, n, mean_probability, observed_rate) over `bins` groups of near-equal size.
 
@@ -155,7 +159,7 @@ def equal_frequency_bins(
     splits = split_points(base, {"score": F.col("score")}, buckets)
     heavy = list(splits["score"].heavy)
     placed = with_buckets(base, {"score": "bucket"}, splits)
-    prefix = F.substring("tie", 1, HASH_PREFIX)
+    prefix = F.substring("tie", 1, hash_digits(df))
     placed = placed.withColumn("sub", F.when(F.col("bucket").isin(*heavy), prefix).otherwise("") if heavy else F.lit(""))
     quotient, remainder = F.floor(F.col("size") / bins), F.col("size") % bins
     starts = F.array(*[(i * quotient + F.least(F.lit(i), remainder)).cast("long") for i in range(1, bins)])
@@ -169,7 +173,7 @@ def equal_frequency_bins(
 
 
 def expected_calibration_error(
-    df: DataFrame, label: str, score: str, key: str, bins: int = 10, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS,
+    df: DataFrame, label: str, score: str, key: str, bins: int = 10, by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
     parts = equal_frequency_bins(df, label, score, key, bins, by, buckets)
     gap = F.abs(F.col("mean_probability") - F.col("observed_rate"))
@@ -178,7 +182,7 @@ def expected_calibration_error(
 
 def full_metrics(
     df: DataFrame, label: str, score: str, threshold: float, key: str, bins: int = 10, by: Sequence[str] = (),
-    buckets: int = DEFAULT_BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """All gate metrics, one row per group."""
     df, group = grouped(df, by)
@@ -193,7 +197,7 @@ def full_metrics(
 # --- distances to a raw reference ------------------------------------------------
 
 def two_sample_distances(
-    df: DataFrame, value: str, is_reference: Column, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS,
+    df: DataFrame, value: str, is_reference: Column, by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov and first Wasserstein distance, exact.
 
@@ -207,16 +211,15 @@ def two_sample_distances(
     cur_above = (F.col("above_n") - F.col("above_pos")) / others
     split = F.abs(ref_above - cur_above)
     # Distance to the next value above: within a bucket by lead, across buckets by the bucket's edge values.
-    return _with_step(ranked.withColumn("split", split), group).groupBy(*group).agg(
+    return _with_step(ranked.withColumn("split", split), group, bucket_count(df, buckets)).groupBy(*group).agg(
         F.max("split").alias("ks"), F.sum(F.col("split") * F.col("step")).alias("wasserstein")).drop(*([] if by else [ALL]))
 
 
-def _with_step(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
+def _with_step(ranked: DataFrame, group: Sequence[str], slices: int) -> DataFrame:
     """Add `step`: distance from a value to the next higher one of its group.
 
     `above_n` orders the distinct values, and slices of it keep every window small.
     """
-    slices = 256
     share = F.floor(F.col("above_n") * slices / F.col("total_n")).cast("int")
     sliced = ranked.withColumn("slice", share)
     edge = sliced.groupBy(*group, "slice").agg(F.min("score").alias("lowest"))

@@ -149,7 +149,8 @@ class MetricsTable:
             freeze(seen, column).write.mode("append").parquet(home)
         month = F.date_format("window_end", "yyyy-MM")
         out = fresh.drop("outcome", "copies").withColumn("window_month", month)
-        out.repartition("result_type", "window_month").write.mode("append").partitionBy(
+        # Rebalance, not repartition: one type and month may hold a third of all records.
+        out.hint("rebalance", "result_type", "window_month").write.mode("append").partitionBy(
             "result_type", "window_month").parquet(self.results_path)
         return plan.select("result_id", "idempotency_key", "copies", "outcome")
 

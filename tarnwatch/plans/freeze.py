@@ -9,13 +9,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tarnwatch.session import shared_folder
+from tarnwatch.sources.files import delete_folder
+
+
+def frozen_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tarnwatch/{spark.sparkContext.applicationId}"
 
 
 def freeze(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tarnwatch/{label}-{uuid.uuid4().hex}"
+    path = f"{frozen_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard_frozen(spark: SparkSession) -> None:
+    """Remove what this application froze, once no result of it is needed any more."""
+    delete_folder(spark, frozen_folder(spark))

@@ -22,7 +22,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.longform import melt
 
-DEFAULT_BUCKETS = 128
+MIN_BUCKETS, MAX_BUCKETS = 128, 20_000
+SALTS = 256
+
+
+def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
+    """Buckets grow with the shuffle width the cluster is set to, so that each stays one task's work."""
+    if buckets:
+        return buckets
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Hex digits of a hash prefix: 16 ** digits even buckets per group."""
+    return 3 if bucket_count(df) <= 2000 else 4
 
 
 def clean_number(column: Column) -> Column:
@@ -41,16 +54,25 @@ class Splits:
         return [-math.inf, *inner, math.inf]
 
 
-def split_points(df: DataFrame, columns: Mapping[str, Column], buckets: int = DEFAULT_BUCKETS) -> dict[str, Splits]:
-    """Approximate quantiles of every column in one map-side combined pass.
+def split_points(df: DataFrame, columns: Mapping[str, Column], buckets: int | None = None) -> dict[str, Splits]:
+    """Approximate quantiles of every column, merged in two steps.
 
-    The driver receives at most `buckets` numbers per column.
+    Sketches of all tasks in one reducer would be its bottleneck on many
+    partitions, so groups of tasks are merged first and the quantiles of those
+    groups are pooled. The driver receives at most `buckets` numbers per column.
     """
+    buckets = bucket_count(df, buckets)
     probabilities = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[
-        F.percentile_approx(clean_number(column), F.lit(probabilities), F.lit(max(1000, 10 * buckets))).alias(name)
-        for name, column in columns.items()
-    ]).first()
+    accuracy = F.lit(max(1000, 10 * buckets))
+    salted = df.select(
+        *[clean_number(column).alias(name) for name, column in columns.items()],
+        (F.spark_partition_id() % SALTS).alias("__salt"))
+    names = [f"`{name}`" for name in columns]
+    grouped = salted.groupBy("__salt").agg(*[
+        F.coalesce(F.percentile_approx(F.col(q), probabilities, accuracy), F.expr(f"array_repeat(CAST(NULL AS double), {buckets - 1})"))
+        .alias(n) for n, q in zip(columns, names)])
+    pooled = grouped.select(F.inline(F.arrays_zip(*names)))
+    row = pooled.agg(*[F.percentile_approx(F.col(q), probabilities, accuracy).alias(n) for n, q in zip(columns, names)]).first()
     return {name: _splits(row[name] or []) for name in columns}
 
 
@@ -125,7 +147,7 @@ def rows_at_ranks(
 
 def quantiles(
     df: DataFrame, columns: Mapping[str, Column], probabilities: Sequence[float], *,
-    by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS,
+    by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: (by..., feature, prob, value)."""
     clean = {name: clean_number(column) for name, column in columns.items()}
@@ -157,9 +179,6 @@ def quantiles(
 
 # --- hashed order: seeded sampling and splitting ----------------------------
 
-HASH_PREFIX = 3  # hex digits: 4096 even buckets per group
-
-
 def hashed_key(key: Sequence[str | Column], seed: int) -> Column:
     """Order rows as if shuffled, the same way on every run and partitioning."""
     parts = [F.col(k) if isinstance(k, str) else k for k in key]
@@ -178,7 +197,7 @@ def assign_parts(
     group = [*by] or ["__all"]
     base = df if by else df.withColumn("__all", F.lit(0))
     items = base.select(*group, hashed_key(key, seed).alias("__hash")).withColumn(
-        "__prefix", F.substring("__hash", 1, HASH_PREFIX))
+        "__prefix", F.substring("__hash", 1, hash_digits(df)))
     cut = rows_at_ranks(items, by=group, bucket=["__prefix"], order=["__hash"], ranks=cuts)
     borders = freeze(cut.groupBy(*group).agg(F.sort_array(F.collect_list("__hash")).alias("__borders")), "cut-keys")
     tagged = base.withColumn("__hash", hashed_key(key, seed)).join(borders, group, "left")
