@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tarnwatch.functions.expressions import safe_ratio
 from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.ordering import (
-    bucket_count,
     clean_number,
     hash_digits,
     rows_at_ranks,
@@ -41,7 +40,8 @@ def ranked_scores(
 ) -> DataFrame:
     """One row per distinct score, with what lies strictly above it.
 
-    (by..., score, n, pos, above_n, above_pos, total_n, total_pos)
+    (by..., score, n, pos, above_n, above_pos, total_n, total_pos, higher), where
+    `higher` is the next higher score of the group.
 
     Equal scores are merged map-side. Running counts are taken inside score
     buckets and shifted by the totals of the buckets above, so no task sorts a
@@ -56,20 +56,26 @@ def ranked_scores(
     for c in (*group, "bucket"):
         placed = placed.where(F.col(c).isNotNull())
     blocks = placed.groupBy(*group, "bucket", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
-    totals = blocks.groupBy(*group, "bucket").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
+    totals = blocks.groupBy(*group, "bucket").agg(
+        F.sum("n").alias("bn"), F.sum("pos").alias("bp"), F.min("score").alias("lowest"))
     above = Window.partitionBy(*group).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    downward = Window.partitionBy(*group).orderBy(F.col("bucket").desc())
     whole = Window.partitionBy(*group)
     starts = totals.select(
         *group, "bucket", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("start_n"),
         F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("start_pos"),
-        F.sum("bn").over(whole).alias("total_n"), F.sum("bp").over(whole).alias("total_pos"))
-    inside = Window.partitionBy(*group, "bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        F.sum("bn").over(whole).alias("total_n"), F.sum("bp").over(whole).alias("total_pos"),
+        F.lag("lowest").over(downward).alias("bucket_above"))
+    inside = Window.partitionBy(*group, "bucket").orderBy(F.col("score").desc())
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = blocks.withColumns({
-        "local_n": F.coalesce(F.sum("n").over(inside), F.lit(0)),
-        "local_pos": F.coalesce(F.sum("pos").over(inside), F.lit(0))})
+        "local_n": F.coalesce(F.sum("n").over(before), F.lit(0)),
+        "local_pos": F.coalesce(F.sum("pos").over(before), F.lit(0)),
+        "next_up": F.lag("score").over(inside)})
     return local.join(starts, [*group, "bucket"]).select(
         *group, "score", "n", "pos", (F.col("start_n") + F.col("local_n")).alias("above_n"),
-        (F.col("start_pos") + F.col("local_pos")).alias("above_pos"), "total_n", "total_pos")
+        (F.col("start_pos") + F.col("local_pos")).alias("above_pos"), "total_n", "total_pos",
+        F.coalesce("next_up", "bucket_above").alias("higher"))
 
 
 def ranking_from(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -210,24 +216,9 @@ def two_sample_distances(
     ref_above = F.col("above_pos") / F.col("total_pos")
     cur_above = (F.col("above_n") - F.col("above_pos")) / others
     split = F.abs(ref_above - cur_above)
-    # Distance to the next value above: within a bucket by lead, across buckets by the bucket's edge values.
-    return _with_step(ranked.withColumn("split", split), group, bucket_count(df, buckets)).groupBy(*group).agg(
-        F.max("split").alias("ks"), F.sum(F.col("split") * F.col("step")).alias("wasserstein")).drop(*([] if by else [ALL]))
-
-
-def _with_step(ranked: DataFrame, group: Sequence[str], slices: int) -> DataFrame:
-    """Add `step`: distance from a value to the next higher one of its group.
-
-    `above_n` orders the distinct values, and slices of it keep every window small.
-    """
-    share = F.floor(F.col("above_n") * slices / F.col("total_n")).cast("int")
-    sliced = ranked.withColumn("slice", share)
-    edge = sliced.groupBy(*group, "slice").agg(F.min("score").alias("lowest"))
-    higher = Window.partitionBy(*group).orderBy("slice")
-    edge = edge.select(*group, "slice", F.lag("lowest").over(higher).alias("next_above"))
-    inside = Window.partitionBy(*group, "slice").orderBy(F.col("score").desc())
-    return sliced.withColumn("up", F.lag("score").over(inside)).join(edge, [*group, "slice"]).withColumn(
-        "step", F.coalesce(F.coalesce("up", "next_above") - F.col("score"), F.lit(0.0)))
+    step = F.coalesce(F.col("higher") - F.col("score"), F.lit(0.0))
+    found = ranked.groupBy(*group).agg(F.max(split).alias("ks"), F.sum(split * step).alias("wasserstein"))
+    return ungrouped(found, by)
 
 
 def bootstrap_deltas(

@@ -13,6 +13,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Call sites of every column expression are not worth a round trip each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
