@@ -67,7 +67,7 @@ def numeric_counts(windows: DataFrame, profile: Profile, by: Sequence[str]) -> D
     edges = profile.edges()
 
     def outside(row: dict) -> Column:
-        value = F.col(f"`{row['feature']}`.value")
+        value = F.col(f"`{row['feature']}__value`")
         return (value < row["min"]) | (value > row["max"])
 
     cells = binned(windows, edges, by, extra={row["feature"]: outside(row) for row in profile.numeric})

@@ -73,21 +73,18 @@ def default_kinds(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[tuple[str
     return numeric, tuple(f.name for f in kept if f.name not in numeric)
 
 
-def numeric_cell(df: DataFrame, name: str) -> Column:
-    """missing / invalid / value of one numeric feature, from numbers or from text.
+def numeric_parts(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """(missing, value) of one numeric feature, from numbers or from text.
 
-    In a number column NaN is missing; in a text column any other text than a
-    number is invalid.
+    In a number column NaN is missing. In a text column only null is, and text
+    that is no number is invalid: neither missing nor a value.
     """
     raw = F.col(f"`{name}`")
     if isinstance(df.schema[name].dataType, T.StringType):
-        missing, value = raw.isNull(), number_from_text(raw)
-        invalid = raw.isNotNull() & value.isNull()
-    else:
-        number = raw.cast("double")
-        missing = raw.isNull() | F.isnan(number)
-        value, invalid = F.when(~missing, number + F.lit(0.0)), F.lit(False)
-    return F.struct(missing.alias("missing"), invalid.alias("invalid"), value.alias("value"))
+        return raw.isNull(), number_from_text(raw)
+    number = raw.cast("double")
+    missing = raw.isNull() | F.isnan(number)
+    return missing, F.when(~missing, number + F.lit(0.0))
 
 
 def category_cell(name: str) -> Column:
@@ -97,7 +94,8 @@ def category_cell(name: str) -> Column:
 
 def numeric_summary(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows, missing rate, mean and population deviation of every numeric feature."""
-    cells = melt(df, by, {f: numeric_cell(df, f) for f in features})
+    parts = {f: numeric_parts(df, f) for f in features}
+    cells = melt(df, by, {f: F.struct(m.alias("missing"), v.alias("value")) for f, (m, v) in parts.items()})
     return cells.groupBy(*by, "feature").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col("missing").cast("double")).alias("missing_rate"),
@@ -107,7 +105,7 @@ def numeric_summary(df: DataFrame, features: Sequence[str], by: Sequence[str] =
 
 
 def numeric_quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    return quantiles(df, {f: numeric_cell(df, f)["value"] for f in features}, probs, by=by)
+    return quantiles(df, {f: numeric_parts(df, f)[1] for f in features}, probs, by=by)
 
 
 def frozen_edges(deciles: Sequence[float]) -> list[float]:
@@ -126,20 +124,26 @@ def right_closed_splits(edges: Sequence[float]) -> list[float]:
 
 
 def binned(df: DataFrame, edges: Mapping[str, Sequence[float]], by: Sequence[str], extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """(by..., feature, missing, invalid, value, bin); `bin` is null outside the edges."""
+    """(by..., feature, missing, invalid, value, bin[, flag]); `bin` is null outside the edges.
+
+    Values are parsed once, into columns `<feature>__value` that `extra` may refer to.
+    """
     features = list(edges)
-    base = df.select(*by, *[numeric_cell(df, f).alias(f) for f in features])
-    values = base.select("*", *[F.col(f"`{f}`.value").alias(f"{f}__value") for f in features])
+    parts = {f: numeric_parts(df, f) for f in features}
+    base = df.select(*by, *[
+        c for f, (missing, value) in parts.items() for c in (missing.alias(f"{f}__missing"), value.alias(f"{f}__value"))])
     placed = Bucketizer(
         inputCols=[f"{f}__value" for f in features], outputCols=[f"{f}__bin" for f in features],
         splitsArray=[right_closed_splits(edges[f]) for f in features], handleInvalid="keep",
-    ).transform(values)
+    ).transform(base)
 
     def cell(f: str) -> Column:
+        missing, value = F.col(f"`{f}__missing`"), F.col(f"`{f}__value`")
         position = F.col(f"`{f}__bin`").cast("int") - 1
         inside = (position >= 0) & (position < len(edges[f]) - 1)
-        fields = [F.col(f"`{f}`.{name}").alias(name) for name in ("missing", "invalid", "value")]
-        fields.append(F.when(inside, position).alias("bin"))
+        fields = [
+            missing.alias("missing"), (~missing & value.isNull()).alias("invalid"), value.alias("value"),
+            F.when(inside, position).alias("bin")]
         if extra:
             fields.append(extra[f].alias("flag"))
         return F.struct(*fields)

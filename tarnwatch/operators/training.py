@@ -54,11 +54,10 @@ def train(
 ) -> TrainedModel:
     """Fit on train, choose the threshold on validation, report on test.
 
-    The prepared table is written once, because an iterative fit reads it many times.
+    What the split and an iterative fit read many times is written once.
     """
-    parts = freeze(
-        stratified_split(df, key=key, stratum=[label], seed=seed, fractions=fractions).select(
-            *key, label, *features, "split"), "training")
+    prepared = freeze(df.select(*key, label, *features), "prepared")
+    parts = freeze(stratified_split(prepared, key=key, stratum=[label], seed=seed, fractions=fractions), "training")
     sizes = {r["split"]: r["n"] for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     fit_rows = only(parts, "train")
     if family == "logistic_regression":
@@ -70,9 +69,9 @@ def train(
     else:
         raise PolicyError(f"model family {family!r} is not supported")
     model = estimator.fit(fit_rows)
-    chosen = best_f1_threshold(scored(model, only(parts, "validation"), key, label), label, "probability").first()
-    threshold = float(chosen["threshold"])
-    test = freeze(scored(model, only(parts, "test"), key, label), "test-scores")
+    scores = freeze(score_with_model(model, parts.where(F.col("split") != "train"), keep=[*key, label, "split"]), "scores")
+    threshold = float(best_f1_threshold(only(scores, "validation"), label, "probability").first()["threshold"])
+    test = only(scores, "test")
     ranking = ranking_metrics(test, label, "probability").first()
     at = threshold_metrics(test, label, "probability", threshold).first()
     low, high = bands_around(threshold)
@@ -83,10 +82,6 @@ def train(
          "decision_threshold": threshold}, sizes)
 
 
-def scored(model: PipelineModel, df: DataFrame, key: Sequence[str], label: str) -> DataFrame:
-    return score_with_model(model, df, keep=[*key, label])
-
-
 def run_record(trained: TrainedModel, spark, *, run_name: str, family: str, seed: int, code_revision: str) -> DataFrame:
     return spark.createDataFrame(
         [(run_name, family, seed, code_revision, trained.threshold, trained.low, trained.high,
