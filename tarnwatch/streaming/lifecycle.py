@@ -9,7 +9,11 @@ OUTPUT = "alert_id string, action_id string, at timestamp, action string, accept
 
 
 def transitions(actions: DataFrame) -> DataFrame:
-    """One output row per action with the state after it. Actions arrive in order per micro-batch."""
+    """One output row per action with the state after it.
+
+    A transition depends on the one before it, so the actions of one alert are put
+    in order within a micro-batch. `maxFilesPerTrigger` bounds how many that are.
+    """
 
     # The function must reach workers that do not have this package, so it holds all it needs.
     def step(key, frames, state):
@@ -19,15 +23,14 @@ def transitions(actions: DataFrame) -> DataFrame:
             ("open", "acknowledge"): "acknowledged", ("open", "suppress"): "suppressed",
             ("acknowledged", "resolve"): "resolved", ("acknowledged", "suppress"): "suppressed"}
         current = state.get[0] if state.exists else "open"
-        for frame in frames:
-            rows = []
-            for row in frame.sort_values(["at", "action_id"]).itertuples():
-                complete = bool(row.actor_id) and bool(row.reason)
-                after = moves.get((current, row.action)) if complete else None
-                rows.append((key[0], row.action_id, row.at, row.action, after is not None, after or current))
-                current = after or current
-            yield pd.DataFrame(rows, columns=["alert_id", "action_id", "at", "action", "accepted", "state"])
+        rows = []
+        for row in pd.concat(list(frames)).sort_values(["at", "action_id"]).itertuples():
+            complete = bool(row.actor_id) and bool(row.reason)
+            after = moves.get((current, row.action)) if complete else None
+            rows.append((key[0], row.action_id, row.at, row.action, after is not None, after or current))
+            current = after or current
         state.update((current,))
+        yield pd.DataFrame(rows, columns=["alert_id", "action_id", "at", "action", "accepted", "state"])
 
     return actions.groupBy("alert_id").applyInPandasWithState(
         step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwatch.config import AlertPolicy
+from tarnwatch.config import AlertPolicy, DriftPolicy
 from tarnwatch.operators import alerts as al
 from tarnwatch.operators import drift as dr
 from tarnwatch.operators.contract import rule_counts
 from tarnwatch.workload.base import EVIDENCE_SQL, evidence, iso, iso_sql, query, table, text, windows
+from tarnwatch.workload.drifts import PLAIN_CATEGORY_SQL
 from tarnwatch.workload.profiles import reference_profile
 
 POLICY = AlertPolicy(minimum_sample_size=10)
@@ -157,8 +158,14 @@ def repeat_suppression(spark, sf):
     return out.withColumn("emitted_at", F.unix_micros("emitted_at"))
 
 
-@query("lifted_statuses")
+@query("lifted_statuses", f"""
+WITH {PLAIN_CATEGORY_SQL},
+t AS (SELECT window_id, CASE WHEN jsd >= 0.02 THEN 'critical' WHEN jsd >= 0.015 THEN 'warning' WHEN jsd >= 0.002 THEN 'watch' ELSE 'stable' END AS distribution_status,
+  smallest >= 5 AND exp(-chi / 2) < 0.3 AS lifts FROM cat_drift WHERE feature = 'l_returnflag')
+SELECT window_id, distribution_status, CASE WHEN distribution_status = 'watch' AND lifts THEN 'warning' ELSE distribution_status END AS lifted FROM t
+""")
 def lifted_statuses(spark, sf):
-    rows = dr.feature_evidence(windows(spark, sf), reference_profile(spark, sf, numeric=("l_quantity",)))
-    return rows.withColumn("lifted", al.lifted_status(rows)).groupBy("feature", "distribution_status", "lifted").agg(
-        F.count(F.lit(1)).alias("windows"))
+    """With narrow limits and one feature, so that p-values need no adjustment."""
+    policy = DriftPolicy(jensen_shannon=(0.002, 0.015, 0.02))
+    rows = dr.feature_evidence(windows(spark, sf), reference_profile(spark, sf, numeric=(), categorical=("l_returnflag",)), policy)
+    return rows.select("window_id", "distribution_status", al.lifted_status(rows, alpha=0.3).alias("lifted"))

@@ -260,12 +260,24 @@ def drift_ks_status(spark, sf):
     return dr.feature_evidence(windows(spark, sf), profile).select("window_id", "feature", "ks_status")
 
 
-@query("drift_result_documents")
+@query("drift_result_documents", f"""
+WITH {FEATURES_SQL},
+sizes AS (SELECT window_id, count(*) AS n FROM curl GROUP BY window_id),
+top AS (SELECT window_id, max({SEVERITY_SQL.format(s='status')}) AS level, count(*) AS n_features, min(feature) AS first_feature FROM final GROUP BY window_id)
+SELECT window_id, CASE WHEN n < 30 THEN 'insufficient_data' ELSE CASE level WHEN -1 THEN 'insufficient_data' WHEN 0 THEN 'stable' WHEN 1 THEN 'watch' WHEN 2 THEN 'warning' WHEN 3 THEN 'critical' ELSE 'unknown' END END AS run_status,
+  CAST(n AS VARCHAR) AS sample_size, 'model-1' AS model_version, CASE WHEN n >= 30 THEN CAST(n_features AS INTEGER) END AS n_features,
+  CASE WHEN n >= 30 THEN first_feature END AS first_feature FROM sizes JOIN top USING (window_id)
+""")
 def drift_result_documents(spark, sf):
+    """Fields read back from the JSON documents of all windows."""
     profile = reference_profile(spark, sf)
     run = dr.monitor(windows(spark, sf), profile)
     identity = pf.profile_identity(profile).first()["profile_id"]
-    return dr.result_document(run, profile, identity, DriftPolicy())
+    documents = dr.result_document(run, profile, identity, DriftPolicy())
+    field = lambda path: F.get_json_object("document", path)
+    return documents.select(
+        "window_id", "run_status", field("$.sample_size").alias("sample_size"), field("$.lineage.model_version").alias("model_version"),
+        F.json_array_length(field("$.features")).alias("n_features"), field("$.features[0].feature").alias("first_feature"))
 
 
 @query("drift_failure_classes", """

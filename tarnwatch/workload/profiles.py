@@ -139,7 +139,12 @@ def profile_tidy_rows(spark, sf):
     return rows.where(F.col("item").startswith("bin_count") | F.col("item").startswith("category:"))
 
 
-@query("profile_compatibility")
+@query("profile_compatibility", f"""
+WITH {PROFILE_SQL},
+size AS (SELECT (SELECT count(*) * 13 FROM edge_lists) + (SELECT sum(len(edges)) FROM edge_lists) + (SELECT count(*) FROM bins)
+  + (SELECT count(DISTINCT l_returnflag) + count(DISTINCT l_linestatus) FROM refl) AS n)
+SELECT CAST(n AS BIGINT) AS profile_rows, unnest(['lineage.model_version', 'feature_order']) AS reason FROM size
+""")
 def profile_compatibility(spark, sf):
     """Reasons found when the stored profile is offered to a wrong model and feature order."""
     profile = reference_profile(spark, sf)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwatch.config import DriftPolicy
 from tarnwatch.operators import profile as pf
 from tarnwatch.streaming import drift as sd
 from tarnwatch.streaming import labels as sl
@@ -99,16 +98,6 @@ def _event_profile(spark, sf):
     return pf.build_profile(first, numeric=("value",), categorical=("event_type",))
 
 
-def _batch_evidence(spark, sf, profile, kind):
-    from tarnwatch.operators import drift as dr
-
-    rows = table(spark, sf, "events").withColumn("window_id", F.date_format("ts", "yyyy-MM-dd'T'00:00:00"))
-    if kind == "numeric":
-        return dr.numeric_evidence(dr.numeric_counts(rows, profile, ["window_id"]), profile, DriftPolicy(), ["window_id"])
-    counts = pf.category_counts(rows, profile.categorical_features, ["window_id"])
-    return dr.categorical_evidence(counts, profile, DriftPolicy(), ["window_id"])
-
-
 PSI_SQL = """
 WITH ref AS (SELECT value + 0e0 AS value FROM events WHERE day(ts) <= 10),
 e AS (SELECT list_sort(list_distinct(list_transform(quantile_cont(value, [0e0, 0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0, 0.7e0, 0.8e0, 0.9e0, 1e0]), lambda x: round(x, 8)))) AS edges FROM ref),
@@ -131,7 +120,15 @@ def streaming_numeric_drift(spark, sf):
     return rounded(spark.read.option("recursiveFileLookup", True).parquet(path).select("window_id", "n", "psi"), 6, "psi")
 
 
-@query("streaming_categorical_drift")
+@query("streaming_categorical_drift", """
+WITH r AS (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM events WHERE day(ts) <= 10 GROUP BY event_type),
+c AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, event_type, count(*) AS c FROM events GROUP BY ALL),
+g AS (SELECT n.d, n.n, r.event_type, r.p, coalesce(c.c, 0) / n.n AS q FROM (SELECT d, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY d) n CROSS JOIN r LEFT JOIN c ON c.d = n.d AND c.event_type = r.event_type),
+j AS (SELECT d, n, sqrt(greatest(0, sum(p * ln(p / ((p + q) / 2)) + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS jsd FROM g GROUP BY d, n)
+SELECT strftime(d, '%Y-%m-%dT%H:%M:%S') AS window_id, 'event_type' AS feature, n, round(jsd, 6) AS jensen_shannon,
+  CASE WHEN jsd >= 0.2 THEN 'critical' WHEN jsd >= 0.1 THEN 'warning' WHEN jsd >= 0.05 THEN 'watch' ELSE 'stable' END AS status FROM j
+WHERE d + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 24 HOUR FROM events)
+""")
 def streaming_categorical_drift(spark, sf):
     path = scratch(spark, "drift")
     sd.monitor_stream(
