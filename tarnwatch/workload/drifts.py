@@ -187,8 +187,8 @@ def window_quality(spark, sf):
 FEATURES_SQL = f"""
 {NUMERIC_DRIFT_SQL},
 num AS (
-  SELECT d.window_id, d.feature, 'numeric' AS kind, v.n, psi, w1 / span AS wn, CAST(NULL AS DOUBLE) AS jsd, v.o / v.n AS out_rate,
-    CASE WHEN v.n < 30 THEN 'insufficient_data' ELSE CASE greatest({SEVERITY_SQL.format(s='(' + ladder_sql('psi', 0.1, 0.2, 0.3) + ')')},
+  SELECT d.window_id, d.feature, 'numeric' AS kind, v.n, CASE WHEN v.n >= 30 THEN psi END AS psi, CASE WHEN v.n >= 30 THEN w1 / span END AS wn, CAST(NULL AS DOUBLE) AS jsd, v.o / v.n AS out_rate,
+    CASE WHEN v.n < 30 THEN 'insufficient_data' ELSE CASE greatest({SEVERITY_SQL.format(s='(' + ladder_sql('d.psi', 0.1, 0.2, 0.3) + ')')},
       {SEVERITY_SQL.format(s='(' + ladder_sql('(w1 / span)', 0.05, 0.1, 0.2) + ')')}) WHEN 0 THEN 'stable' WHEN 1 THEN 'watch' WHEN 2 THEN 'warning' ELSE 'critical' END END AS distribution_status
   FROM numeric_drift d JOIN (
     SELECT window_id, c.feature, count(*) AS n, count(*) FILTER (WHERE value < lowest OR value > highest) AS o
