@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every job of this package relies on. Sizes (shuffle partitions,
@@ -27,20 +25,7 @@ def build_session(app_name: str = "tarnwatch", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can read, as the cluster names it.
-
-    Only a local session may fall back to a folder of its own.
-    """
+    """Folder all executors can read, as the cluster names it; else one in the warehouse, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tarnwatch-")
-    return _LOCAL_FOLDERS[application]
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
