@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnwatch.llm import lines, mixing, urls
+from tarnwatch.llm import decontaminate, lattice, lines, mixing, neardup, neighbours, quality, suffixes, urls, wrappers
 from tarnwatch.llm.exprs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +23,45 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op1_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.dedup(docs, keep_bytes=False).withColumnRenamed("kept", "kept_sha256")
+
+
 @query("op2_source_mix", mixing.mix_sql())
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op3_ngram_jaccard", neardup.CLASSES_SQL)
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_decontamination")
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_lattice_scores")
+def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+
+
+@query("op6_nearest_vectors")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op8_line_dedup", lines.LINES_SQL)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -37,3 +71,9 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_url_filter", urls.URLS_SQL)
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op10_quality_classifier")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.SCORES, "score", "keep")
