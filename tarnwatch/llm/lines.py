@@ -2,7 +2,7 @@
 
 Lines long enough to count are hashed once (128 bits) into a written table, cut into batches of documents from the largest
 doc_id down. Each batch is reduced to (line, number of documents, largest document) and merge-anti-joined with the runs
-that stand: lines they don't hold become a run of their own, lines they do hold become tallies. Runs are tables bucketed
+that stand: what they don't hold is fresh in the batch's own run, what they hold is a tally there. Runs are tables bucketed
 and sorted by hash, so these joins move no run; when a level holds `fanout` runs, they are merged into one of the next
 level and the old ones dropped. After the last batch one merge gives the lines to drop.
 
@@ -28,12 +28,11 @@ def line_key(line: Column) -> Column:
 
 
 class Runs:
-    """Sorted runs of (h1, h2, docs, top), in levels; tallies of lines that a run already holds."""
+    """Sorted runs of (h1, h2, docs, top, fresh), in levels. A line is fresh in one run only; where it comes again it is a tally."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, fanout: int = 2):
         self.spark, self.fanout, self.buckets = spark, fanout, partitions(spark)
         self.levels: list[list[str]] = [[]]
-        self.tallies: list[DataFrame] = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -42,27 +41,28 @@ class Runs:
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
-        """Runs hold disjoint lines, so a merge needs no sums."""
+        """The runs as one, by merge joins of sorted buckets."""
         out = self.spark.table(names[0])
         for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
+            both = out.join(self.spark.table(name).select("h1", "h2", *[F.col(c).alias(f"_{c}") for c in ("docs", "top", "fresh")]),
+                            ["h1", "h2"], "full_outer")
+            own, other = F.coalesce("fresh", F.lit(False)), F.coalesce("_fresh", F.lit(False))
+            out = both.select("h1", "h2", (F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))).alias("docs"),
+                              F.when(own, F.col("top")).when(other, F.col("_top")).alias("top"), (own | other).alias("fresh"))
         return out
 
     def add(self, batch: DataFrame) -> None:
-        batch = freeze(batch.repartition(self.buckets, "h1", "h2"), "line_batch")
-        fresh, known = batch, None
+        """Lines that no run holds go into the new run as fresh, the others as tallies."""
+        self._compact()
         for level in self.levels:
             for name in level:
-                run = self.spark.table(name).select("h1", "h2")
-                seen = batch.join(run, ["h1", "h2"], "left_semi")
-                known = seen if known is None else known.unionByName(seen)
-                fresh = fresh.join(run, ["h1", "h2"], "left_anti")
-        if known is not None:
-            self.tallies.append(freeze(known.select("h1", "h2", "docs"), "line_tally"))
-        self.levels[0].append(self._write(fresh))
-        self._compact()
+                held = self.spark.table(name).where("fresh").select("h1", "h2", F.lit(True).alias("held"))
+                batch = batch.join(held, ["h1", "h2"], "left").withColumn(
+                    "seen", F.coalesce("seen", F.lit(False)) | F.coalesce("held", F.lit(False))).drop("held")
+        self.levels[0].append(self._write(batch.select("h1", "h2", "docs", "top", (~F.col("seen")).alias("fresh"))))
 
     def _compact(self) -> None:
+        """Merges full levels; in a merged run a line is fresh if it was in one of its runs, else still a tally."""
         for k, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 if k + 1 == len(self.levels):
@@ -75,20 +75,13 @@ class Runs:
     def frequent(self, least: int) -> DataFrame:
         """(h1, h2, top) of the lines found in `least` documents; frees the runs."""
         names = [name for level in self.levels for name in level]
-        runs = self._merged(names)
-        if self.tallies:
-            more = self.tallies[0]
-            for tally in self.tallies[1:]:
-                more = more.unionByName(tally)
-            more = more.groupBy("h1", "h2").agg(F.sum("docs").alias("more"))
-            runs = runs.join(more, ["h1", "h2"], "left").withColumn("docs", F.col("docs") + F.coalesce("more", F.lit(0)))
-        out = freeze(runs.where(F.col("docs") >= least).select("h1", "h2", "top"), "frequent_lines")
+        out = freeze(self._merged(names).where(F.col("docs") >= least).select("h1", "h2", "top"), "frequent_lines")
         for name in names:
             self.spark.sql(f"DROP TABLE {name}")
         return out
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
     """All columns of docs with `text` as it stays, and n_lines, n_dropped.
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of `least_chars` characters
@@ -110,7 +103,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     runs = Runs(spark, fanout)
     for k in range(batches):
         own = found.where(F.col("_batch") == k).select("h1", "h2", "_doc").distinct()
-        runs.add(own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("_doc").alias("top")))
+        runs.add(own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("_doc").alias("top"))
+                 .withColumn("seen", F.lit(False)))
     drop = runs.frequent(least_docs)
     gone = (found.join(drop, ["h1", "h2"]).where("_doc <> top").groupBy("_doc", "_row").agg(
         F.collect_set("_pos").alias("_gone")))
