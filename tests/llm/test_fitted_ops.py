@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnwatch.llm import decontaminate as leaks, neighbours, quality, stages, textkit as tk, workload, wrappers
@@ -117,10 +118,10 @@ def test_small_tables_are_searched_whole(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.normal(size=6).tolist()) for k in range(60)]
     rows += [(100 + k, rows[4][1]) for k in range(40)] + [(20, rows[20][1])]
-    bad = [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0, 0, 0, 0]), (203, [float("nan")] * 6), (204, [float("inf")] + [0.0] * 5), (205, [1.0]), (220, []), (None, [1.0] * 6)]
+    bad = [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [float("nan")] * 6), (204, [float("inf")] + [0.0] * 5), (205, [1.0]), (220, []), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").repartition(4)
     got = {}
-    for r in neighbours.search(df, df["vec_id"] % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     expected = brute_nearest({tuple([i, *v]): (i, v) for i, v in rows}.values(), 20, lambda i: i % 20 == 0)
     assert got.keys() == expected.keys()
@@ -129,8 +130,8 @@ def test_small_tables_are_searched_whole(spark):
         assert [i for _, i, _ in got[q]] == [i for i, _ in near]
         assert [s for _, _, s in got[q]] == pytest.approx([s for _, s in near], abs=1e-12)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
-    assert [(r.rank, r.query_id) for r in neighbours.search(few, few["vec_id"] == 0).orderBy("rank").collect()] == [(1, 0), (2, 0)]
-    assert neighbours.search(few.limit(0), few["vec_id"] == 0).count() == 0
+    assert [(r.rank, r.query_id) for r in neighbours.search(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 0), (2, 0)]
+    assert neighbours.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
 def test_recall_of_many_lists(spark):
@@ -140,7 +141,7 @@ def test_recall_of_many_lists(spark):
     rows += [(10000 + k, rows[7][1]) for k in range(3000)]          # a third are copies
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in neighbours.search(df, df["vec_id"] % 50 == 0, list_size=60, sample=3000).collect():
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0, list_size=60, sample=3000).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
     hits = total = 0
@@ -266,7 +267,7 @@ def test_stages_keep_their_columns_and_take_odd_rows(spark):
     rows += [(50, rows[3][1], "en", "s0", 1), (51, None, None, None, None), (52, "", "en", "s1", 0), (3, rows[3][1], "en", "s0", 1)]
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()
     rows += [(60, f"{sentence(rng, 90)} {bench.text} {sentence(rng, 40)}", "en", "s2", 1)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("component_id", docs_extra())
+    docs = spark.createDataFrame(rows, DOCS).withColumn("component_id", F.lit(1))
     once = stages.dedup_lines(spark, docs, SF)
     assert once.columns == list(stages.COLUMNS) and once.count() == len(rows)
     assert sum(line in r.text for r in once.collect()) == 1
@@ -278,11 +279,6 @@ def test_stages_keep_their_columns_and_take_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
-def docs_extra():
-    from pyspark.sql import functions as F
-    return F.lit(1)
-
-
 def test_pipeline_is_its_stages(spark):
     from tests.llm.test_exact_ops import brute_classes, brute_lines, words
 
