@@ -49,10 +49,6 @@ def number_from_text(text: Column) -> Column:
     return F.when(F.lower(trimmed).rlike(NUMBER_TEXT), trimmed.try_cast("double"))
 
 
-def blank_or_decimal(text: Column) -> Column:
-    trimmed = F.trim(text)
-    return (trimmed == "") | trimmed.rlike(DECIMAL_TEXT)
-
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """0 where the denominator is 0."""
@@ -126,9 +122,5 @@ def month_index(ts: Column) -> Column:
     return F.year(ts) * 12 + F.month(ts)
 
 
-def micros_between(later: Column, earlier: Column) -> Column:
-    return F.unix_micros(later) - F.unix_micros(earlier)
-
-
 DAY_MICROS = 86_400_000_000
 HOUR_MICROS = 3_600_000_000

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tarnwatch.config import ALERT_DOMAINS, DATA_ORIGINS, STATUSES, AlertPolicy, as_dict
 from tarnwatch.functions.expressions import DAY_MICROS, content_key
 from tarnwatch.operators.contract import Rule, between, not_empty, one_of
+from tarnwatch.plans.freeze import freeze
 
 FAMILY = ("domain", "signal", "model_version", "baseline_id", "config_version", "data_origin")
 # --- fixed values: statuses that count and pairs that alert at once ---
@@ -166,28 +167,92 @@ def action_history(actions: DataFrame, key: str = "alert_id") -> DataFrame:
 
 # --- follow-up policies -------------------------------------------------------------
 
-def clean_tail(evidence: DataFrame, windows: int = 2) -> DataFrame:
-    """Families whose latest `windows` windows are all clean, so an open alert may resolve."""
+def clean_tail(evidence: DataFrame, windows: int = 2, gap_days: int = 1) -> DataFrame:
+    """Families whose latest `windows` windows are all clean and follow each other, so an open alert may resolve.
+
+    Results are collapsed per window first: a window is clean when all its results are, however many there are."""
     rows = with_family(evidence)
-    newest = Window.partitionBy("family").orderBy(F.col("window_end").desc(), F.col("source_result_id").desc())
+    per_window = rows.groupBy("family", "window_id").agg(
+        F.max("window_end").alias("window_end"), F.min((F.col("source_status") == "stable").cast("int")).alias("clean"))
+    newest = Window.partitionBy("family").orderBy(F.col("window_end").desc(), F.col("window_id").desc())
     # row_number() <= k is cut to k rows per family before the shuffle.
-    last = rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= windows)
+    last = per_window.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= windows)
+    span = F.unix_micros(F.max("window_end")) - F.unix_micros(F.min("window_end"))
     return last.groupBy("family").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_status") == "stable").alias("clean")
-    ).where((F.col("n") == windows) & (F.col("clean") == windows)).select("family")
+        F.count(F.lit(1)).alias("n"), F.sum("clean").alias("clean"), span.alias("span")
+    ).where((F.col("n") == windows) & (F.col("clean") == windows) & (F.col("span") <= (windows - 1) * gap_days * DAY_MICROS)).select("family")
+
 
+def delivery_decisions(
+    emissions: DataFrame, key: Sequence[str], at: str, order: str, severity: Column | None = None, hours: int = 24,
+) -> DataFrame:
+    """Adds `delivered`: the first emission of a key, then each first one that comes `hours` after the last delivery or has a
+    higher severity than it. All others are recorded as suppressed.
 
-def unrepeated(emissions: DataFrame, key: Sequence[str], at: str, hours: int = 24) -> DataFrame:
-    """First emission after every pause longer than `hours`: (key..., emitted_at, repeats)."""
+    Which emission follows a delivery depends on that one emission only, so each gets a pointer to its follower, and the
+    delivered ones are those that the pointers lead to from a key's first. Time is cut into slots of `hours`: a
+    follower by time lies in the next slot, not before the same offset, or begins a later slot; a follower by severity lies
+    later in its own slot or in a later one. So no task holds more of a key than a slot. The pointers are followed by doubling.
+    """
     pause = hours * 3_600_000_000
-    slots = emissions.groupBy(*key, F.floor(F.unix_micros(at) / pause).alias("slot")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
-    ordered = Window.partitionBy(*key).orderBy("slot")
-    fresh = F.coalesce(
-        F.unix_micros("first_at") - F.unix_micros(F.lag("last_at").over(ordered)) > pause, F.lit(True))
-    numbered = slots.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(ordered))
-    return numbered.groupBy(*key, "run").agg(
-        F.min("first_at").alias("emitted_at"), (F.sum("n") - 1).alias("repeats")).drop("run")
+    rank = F.lit(0) if severity is None else F.coalesce(severity.cast("int"), F.lit(0))
+    rows = emissions.select("*", F.unix_micros(at).alias("__t"), rank.alias("__s"))
+    rows = freeze(rows.withColumns({"__slot": F.floor(F.col("__t") / pause), "__o": F.struct("__t", order)}), "emissions")
+    me = F.col("__o")
+    levels = [r[0] for r in rows.select("__s").distinct().orderBy("__s").collect()]     # a handful of severities
+    ahead = Window.partitionBy(*key, "__slot")
+    later = Window.partitionBy(*key).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
+    firsts = rows.groupBy(*key, "__slot").agg(F.min("__o").alias("first"), *[
+        F.min(F.when(F.col("__s") > s, me)).alias(f"over{k}") for k, s in enumerate(levels)])
+    after = firsts.select(
+        *key, "__slot", F.min("first").over(later).alias("next1"),
+        F.min("first").over(later.rowsBetween(2, Window.unboundedFollowing)).alias("next2"),
+        F.lead("__slot").over(Window.partitionBy(*key).orderBy("__slot")).alias("follower"),
+        *[F.min(f"over{k}").over(later).alias(f"later{k}") for k in range(len(levels))])
+    # In the next slot: emissions and, a slot later, the offsets they are asked from; the first emission not before each.
+    asked = rows.select(*key, (F.col("__slot") + 1).alias("__slot"), (F.col("__t") + pause).alias("t"), F.lit(0).alias("kind"), me.alias("o"))
+    own = rows.select(*key, "__slot", F.col("__t").alias("t"), F.lit(1).alias("kind"), me.alias("o"))
+    order_in = ahead.orderBy("t", "kind", "o").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = asked.unionByName(own).withColumn("hit", F.min(F.when(F.col("kind") == 1, F.col("o"))).over(order_in)).where("kind = 0")
+    found = found.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("o").alias("__from"), "hit")
+    higher = F.lit(None).cast(rows.schema["__o"].dataType)
+    down = ahead.orderBy("__o").rowsBetween(1, Window.unboundedFollowing)
+    for k, s in enumerate(levels):
+        inside = F.min(F.when(F.col("__s") > s, me)).over(down)
+        higher = F.when(F.col("__s") == s, F.coalesce(inside, F.col(f"later{k}"))).otherwise(higher)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    slots = after.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("__slot").alias("__at"), *after.columns[len(key) + 1:])
+    nodes = rows.join(slots, [*same, F.col("__slot") == F.col("__at")]).drop("__at", *[f"__{c}" for c in key])
+    nodes = nodes.withColumn("higher", higher)
+    nodes = nodes.join(found, [*same, F.col("__o") == F.col("__from")], "left")
+    # Without a hit there, the first emission behind that slot.
+    behind = F.when(F.col("follower") == F.col("__slot") + 1, F.col("next2")).otherwise(F.col("next1"))
+    nodes = nodes.withColumn("next", F.least(F.coalesce("hit", behind), "higher")).select(*key, me.alias("id"), "next")
+    nodes = freeze(nodes, "followers")
+
+    starts = nodes.groupBy(*key).agg(F.min("id").alias("id"))
+    jumps = [nodes.where("next IS NOT NULL")]
+    while True:     # every table jumps twice as far as the one before
+        last = jumps[-1]
+        far = _follow(last, last, key)
+        far = freeze(far, "jumps")
+        if far.isEmpty():
+            break
+        jumps.append(far)
+    reached = starts
+    for jump in reversed(jumps):
+        ends = _follow(reached.withColumn("next", F.col("id")), jump, key).select(*key, F.col("next").alias("id"))
+        reached = freeze(reached.unionByName(ends).distinct(), "delivered")
+    marks = reached.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("id").alias("__hit"))
+    out = rows.join(marks, [*same, F.col("__o") == F.col("__hit")], "left").withColumn("delivered", F.col("__hit").isNotNull())
+    return out.drop("__t", "__s", "__slot", "__o", "__hit", *[f"__{c}" for c in key])
+
+
+def _follow(start: DataFrame, jump: DataFrame, key: Sequence[str]) -> DataFrame:
+    """`next` of every row of start, moved on by one jump."""
+    other = jump.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("id").alias("__id"), F.col("next").alias("__next"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return start.join(other, [*same, F.col("next") == F.col("__id")]).select(*key, "id", F.col("__next").alias("next"))
 
 
 def lifted_status(rows: DataFrame, alpha: float = 0.05) -> Column:

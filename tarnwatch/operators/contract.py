@@ -27,6 +27,13 @@ class Rule:
     def holds(self) -> Column:
         return F.coalesce(F.expr(self.ok), F.lit(False))
 
+    def on(self, column: str) -> Rule:
+        """The same predicate, reported under another column."""
+        return Rule(column, self.check, self.ok)
+
+
+RAW = "__raw_"
+
 
 def _quote(value: object) -> str:
     if isinstance(value, str):
@@ -107,11 +114,13 @@ def uniqueness(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def violation_report(df: DataFrame, contract: Contract, only_failed: bool = True) -> DataFrame:
     """(column, check, n_fail) of every rule, from a single aggregate over the table."""
-    casts = [castable(c, t) for c, t in contract.types.items()]
+    casts = [castable(RAW + c, t).on(c) for c, t in contract.types.items()]
     checked = [*casts, *contract.rules]
     report = None
     if checked:
-        sums = df.agg(*[F.count_if(~r.holds()).alias(f"f{i}") for i, r in enumerate(checked)])
+        # Rules see the declared types, so text that is no number fails its rules instead of the job.
+        typed = coerced(df.withColumns({RAW + c: F.col(f"`{c}`") for c in contract.types}), contract.types)
+        sums = typed.agg(*[F.count_if(~r.holds()).alias(f"f{i}") for i, r in enumerate(checked)])
         rows = F.array(*[
             F.struct(F.lit(r.column).alias("column"), F.lit(r.check).alias("check"), F.col(f"f{i}").alias("n_fail"))
             for i, r in enumerate(checked)])

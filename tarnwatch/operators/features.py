@@ -6,14 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarnwatch.config import PolicyError
 from tarnwatch.functions.expressions import number_from_text, right_closed_labels
+from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.longform import melt
 
-MAX_CATEGORIES = 10_000  # each category becomes a column; more is a mistake in the column list
-
 
 def number_or_estimate(text: Column, estimate: Column) -> Column:
     return F.coalesce(number_from_text(text), estimate)
@@ -49,17 +48,49 @@ def renamed(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 # --- fitted encoders -----------------------------------------------------------
 
-def fit_categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted categories per column, all columns in one pass."""
+def category_positions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, category, position) of all columns' categories in one pass, positions from 0 in order of category.
+
+    Positions come from bucket totals as other ranks do, so no task holds a whole feature's categories."""
     cells = melt(df, [], {c: F.struct(F.col(f"`{c}`").cast("string").alias("category")) for c in columns})
-    limit = MAX_CATEGORIES * len(columns) + 1
-    rows = cells.where(F.col("category").isNotNull()).distinct().limit(limit).collect()
-    if len(rows) == limit:
-        raise PolicyError(f"more than {MAX_CATEGORIES} categories per column: not a one-hot feature")
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rows:
+    found = cells.where(F.col("category").isNotNull()).distinct()
+    part = F.substring("category", 1, 2)
+    totals = found.groupBy("feature", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("feature", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("feature", "part").orderBy("category")) - 1
+    return found.withColumn("part", part).withColumn("at", inside).join(starts, ["feature", "part"]).select(
+        "feature", "category", (F.col("start") + F.col("at")).alias("position"))
+
+
+def encoded(df: DataFrame, column: str, positions: DataFrame, out: str) -> DataFrame:
+    """Adds `out`, the position of the row's category (null: unknown), by a join: for features of any number of categories, as
+    the index of a sparse vector."""
+    own = positions.where(F.col("feature") == column).select(F.col("category").alias("__category"), F.col("position").alias(out))
+    return df.join(own, F.col(f"`{column}`").cast("string") == F.col("__category"), "left").drop("__category")
+
+
+def fit_categories(
+    df: DataFrame, columns: Sequence[str], declared: Mapping[str, Sequence[str]] | None = None, most: int | None = None,
+) -> dict[str, list[str]]:
+    """Sorted categories per column, all columns in one pass; those `declared` by the caller aren't looked for.
+
+    Each category becomes a column, so they come to the driver. `most` is the caller's own limit per column, counted before
+    anything is fetched; features beyond it belong to `category_positions` and `encoded`."""
+    found = {c: sorted(values) for c, values in (declared or {}).items() if c in columns}
+    open_columns = [c for c in columns if c not in found]
+    if not open_columns:
+        return found
+    rows = category_positions(df, open_columns)
+    if most is not None:
+        rows = freeze(rows, "categories")
+        large = rows.groupBy("feature").count().where(F.col("count") > most).orderBy("feature").collect()  # a row per column
+        if large:
+            raise PolicyError("more than " + str(most) + " categories: " + ", ".join(f"{r['feature']} ({r['count']})" for r in large))
+    found |= {c: [] for c in open_columns}
+    for row in rows.collect():
         found[row["feature"]].append(row["category"])
-    return {c: sorted(values) for c, values in found.items()}
+    return {c: sorted(found[c]) for c in columns}
 
 
 def one_hot(column: str, categories: Sequence[str]) -> dict[str, Column]:
@@ -96,6 +127,7 @@ class FeatureRecipe:
     drop: tuple[str, ...] = ()
     maps: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
     encode: tuple[str, ...] = ()
+    categories: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     scale: tuple[str, ...] = ()
 
 
@@ -147,4 +179,4 @@ def fit_features(df: DataFrame, recipe: FeatureRecipe) -> FittedFeatures:
     encode = [c for c in recipe.encode if c in have]
     scale = [c for c in recipe.scale if c in have]
     return FittedFeatures(
-        recipe, fit_categories(derived, encode) if encode else {}, fit_scaler(derived, scale) if scale else {})
+        recipe, fit_categories(derived, encode, recipe.categories) if encode else {}, fit_scaler(derived, scale) if scale else {})

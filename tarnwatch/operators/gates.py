@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnwatch.config import GatePolicy
 from tarnwatch.functions.expressions import valid_probability
-from tarnwatch.operators.metrics import grouped, ungrouped, full_metrics
+from tarnwatch.operators.metrics import full_metrics, grouped, join_groups, ungrouped
 from tarnwatch.plans.ordering import quantiles
 
 
@@ -94,6 +94,16 @@ def evaluate(
     return ungrouped(verdicts, by)
 
 
-def final_status(status: Column, failures: Column) -> Column:
-    """Status after further gates (latency) added failures."""
-    return F.when((F.size(failures) == 0) | (status == "invalid"), status).otherwise("failed")
+def with_latency(verdicts: DataFrame, latencies: DataFrame, value: str, policy: GatePolicy = GatePolicy(), by: Sequence[str] = ()) -> DataFrame:
+    """Verdicts of `evaluate` with the latency gates: a limit that is missed, or not measured, adds its name to the failures, and a
+    verdict that is not invalid fails with them."""
+    missed = latency_failures(latencies, value, policy.latency, by).where(F.coalesce("failed", F.lit(True)))
+    missed = missed.groupBy(*by).agg(F.array_sort(F.collect_list("gate")).alias("__missed"))  # one row per gate
+    unmeasured = F.array(*[F.lit(f"latency.{n}") for n in sorted(policy.latency)])
+    known = latencies.where(F.col(value).isNotNull()).groupBy(*by).agg(F.lit(True).alias("__known"), F.count(F.lit(1)).alias("__n")).where("__n > 0").drop("__n")
+    rows = join_groups(join_groups(verdicts, missed, by, "left"), known, by, "left")
+    late = F.when(F.col("__known").isNull(), unmeasured).otherwise(F.coalesce("__missed", F.array().cast("array<string>")))
+    both = F.when(F.col("status") == "invalid", F.col("failures")).otherwise(F.concat("failures", late))
+    rows = rows.withColumn("failures", both)
+    failed = (F.col("status") != "invalid") & (F.size("failures") > 0)
+    return rows.withColumn("status", F.when(failed, "failed").otherwise(F.col("status"))).drop("__missed", "__known")

@@ -15,18 +15,32 @@ from tarnwatch.plans.ordering import (
     hash_digits,
     rows_at_ranks,
     split_points,
+    unwrapped,
     with_buckets,
+    wrapped,
 )
 
 ALL = "__all"
 
 
 def grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    return (df, list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
+    """Group columns as they go through joins: wrapped, so that a null group equals itself."""
+    return (wrapped(df, by), list(by)) if by else (df.withColumn(ALL, F.lit(0)), [ALL])
 
 
 def ungrouped(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df if by else df.drop(ALL)
+    return unwrapped(df, by) if by else df.drop(ALL)
+
+
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group columns that may be null; one row each if there are none."""
+    (a, group), (b, _) = grouped(left, by), grouped(right, by)
+    return ungrouped(a.join(b, group, how), by)
+
+
+def score_audit(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose score is null or no number: (by..., bad_scores)."""
+    return df.groupBy(*by).agg(F.count_if(clean_number(F.col(score)).isNull()).alias("bad_scores"))
 
 
 def _scored(df: DataFrame, label: str, score: str, by: Sequence[str], *more: Column) -> DataFrame:
@@ -38,7 +52,11 @@ def _scored(df: DataFrame, label: str, score: str, by: Sequence[str], *more: Col
 def ranked_scores(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None,
 ) -> DataFrame:
-    """One row per distinct score, with what lies strictly above it.
+    return ungrouped(_ranked_scores(df, label, score, by, buckets), by)
+
+
+def _ranked_scores(df: DataFrame, label: str, score: str, by: Sequence[str], buckets: int | None) -> DataFrame:
+    """One row per distinct score, with what lies strictly above it; group columns wrapped.
 
     (by..., score, n, pos, above_n, above_pos, total_n, total_pos, higher), where
     `higher` is the next higher score of the group.
@@ -53,8 +71,9 @@ def ranked_scores(
     placed = with_buckets(base, {"score": "bucket"}, splits)
     # Said once and early, these filters are the same on both sides of the join
     # below, so that both read one and the same shuffle of `blocks`.
-    for c in (*group, "bucket"):
-        placed = placed.where(F.col(c).isNotNull())
+    placed = placed.where(F.col("bucket").isNotNull())
+    for c in group:
+        placed = placed.where(F.col(c).isNotNull())     # wrapped groups never are
     blocks = placed.groupBy(*group, "bucket", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos"))
     totals = blocks.groupBy(*group, "bucket").agg(
         F.sum("n").alias("bn"), F.sum("pos").alias("bp"), F.min("score").alias("lowest"))
@@ -93,15 +112,23 @@ def ranking_from(ranked: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def ranking_metrics(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Step-wise average precision and tie-averaged ROC AUC (null for one class)."""
-    group = list(by) or [ALL]
-    return ungrouped(ranking_from(ranked_scores(df, label, score, by, buckets), group), by)
+    """Step-wise average precision and tie-averaged ROC AUC (null for one class). A group with unfit scores is refused: it has its
+    count of them in bad_scores and no metrics."""
+    audit, group = grouped(score_audit(df, score, by), by)
+    ranking = ranking_from(_ranked_scores(df, label, score, by, buckets), group)
+    fit = F.col("bad_scores") == 0
+    found = audit.join(ranking, group, "left").select(
+        *group, "n", "n_positive", *[F.when(fit, F.col(m)).alias(m) for m in ("average_precision", "roc_auc")], "bad_scores")
+    return ungrouped(found, by)
 
 
 def precision_recall_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """(by..., threshold, precision, recall): one point per distinct score."""
+    """(by..., threshold, precision, recall): one point per distinct score. Groups with unfit scores are refused, they have none
+    (`score_audit` counts these)."""
     tp = F.col("above_pos") + F.col("pos")
-    return ranked_scores(df, label, score, by, buckets).select(
+    bad = score_audit(df, score, by).where("bad_scores > 0")
+    ranked = join_groups(ranked_scores(df, label, score, by, buckets), bad.select(*by), by, "left_anti")
+    return ranked.select(
         *by, F.col("score").alias("threshold"), (tp / (F.col("above_n") + F.col("n"))).alias("precision"),
         safe_ratio(tp, F.col("total_pos")).alias("recall"))
 
@@ -193,9 +220,9 @@ def full_metrics(
     """All gate metrics, one row per group."""
     df, group = grouped(df, by)
     joined = (
-        ranking_metrics(df, label, score, group, buckets)
+        ranking_metrics(df, label, score, group, buckets).drop("bad_scores")
         .join(threshold_metrics(df, label, score, threshold, group), group)
-        .join(expected_calibration_error(df, label, score, key, bins, group, buckets), group)
+        .join(expected_calibration_error(df, label, score, key, bins, group, buckets), group, "left")
     )
     return ungrouped(joined, by)
 
@@ -210,7 +237,7 @@ def two_sample_distances(
     Reference rows count as positives; after that both distances are differences
     of cumulative shares along the ranked values.
     """
-    ranked = ranked_scores(df.withColumn("__ref", is_reference.cast("int")), "__ref", value, by, buckets)
+    ranked = _ranked_scores(df.withColumn("__ref", is_reference.cast("int")), "__ref", value, by, buckets)
     group = list(by) or [ALL]
     others = F.col("total_n") - F.col("total_pos")
     ref_above = F.col("above_pos") / F.col("total_pos")

@@ -32,8 +32,12 @@ def collapsed(df: DataFrame, key: Sequence[str]) -> DataFrame:
     ).select(*key, "copies", (~F.col("content").eqNullSafe(F.col("__largest"))).alias("conflict"), "content")
 
 
+def is_visible(as_of: Column) -> Column:
+    return F.col("received_at") <= as_of
+
+
 def visible(labels: DataFrame, as_of: Column) -> DataFrame:
-    return labels.where(F.col("received_at") <= as_of)
+    return labels.where(is_visible(as_of))
 
 
 def mature(prediction_at: Column, as_of: Column, policy: LabelPolicy) -> Column:
@@ -113,10 +117,10 @@ def evidence_status(matched: Column, coverage: Column, policy: LabelPolicy) -> C
         .otherwise("stable"))
 
 
-def reconciliation_counts(rows: DataFrame, policy: LabelPolicy = LabelPolicy()) -> DataFrame:
+def reconciliation_counts(rows: DataFrame, policy: LabelPolicy = LabelPolicy(), by: Sequence[str] = ()) -> DataFrame:
     """All counts, coverage and evidence status in one aggregate."""
     state = F.col("state")
-    counts = rows.agg(
+    counts = rows.groupBy(*by).agg(
         F.count_if(state.isin("matched", "unmatched")).alias("mature_predictions"),
         F.count_if(state == "matched").alias("joined_labels"),
         F.count_if(state == "unmatched").alias("unmatched_predictions"),
@@ -131,10 +135,11 @@ def reconciliation_counts(rows: DataFrame, policy: LabelPolicy = LabelPolicy())
 
 
 def mixed_lineage(rows: DataFrame, fields: Sequence[str] = LINEAGE, by: Sequence[str] = ()) -> DataFrame:
-    """Lineage fields that take more than one value in a group of predictions: (by..., field)."""
-    extremes = rows.groupBy(*by).agg(*[
-        x for f in fields for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))])
-    marks = F.array(*[F.when(~F.col(f"lo_{f}").eqNullSafe(F.col(f"hi_{f}")), F.lit(f)) for f in fields])
+    """Lineage fields that take more than one value in a group of predictions, null being one: (by..., field)."""
+    extremes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), *[
+        x for f in fields for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"), F.count(f).alias(f"n_{f}"))])
+    marks = F.array(*[
+        F.when((F.col(f"lo_{f}") != F.col(f"hi_{f}")) | F.col(f"n_{f}").between(1, F.col("__n") - 1), F.lit(f)) for f in fields])
     return extremes.select(*by, F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("field"))
 
 
@@ -189,7 +194,8 @@ def check_origin(origin: str, policy: LabelPolicy) -> None:
 
 
 def current_predictions(predictions: DataFrame, entity: Sequence[str]) -> DataFrame:
-    """One prediction per entity, the latest one, and how many it superseded."""
+    """One prediction per unit, the latest one, and how many it superseded. The unit of the policy is entity, model version and
+    horizon; `entity` names its columns."""
     rest = [c for c in predictions.columns if c not in entity]
     newest = F.struct("prediction_at", "prediction_id")
     return predictions.groupBy(*entity).agg(

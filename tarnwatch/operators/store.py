@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarnwatch.config import DATA_ORIGINS, RESULT_TYPES, STATUSES, StorePolicy
-from tarnwatch.functions.expressions import DAY_MICROS, HOUR_MICROS
+from tarnwatch.functions.expressions import HOUR_MICROS
 from tarnwatch.operators.contract import (
     Rule,
     between,
@@ -65,7 +65,8 @@ def ingest_plan(records: DataFrame, existing: DataFrame) -> DataFrame:
     per_id = keyed.where(valid).groupBy("result_id").agg(F.min(order)["idempotency_key"].alias("first_key"))
     stored = existing.select("result_id", F.col("idempotency_key").alias("stored_key"))
     per_id = per_id.join(stored, "result_id", "left")
-    unique = keyed.groupBy(*[c for c in KEY_COLUMNS], "idempotency_key").agg(
+    # Valid and invalid copies of one key are apart: a spoiled copy must not take a good one with it.
+    unique = keyed.withColumn("valid", valid).groupBy(*[c for c in KEY_COLUMNS], "idempotency_key", "valid").agg(
         F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(
             "computed_at", "sample_size", "label_coverage",
@@ -108,12 +109,19 @@ def latest_state(records: DataFrame, now: Column, policy: StorePolicy = StorePol
         F.col("t.window_end").alias("window_end"), age.alias("age_seconds"))
 
 
+def retention_border(now: Column, policy: StorePolicy) -> Column:
+    return now - F.expr(f"INTERVAL {policy.retention_days} DAY")
+
+
 def retained(records: DataFrame, now: Column, policy: StorePolicy = StorePolicy()) -> DataFrame:
-    return records.where(F.unix_micros("window_end") >= F.unix_micros(now) - policy.retention_days * DAY_MICROS)
+    return records.where(F.col("window_end") >= retention_border(now, policy))
 
 
 def expired(records: DataFrame, now: Column, policy: StorePolicy = StorePolicy()) -> DataFrame:
-    return records.where(F.unix_micros("window_end") < F.unix_micros(now) - policy.retention_days * DAY_MICROS)
+    """The border is a constant, so the filter reaches the scan; of a stored table, later months aren't read at all."""
+    border = retention_border(now, policy)
+    old = records.where(F.col("window_end") < border)
+    return old.where(F.col("window_month") <= F.date_format(border, "yyyy-MM")) if "window_month" in records.columns else old
 
 
 def exportable(records: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.longform import melt
 
-MIN_BUCKETS, MAX_BUCKETS = 128, 20_000
+MIN_BUCKETS = 128
 SALTS = 256
 
 
@@ -30,12 +30,21 @@ def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
     """Buckets grow with the shuffle width the cluster is set to, so that each stays one task's work."""
     if buckets:
         return buckets
-    return min(MAX_BUCKETS, max(MIN_BUCKETS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(MIN_BUCKETS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def hash_digits(df: DataFrame) -> int:
-    """Hex digits of a hash prefix: 16 ** digits even buckets per group."""
-    return 3 if bucket_count(df) <= 2000 else 4
+    """Hex digits of a hash prefix: 16 ** digits even buckets per group, at least two for every bucket asked for."""
+    return max(3, math.ceil(math.log(2 * bucket_count(df), 16)))
+
+
+def wrapped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Group columns as structs: a null group then equals itself in joins."""
+    return df.withColumns({c: F.struct(F.col(f"`{c}`").alias("v")) for c in by}) if by else df
+
+
+def unwrapped(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.col(f"`{c}`")["v"] for c in by}) if by else df
 
 
 def clean_number(column: Column) -> Column:
@@ -151,7 +160,7 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles: (by..., feature, prob, value)."""
     clean = {name: clean_number(column) for name, column in columns.items()}
-    base = df.select(*by, *[column.alias(name) for name, column in clean.items()])
+    base = wrapped(df.select(*by, *[column.alias(name) for name, column in clean.items()]), by)
     splits = split_points(base, {name: F.col(f"`{name}`") for name in clean}, buckets)
     bucketed = with_buckets(base, {name: f"{name}__bucket" for name in clean}, splits)
     cells = {
@@ -170,11 +179,10 @@ def quantiles(
     share = F.first(position - F.floor(position))
     low = F.max(F.when(F.col("target") % 2 == 0, F.col("value")))
     high = F.max(F.when(F.col("target") % 2 == 1, F.col("value")))
-    return (
+    return unwrapped(
         found.withColumn("prob", probability)
         .groupBy(*by, "feature", "prob")
-        .agg((low + (high - low) * share).alias("value"))
-    )
+        .agg((low + (high - low) * share).alias("value")), by)
 
 
 # --- hashed order: seeded sampling and splitting ----------------------------
@@ -195,7 +203,7 @@ def assign_parts(
     The rows themselves are never shuffled: they are compared with a few cut keys.
     """
     group = [*by] or ["__all"]
-    base = df if by else df.withColumn("__all", F.lit(0))
+    base = wrapped(df, by) if by else df.withColumn("__all", F.lit(0))
     items = base.select(*group, hashed_key(key, seed).alias("__hash")).withColumn(
         "__prefix", F.substring("__hash", 1, hash_digits(df)))
     cut = rows_at_ranks(items, by=group, bucket=["__prefix"], order=["__hash"], ranks=cuts)
@@ -203,4 +211,4 @@ def assign_parts(
     tagged = base.withColumn("__hash", hashed_key(key, seed)).join(borders, group, "left")
     # Few borders per group: a linear scan over them is cheaper than a join.
     part = F.coalesce(F.size(F.filter("__borders", lambda b: b <= F.col("__hash"))), F.lit(0))
-    return tagged.withColumn(out, part).drop("__hash", "__borders", "__all")
+    return unwrapped(tagged.withColumn(out, part).drop("__hash", "__borders", "__all"), by)

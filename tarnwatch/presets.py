@@ -54,7 +54,6 @@ TENURE_REPORT_UPPERS = (12, 24, 48)
 TENURE_REPORT_LABELS = ("0-11", "12-23", "24-47", "48-72")
 CHARGE_REPORT_UPPERS = (35, 70, 100)
 CHARGE_REPORT_LABELS = ("0-34.99", "35-69.99", "70-99.99", "100+")
-TELEMETRY_FEATURES = ("Contract", "InternetService", "PaymentMethod", "tenure", "MonthlyCharges")
 # -------------------------------------------------------------------------------
 
 

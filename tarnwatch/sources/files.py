@@ -21,13 +21,6 @@ EVIDENCE_SCHEMA = (
     "window_end timestamp, sample_size long, label_coverage double, model_version string, baseline_id string, "
     "config_version string, data_origin string"
 )
-TELEMETRY_SCHEMA = (
-    "telemetry_schema_version string, event_name string, timestamp_utc timestamp, service_name string, "
-    "environment string, request_id string, trace_id string, http_status int, outcome string, "
-    "request_latency_ms double, inference_latency_ms double, model_version string, schema_version string, "
-    "batch_size int, predicted_churn_count int, risk_band_counts map<string,long>, "
-    "monitoring_observations map<string,map<string,long>>"
-)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, blank_columns: Sequence[str] = ()) -> DataFrame:

@@ -137,25 +137,43 @@ def alert_action_history(spark, sf):
 
 
 @query("clean_families", f"""
-WITH {EVIDENCE_SQL}, l AS (SELECT * FROM evid QUALIFY row_number() OVER (PARTITION BY signal ORDER BY window_end DESC, source_result_id DESC) <= 2)
-SELECT signal, count(*) FILTER (WHERE source_status = 'stable') = 2 AS clean FROM l GROUP BY signal
+WITH {EVIDENCE_SQL},
+w AS (SELECT signal, window_id, max(window_end) AS window_end, bool_and(source_status = 'stable') AS clean FROM evid GROUP BY ALL),
+l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY signal ORDER BY window_end DESC, window_id DESC) <= 2)
+SELECT signal, count(*) = 2 AND bool_and(clean) AND max(window_end) - min(window_end) <= INTERVAL 1 DAY AS clean FROM l GROUP BY signal
 """)
 def clean_families(spark, sf):
+    """Every result comes twice, so a window must not count for two."""
     rows = evidence(spark, sf)
+    rows = rows.unionByName(rows.withColumn("source_result_id", F.concat("source_result_id", F.lit("-again"))))
     clean = al.clean_tail(rows, 2).withColumn("clean", F.lit(True))
     families = al.with_family(rows).select("family", "signal").distinct()
     return families.join(clean, "family", "left").select("signal", F.coalesce("clean", F.lit(False)).alias("clean"))
 
 
 @query("repeat_suppression", """
-WITH q AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE event_type = 'error'),
-i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM q)
-SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS emitted_at, count(*) - 1 AS repeats FROM i GROUP BY user_id, run
+WITH RECURSIVE base AS (
+  SELECT user_id % 7 AS family, ts, event_id, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS severity FROM events
+  UNION ALL SELECT -1, TIMESTAMP '2024-02-01' + INTERVAL 12 HOUR * event_id, event_id, CASE WHEN event_id = 5 THEN 1 ELSE 0 END FROM events WHERE event_id < 20),
+e AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ts, event_id) AS n FROM base),
+d(family, n, ts, severity) AS (
+  SELECT family, n, ts, severity FROM e WHERE n = 1
+  UNION ALL SELECT x.family, x.n, x.ts, x.severity FROM (
+    SELECT e.family, e.n, e.ts, e.severity, row_number() OVER (PARTITION BY e.family ORDER BY e.n) AS k
+    FROM d JOIN e ON e.family = d.family AND e.n > d.n AND (e.ts >= d.ts + INTERVAL 24 HOUR OR e.severity > d.severity)) x WHERE k = 1)
+SELECT e.family, e.event_id, d.n IS NOT NULL AS delivered FROM e LEFT JOIN d ON d.family = e.family AND d.n = e.n
 """)
 def repeat_suppression(spark, sf):
-    errors = table(spark, sf, "events").where("event_type = 'error'")
-    out = al.unrepeated(errors, ["user_id"], "ts", 24)
-    return out.withColumn("emitted_at", F.unix_micros("emitted_at"))
+    """Families of users with three severities; and one family that emits every 12 hours for ten days and gets worse once."""
+    events = table(spark, sf, "events")
+    kind, n = F.col("event_type"), F.col("event_id")
+    base = events.select((F.col("user_id") % 7).alias("family"), "ts", "event_id",
+                         F.when(kind == "error", 2).when(kind == "purchase", 1).otherwise(0).alias("severity"))
+    steady = events.where("event_id < 20").select(
+        F.lit(-1).cast("long").alias("family"), F.timestamp_micros(F.unix_micros(F.lit("2024-02-01").cast("timestamp")) + n * 43_200_000_000).cast(
+            events.schema["ts"].dataType).alias("ts"), "event_id", F.when(n == 5, 1).otherwise(0).alias("severity"))
+    rows = base.withColumn("family", F.col("family").cast("long")).unionByName(steady)
+    return al.delivery_decisions(rows, ["family"], "ts", "event_id", F.col("severity")).select("family", "event_id", "delivered")
 
 
 @query("lifted_statuses", f"""

@@ -68,6 +68,25 @@ def contract_coercion_failures(spark, sf):
     return ct.violation_report(parts, ct.Contract("part/v1", types={"size_text": "double", "p_type": "int"}))
 
 
+@query("contract_report_on_text", """
+WITH t AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'abc' WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END AS total,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE CAST(o_custkey % 4 AS VARCHAR) END AS flag FROM orders),
+n AS (SELECT total, flag, try_cast(total AS DOUBLE) AS v, try_cast(flag AS INTEGER) AS f FROM t)
+SELECT 'total' AS "column", 'type' AS "check", count(*) FILTER (total IS NOT NULL AND v IS NULL) AS n_fail FROM n
+UNION ALL SELECT 'flag', 'type', count(*) FILTER (flag IS NOT NULL AND f IS NULL) FROM n
+UNION ALL SELECT 'total', 'range', count(*) FILTER (NOT coalesce(v BETWEEN 1000 AND 300000, false)) FROM n
+UNION ALL SELECT 'flag', 'domain', count(*) FILTER (NOT coalesce(f IN (0, 1, 2), false)) FROM n
+""")
+def contract_report_on_text(spark, sf):
+    """Numbers that arrive as text, some of them no numbers: types, domain and range of one column in one aggregate."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf, "orders").select(
+        F.when(k % 11 == 0, "abc").when(k % 13 == 0, F.lit(None).cast("string")).otherwise(text("o_totalprice")).alias("total"),
+        F.when(k % 7 == 0, "x").otherwise(text(F.col("o_custkey") % 4)).alias("flag"))
+    return ct.violation_report(orders, ct.Contract(
+        "orders/v1", types={"total": "double", "flag": "int"}, rules=(ct.between("total", 1000, 300000), ct.one_of("flag", (0, 1, 2)))), only_failed=False)
+
+
 @query("contract_decimal_text", f"""
 WITH t AS (SELECT {SIZE_TEXT_SQL} AS s FROM part)
 SELECT 'size_text' AS "column", 'decimal_text' AS "check",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from tarnwatch.config import LabelPolicy
 from tarnwatch.operators import compare as cp
@@ -71,8 +71,7 @@ SELECT l_returnflag, count(*) FILTER (WHERE l_shipdate <= TIMESTAMP '{AS_OF}') A
 """)
 def label_visibility(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("received_at", F.col("l_shipdate"))
-    seen = rc.visible(lines, as_of()).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("visible"))
-    return lines.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).join(seen, "l_returnflag").select("l_returnflag", "visible", "n")
+    return lines.groupBy("l_returnflag").agg(F.count_if(rc.is_visible(as_of())).alias("visible"), F.count(F.lit(1)).alias("n"))
 
 
 @query("prediction_maturity", f"""
@@ -192,22 +191,59 @@ def lineage_summary(spark, sf):
     return rc.lineage_summary(rc.matched_pairs(rows(spark, sf)))
 
 
+def cohort_name(at: Column) -> Column:
+    """First quarters are fit to be one cohort; May and July have a gap, the other months are too many."""
+    kind = F.when(F.month(at) <= 3, "quarter-").when(F.month(at).isin(5, 7), "gap-").otherwise("rest-")
+    return F.concat(kind, F.year(at))
+
+
+def cohort_sql(at: str) -> str:
+    return f"CASE WHEN month({at}) <= 3 THEN 'quarter-' WHEN month({at}) IN (5, 7) THEN 'gap-' ELSE 'rest-' END || year({at})"
+
+
 @query("performance_report", f"""
-WITH {COUNTS_SQL},
-ranked AS (SELECT probability AS s, count(*) AS n, sum(y) AS pos FROM pairs GROUP BY probability),
-cum AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(pos) OVER () AS tp, sum(n) OVER () AS tn FROM ranked WINDOW o AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
-rank_m AS (SELECT sum(pos / tp * cp / cn) AS ap, sum((n - pos) * (cp - pos / 2)) / max(tp * (tn - tp)) AS auc FROM cum),
-thr AS (SELECT avg((probability - y) * (probability - y)) AS brier, count(*) FILTER (WHERE probability >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE probability >= 0.5 AND y = 0) AS fp,
-  count(*) FILTER (WHERE probability < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE probability < 0.5 AND y = 0) AS tn FROM pairs)
-SELECT 'replayed' AS data_origin, '{AS_OF}' AS as_of, counts.*, round(joined_labels / mature_predictions, 6) AS coverage, 'stable' AS status,
-  round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall,
-  round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(brier, 6) AS brier_score, tn, fp, fn, tp FROM counts, rank_m, thr
+WITH {RECONCILED_SQL},
+own AS (SELECT id, sum(CASE WHEN variants = 1 THEN copies - 1 ELSE 0 END) AS dup, sum(CASE WHEN variants > 1 THEN copies ELSE 0 END) AS con FROM lab_groups GROUP BY id),
+ids AS (
+  SELECT CASE WHEN p.variants = 1 THEN {cohort_sql('p.prediction_at')} END AS cohort, p.variants, p.copies, o.dup, o.con,
+    l.id IS NOT NULL AS labelled, d.id IS NOT NULL AS due, x.id IS NOT NULL AS matched
+  FROM pred_groups p FULL JOIN own o ON o.id = p.id LEFT JOIN lab_latest l ON l.id = o.id LEFT JOIN due d ON d.id = p.id LEFT JOIN pairs x ON x.id = p.id),
+counts AS (
+  SELECT cohort, count(*) FILTER (due) AS mature_predictions, count(*) FILTER (matched) AS joined_labels, count(*) FILTER (due AND NOT matched) AS unmatched_predictions,
+    count(*) FILTER (labelled AND NOT matched) AS unmatched_labels, count(*) FILTER (variants = 1 AND NOT due) AS immature_predictions,
+    CAST(coalesce(sum(copies - 1) FILTER (variants = 1), 0) AS BIGINT) AS duplicate_predictions, CAST(coalesce(sum(dup), 0) AS BIGINT) AS duplicate_labels,
+    CAST(coalesce(sum(copies - 1) FILTER (variants > 1), 0) AS BIGINT) AS conflicting_predictions, CAST(coalesce(sum(con), 0) AS BIGINT) AS conflicting_labels
+  FROM ids GROUP BY cohort),
+months AS (SELECT DISTINCT {cohort_sql('prediction_at')} AS cohort, year(prediction_at) * 12 + month(prediction_at) AS k FROM due),
+unfit AS (SELECT cohort FROM months GROUP BY cohort HAVING count(*) > 3 OR max(k) - min(k) + 1 <> count(*)),
+scored AS (SELECT {cohort_sql('prediction_at')} AS cohort, probability AS s, y FROM pairs),
+ranked AS (SELECT cohort, s, count(*) AS n, sum(y) AS pos FROM scored GROUP BY cohort, s),
+cum AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(pos) OVER g AS tp, sum(n) OVER g AS tn FROM ranked
+  WINDOW o AS (PARTITION BY cohort ORDER BY s DESC ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY cohort)),
+rank_m AS (SELECT cohort, sum(CASE WHEN tp > 0 THEN pos / tp * cp / cn ELSE 0 END) AS ap, CASE WHEN max(tp) > 0 AND max(tn - tp) > 0 THEN sum((n - pos) * (cp - pos / 2)) / max(tp * (tn - tp)) END AS auc FROM cum GROUP BY cohort),
+thr AS (SELECT cohort, avg((s - y) * (s - y)) AS brier, count(*) FILTER (WHERE s >= 0.5 AND y = 1) AS tp, count(*) FILTER (WHERE s >= 0.5 AND y = 0) AS fp,
+  count(*) FILTER (WHERE s < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE s < 0.5 AND y = 0) AS tn FROM scored GROUP BY cohort),
+judged AS (
+  SELECT c.*, CASE WHEN mature_predictions = 0 THEN 0e0 ELSE joined_labels / mature_predictions END AS cov, u.cohort IS NOT NULL AS bad,
+    ap, auc, brier, tp, fp, fn, tn
+  FROM counts c LEFT JOIN unfit u ON u.cohort = c.cohort LEFT JOIN rank_m r ON r.cohort = c.cohort LEFT JOIN thr t ON t.cohort = c.cohort),
+final AS (SELECT *, CASE WHEN bad OR joined_labels = 0 THEN 'not_available' WHEN joined_labels < 100 OR cov < 0.5 THEN 'insufficient_data' ELSE 'stable' END AS status FROM judged)
+SELECT 'replayed' AS data_origin, '{AS_OF}' AS as_of, cohort, mature_predictions, joined_labels, unmatched_predictions, unmatched_labels, immature_predictions,
+  duplicate_predictions, duplicate_labels, conflicting_predictions, conflicting_labels, round(cov, 6) AS coverage, status, CASE WHEN bad THEN 'cohort' ELSE '' END AS reasons,
+  CASE WHEN status = 'stable' THEN round(ap, 6) END AS average_precision, CASE WHEN status = 'stable' THEN round(auc, 6) END AS roc_auc,
+  CASE WHEN status = 'stable' THEN round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) END AS precision,
+  CASE WHEN status = 'stable' THEN round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) END AS recall,
+  CASE WHEN status = 'stable' THEN round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) END AS f1,
+  CASE WHEN status = 'stable' THEN round(brier, 6) END AS brier_score, CASE WHEN status = 'stable' THEN tn END AS tn, CASE WHEN status = 'stable' THEN fp END AS fp,
+  CASE WHEN status = 'stable' THEN fn END AS fn, CASE WHEN status = 'stable' THEN tp END AS tp FROM final
 """)
 def performance_report(spark, sf):
+    """Cohorts that are evaluated and cohorts that are refused, side by side."""
     run = PerformanceRun(
         predictions(spark, sf), labels(spark, sf), as_of=AS_OF, origin="replayed",
         policy=LabelPolicy(minimum_labels=100, minimum_coverage=0.5))
-    return rounded(run.report(), 6, "coverage", "average_precision", "roc_auc", "precision", "recall", "f1", "brier_score")
+    return rounded(run.report({"cohort": cohort_name(F.col("prediction_at"))}), 6,
+                   "coverage", "average_precision", "roc_auc", "precision", "recall", "f1", "brier_score")
 
 
 @query("label_calibration", f"""
@@ -239,13 +275,18 @@ def run_input_key(spark, sf):
 
 
 @query("current_predictions", """
-SELECT o_custkey, max(o_orderkey) FILTER (WHERE o_orderdate = d) AS prediction_id, count(*) - 1 AS superseded
-FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey) AS d FROM orders) GROUP BY o_custkey
+WITH p AS (SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'm1' ELSE 'm2' END AS model_version, CASE WHEN o_orderpriority < '3' THEN 90 ELSE 30 END AS horizon_days,
+  o_orderkey, o_orderdate FROM orders)
+SELECT o_custkey, model_version, CAST(horizon_days AS INTEGER) AS horizon_days, max(o_orderkey) FILTER (WHERE o_orderdate = d) AS prediction_id, count(*) - 1 AS superseded
+FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey, model_version, horizon_days) AS d FROM p) GROUP BY o_custkey, model_version, horizon_days
 """)
 def current_predictions(spark, sf):
     orders = table(spark, sf, "orders").select(
-        "o_custkey", F.col("o_orderkey").alias("prediction_id"), F.col("o_orderdate").alias("prediction_at"))
-    return rc.current_predictions(orders, ["o_custkey"]).select("o_custkey", "prediction_id", "superseded")
+        "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, "m1").otherwise("m2").alias("model_version"),
+        F.when(F.col("o_orderpriority") < "3", 90).otherwise(30).alias("horizon_days"),
+        F.col("o_orderkey").alias("prediction_id"), F.col("o_orderdate").alias("prediction_at"))
+    unit = ["o_custkey", "model_version", "horizon_days"]
+    return rc.current_predictions(orders, unit).select(*unit, "prediction_id", "superseded")
 
 
 # --- comparing results --------------------------------------------------------------

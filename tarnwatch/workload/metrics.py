@@ -10,6 +10,7 @@ from tarnwatch.operators import metrics as mt
 from tarnwatch.operators import training as tr
 from tarnwatch.operators.split import only, stratified_split
 from tarnwatch.plans.freeze import freeze
+from tarnwatch.plans.ordering import quantiles
 from tarnwatch.workload.base import SCORED_SQL, query, rounded, scored_orders, table
 
 RANKED_SQL = f"""
@@ -25,7 +26,7 @@ ranking AS (
 
 
 @query("ranking_metrics", f"""
-WITH {RANKED_SQL} SELECT segment, n, n_positive, round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc FROM ranking
+WITH {RANKED_SQL} SELECT segment, n, n_positive, round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc, 0 AS bad_scores FROM ranking
 """)
 def ranking_metrics(spark, sf):
     return rounded(mt.ranking_metrics(scored_orders(spark, sf), "label", "probability", ["segment"]), 6, "average_precision", "roc_auc")
@@ -36,13 +37,66 @@ WITH scored AS (SELECT p_size % 10 / 10e0 AS s, (p_partkey % 3 = 0)::INT AS y FR
 blocks AS (SELECT s, count(*) AS n, sum(y) AS pos FROM scored GROUP BY s),
 cum AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(pos) OVER () AS tp, sum(n) OVER () AS tn FROM blocks WINDOW o AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
 SELECT CAST(max(tn) AS BIGINT) AS n, CAST(max(tp) AS BIGINT) AS n_positive, round(sum(pos / tp * cp / cn), 6) AS average_precision,
-  round(sum((n - pos) * (cp - pos / 2)) / max(tp * (tn - tp)), 6) AS roc_auc FROM cum
+  round(sum((n - pos) * (cp - pos / 2)) / max(tp * (tn - tp)), 6) AS roc_auc, 0 AS bad_scores FROM cum
 """)
 def ranking_metrics_with_ties(spark, sf):
     parts = table(spark, sf, "part").select((F.col("p_size") % 10 / 10).alias("s"), (F.col("p_partkey") % 3 == 0).cast("int").alias("y"))
     return rounded(mt.ranking_metrics(parts, "y", "s"), 6, "average_precision", "roc_auc")
 
 
+def holed_scores(spark, sf):
+    """A group without a name, and a group in which some scores are null and some no number."""
+    k = F.col("id")
+    rows = scored_orders(spark, sf).withColumn("segment", F.when(F.col("segment") != "3-MEDIUM", F.col("segment")))
+    hole = F.when(k % 50 == 0, F.lit(None).cast("double")).when(k % 50 == 1, F.lit(float("nan"))).otherwise(F.col("probability"))
+    return rows.withColumn("probability", F.when(F.col("segment") == "5-LOW", hole).otherwise(F.col("probability")))
+
+
+HOLED_SQL = f"""
+{SCORED_SQL},
+holed AS (SELECT id, nullif(segment, '3-MEDIUM') AS segment, CASE WHEN segment = '5-LOW' AND id % 50 IN (0, 1) THEN NULL ELSE p END AS p, y FROM scored),
+h_blocks AS (SELECT segment, p AS s, count(*) AS n, sum(y) AS pos FROM holed WHERE p IS NOT NULL GROUP BY segment, p),
+h_cum AS (SELECT *, sum(n) OVER o AS cn, sum(pos) OVER o AS cp, sum(pos) OVER g AS tp, sum(n) OVER g AS tn FROM h_blocks
+  WINDOW o AS (PARTITION BY segment ORDER BY s DESC ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY segment)),
+h_rank AS (SELECT segment, CAST(max(tn) AS BIGINT) AS n, CAST(max(tp) AS BIGINT) AS n_positive, sum(pos / tp * cp / cn) AS ap,
+  sum((n - pos) * (cp - pos / 2)) / max(tp * (tn - tp)) AS auc FROM h_cum GROUP BY segment),
+h_bad AS (SELECT segment, count(*) FILTER (p IS NULL) AS bad FROM holed GROUP BY segment)
+"""
+
+
+@query("ranking_metrics_of_holed_scores", f"""
+WITH {HOLED_SQL}
+SELECT b.segment, n, n_positive, CASE WHEN bad = 0 THEN round(ap, 6) END AS average_precision, CASE WHEN bad = 0 THEN round(auc, 6) END AS roc_auc, bad AS bad_scores
+FROM h_bad b LEFT JOIN h_rank r ON r.segment IS NOT DISTINCT FROM b.segment
+""")
+def ranking_metrics_of_holed_scores(spark, sf):
+    return rounded(mt.ranking_metrics(holed_scores(spark, sf), "label", "probability", ["segment"]), 6, "average_precision", "roc_auc")
+
+
+@query("curve_of_holed_scores", f"""
+WITH {HOLED_SQL} SELECT segment, round(s, 8) AS threshold, round(cp / cn, 6) AS precision, round(cp / tp, 6) AS recall
+FROM h_cum WHERE segment IS DISTINCT FROM '5-LOW'
+""")
+def curve_of_holed_scores(spark, sf):
+    curve = mt.precision_recall_curve(holed_scores(spark, sf), "label", "probability", ["segment"])
+    return rounded(rounded(curve, 6, "precision", "recall"), 8, "threshold")
+
+
+@query("calibration_of_unnamed_groups", f"""
+WITH {SCORED_SQL}, t AS (SELECT nullif(segment, '3-MEDIUM') AS segment, id, p, y FROM scored),
+b AS (SELECT *, ntile(10) OVER (PARTITION BY segment ORDER BY p, md5(CAST(id AS VARCHAR))) AS bin FROM t),
+e AS (SELECT segment, bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM b GROUP BY ALL),
+q AS (SELECT segment, quantile_cont(p, 0.9) AS p90 FROM t GROUP BY segment),
+x AS (SELECT segment, sum(n * gap) / sum(n) AS ece FROM e GROUP BY segment)
+SELECT x.segment, round(ece, 6) AS expected_calibration_error, round(p90, 6) AS p90 FROM x JOIN q ON q.segment IS NOT DISTINCT FROM x.segment
+""")
+def calibration_of_unnamed_groups(spark, sf):
+    rows = scored_orders(spark, sf).withColumn("segment", F.when(F.col("segment") != "3-MEDIUM", F.col("segment")))
+    ece = mt.expected_calibration_error(rows, "label", "probability", "id", 10, ["segment"])
+    tops = quantiles(rows, {"p": F.col("probability")}, [0.9], by=["segment"]).select("segment", F.col("value").alias("p90"))
+    return rounded(mt.join_groups(ece, tops, ["segment"]), 6, "expected_calibration_error", "p90")
+
+
 @query("threshold_metrics", f"""
 WITH {SCORED_SQL},
 c AS (SELECT segment, count(*) FILTER (WHERE p < 0.45 AND y = 0) AS tn, count(*) FILTER (WHERE p >= 0.45 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.45 AND y = 1) AS fn,

@@ -37,7 +37,10 @@ def batch_of_records(spark, sf):
         "status": F.lit("critical"), "computed_at": F.col("computed_at") + F.expr("INTERVAL 1 HOUR")})
     broken = base.where(n % 4 == 0).withColumns({
         "result_id": F.concat(F.lit("bad-"), "result_id"), "distribution": F.lit('{"customer_id": 1}')})
-    return base.unionByName(again).unionByName(other).unionByName(broken)
+    # A spoiled copy of the same result, computed an hour before the good one: it must not take that with it.
+    spoiled = base.where(hour % 7 == 0).withColumns({
+        "sample_size": F.lit(-1).cast("long"), "computed_at": F.col("computed_at") - F.expr("INTERVAL 1 HOUR")})
+    return base.unionByName(again).unionByName(other).unionByName(broken).unionByName(spoiled)
 
 
 BATCH_SQL = f"""
@@ -45,7 +48,8 @@ BATCH_SQL = f"""
 outcomes AS (
   SELECT result_id, CASE WHEN hour(window_start) % 3 = 0 THEN 2 ELSE 1 END AS copies, 'fresh' AS kind, window_start FROM recs
   UNION ALL SELECT result_id, 1, 'other', window_start FROM recs WHERE hour(window_start) % 5 = 0
-  UNION ALL SELECT 'bad-' || result_id, 1, 'invalid', window_start FROM recs WHERE sample_size % 4 = 0)
+  UNION ALL SELECT 'bad-' || result_id, 1, 'invalid', window_start FROM recs WHERE sample_size % 4 = 0
+  UNION ALL SELECT result_id, 1, 'invalid', window_start FROM recs WHERE hour(window_start) % 7 = 0)
 """
 
 
@@ -92,9 +96,9 @@ FROM recs GROUP BY result_type
 """)
 def retention(spark, sf):
     policy, rows = StorePolicy(retention_days=14), records(spark, sf)
-    old = st.expired(rows, now(), policy).groupBy("result_type").agg(F.count(F.lit(1)).alias("expired"))
-    new = st.retained(rows, now(), policy).groupBy("result_type").agg(F.count(F.lit(1)).alias("kept"))
-    return old.join(new, "result_type")
+    old = st.expired(rows, now(), policy).select("result_type", F.lit(1).alias("expired"), F.lit(0).alias("kept"))
+    new = st.retained(rows, now(), policy).select("result_type", F.lit(0).alias("expired"), F.lit(1).alias("kept"))
+    return old.unionByName(new).groupBy("result_type").agg(F.sum("expired").alias("expired"), F.sum("kept").alias("kept"))
 
 
 @query("retention_of_stored_results", f"""

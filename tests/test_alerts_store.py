@@ -14,13 +14,17 @@ from tarnwatch.operators import telemetry as te
 from tarnwatch.sources import files, manifest, results
 from tarnwatch.sources.files import EVIDENCE_SCHEMA
 
-T0 = datetime(2026, 8, 1)
-POLICY = AlertPolicy(minimum_sample_size=4, minimum_coverage=0.8)
+START = datetime(2024, 3, 11)
+POLICY = AlertPolicy(minimum_sample_size=60, minimum_coverage=0.7)
+SIGNALS = {"drift": "basket_size", "data_quality": "basket_size", "operational": "queue", "performance": "ranking"}
 
 
-def ev(i, domain="drift", status="warning", at=T0, n=500, coverage=1.0):
-    signal = "tenure" if domain in ("drift", "data_quality") else "performance"
-    return (i, domain, status, signal, at.strftime("%F"), at, n, coverage, "m", None, "c", "synthetic")
+def ev(result, domain="drift", status="warning", at=START, n=900, coverage=0.95):
+    """A row of evidence on the shop's ranking model."""
+    row = dict.fromkeys(c.split()[0] for c in EVIDENCE_SCHEMA.split(", "))
+    row |= {"source_result_id": result, "domain": domain, "source_status": status, "signal": SIGNALS[domain], "window_id": f"{at:%Y-%m-%d}",
+            "window_end": at, "sample_size": n, "label_coverage": coverage, "model_version": "shop-7", "config_version": "cfg-2", "data_origin": "replayed"}
+    return tuple(row.values())
 
 
 def evidence(spark, *rows):
@@ -28,7 +32,7 @@ def evidence(spark, *rows):
 
 
 def days(n, **kw):
-    return [ev(f"r{i}", at=T0 + timedelta(days=i), **kw) for i in range(n)]
+    return [ev(f"r{i}", at=START + timedelta(days=i), **kw) for i in range(n)]
 
 
 def test_persistence(spark):
@@ -47,18 +51,18 @@ def test_recommendation_needs_evidence(spark):
         alerts = al.open_alerts(evidence(spark, ev("p", "performance", "critical", **kw), ev("d", "drift", "critical")), POLICY)
         return al.recommendations(alerts, POLICY).collect()
 
-    assert len(made(n=4, coverage=0.9)) == 1 and not made(n=4, coverage=0.9)[0]["promotion_approved"]
-    assert made(n=3, coverage=0.9) == [] and made(n=4, coverage=None) == []
+    assert len(made(n=60, coverage=0.75)) == 1 and not made(n=60, coverage=0.75)[0]["promotion_approved"]
+    assert made(n=59, coverage=0.75) == [] and made(n=60, coverage=None) == []
 
 
 @pytest.mark.parametrize("seconds,length", [(0, 2), (1, 1)])
 def test_gap_border(spark, seconds, length):
-    rows = evidence(spark, ev("a"), ev("b", at=T0 + timedelta(days=2, seconds=seconds)))
+    rows = evidence(spark, ev("a"), ev("b", at=START + timedelta(days=2, seconds=seconds)))
     assert al.tail_runs(rows, ["signal"], "window_end", 2).first()["run_length"] == length
 
 
 def test_same_window_counts_twice_and_gaps_cut(spark):
-    rows = evidence(spark, ev("a"), ev("b"), ev("c", at=T0 + timedelta(days=9)), ev("d", at=T0 + timedelta(days=9)), ev("e", at=T0 + timedelta(days=10)))
+    rows = evidence(spark, ev("a"), ev("b"), ev("c", at=START + timedelta(days=9)), ev("d", at=START + timedelta(days=9)), ev("e", at=START + timedelta(days=10)))
     assert al.tail_runs(rows, ["signal"], "window_end", 2).first()["run_length"] == 3
 
 
@@ -83,7 +87,7 @@ def test_tail_runs_equal_brute_force_with_a_hot_key(spark):
 
 def log(spark, *rows):
     return spark.createDataFrame(
-        [(a, i, T0 + timedelta(hours=i), act, actor, why) for a, i, act, actor, why in rows],
+        [(a, i, START + timedelta(hours=i), act, actor, why) for a, i, act, actor, why in rows],
         "alert_id string, action_id int, at timestamp, action string, actor_id string, reason string")
 
 
@@ -248,5 +252,5 @@ def test_csv_and_json_sources(spark, tmp_path):
     assert [r["total"] for r in rows] == ["", "3.5"]
     (tmp_path / "d.json").write_text('{"records": [{"a": 1, "b": "x"}, {"a": 2}]}')
     assert files.read_records_document(spark, str(tmp_path / "d.json"), "a int, b string", ["a", "b"]).count() == 1
-    (tmp_path / "l.json").write_text('{"at": "2026-08-01T02:00:00+02:00"}\n{"at": "2026-08-01T00:00:00Z"}\n')
+    (tmp_path / "l.json").write_text('{"at": "2026-08-01START2:00:00+02:00"}\n{"at": "2026-08-01START0:00:00Z"}\n')
     assert files.read_json_lines(spark, str(tmp_path / "l.json"), "at timestamp").distinct().count() == 1
