@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarnwatch.config import MISSING_CATEGORY, UNKNOWN_CATEGORY, DriftPolicy, as_dict
@@ -25,6 +26,7 @@ from tarnwatch.operators.profile import (
     count_array,
     prediction_histogram,
 )
+from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.ordering import assign_parts
 
 # --- fixed values: columns a window may carry beside its features ---
@@ -342,11 +344,11 @@ def checked_monitor(
     if window_problems(windows.select(*allowed), profile, by):
         return failed("current_window_incompatible")
     try:
-        run = monitor(windows, profile, by=by, policy=policy, **scores)
-    except Exception:  # any planning failure is evidence of an unusable run, not a crash
+        # Measured here, so that what fails while it runs is evidence of an unusable run as well, not a crash later on.
+        runs = freeze(monitor(windows, profile, by=by, policy=policy, **scores).runs, "runs")
+    except PySparkException:
         return failed("monitoring_failure")
-    error = F.lit(None).cast("string")
-    return run.runs.withColumn("error_class", error)
+    return runs.withColumn("error_class", F.lit(None).cast("string"))
 
 
 def result_document(run: DriftRun, profile: Profile, profile_id: str, policy: DriftPolicy, by: Sequence[str] = ("window_id",)) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tarnwatch.config import DATA_ORIGINS, STATUSES, ExportPolicy, PolicyError
@@ -154,7 +156,7 @@ class SnapshotLog:
         return self._read("snapshots", "snapshot_id string, generated_at string, payload string")
 
     def failures(self) -> DataFrame:
-        return self._read("failures", "failed_at string, reason string")
+        return self._read("failures", "failed_at string, reason string, error string")
 
     def export(self, records: DataFrame, now: str, policy: ExportPolicy = ExportPolicy()) -> DataFrame:
         """Publish, or keep the last snapshot and note the failure. `now` is ISO-8601 UTC."""
@@ -163,8 +165,8 @@ class SnapshotLog:
             if bad.limit(1).count():
                 raise PolicyError("source rows break the export contract")
             self.publish(snapshot(records, now, policy))
-        except Exception:  # whatever broke, the last good snapshot stays up
-            self.record_failure(now, "export_failed")
+        except (PolicyError, PySparkException, Py4JError) as error:  # the last good snapshot stays up, the failure says what broke
+            self.record_failure(now, "export_failed", type(error).__name__)
         return self.current()
 
     def publish(self, row: DataFrame) -> bool:
@@ -179,12 +181,12 @@ class SnapshotLog:
             "append").parquet(f"{self.path}/snapshots")
         return False
 
-    def record_failure(self, now: str, reason: str) -> None:
+    def record_failure(self, now: str, reason: str, error: str | None = None) -> None:
         if reason not in FAILURES:
             raise PolicyError("failure reason is unsupported")
         if self.published().limit(1).count() == 0:
             raise PolicyError("no prior snapshot is available")
-        self.spark.createDataFrame([(now, reason)], "failed_at string, reason string").coalesce(1).write.mode("append").parquet(
+        self.spark.createDataFrame([(now, reason, error)], "failed_at string, reason string, error string").coalesce(1).write.mode("append").parquet(
             f"{self.path}/failures")
 
     def current(self) -> DataFrame:

@@ -146,14 +146,14 @@ def mixed_lineage(rows: DataFrame, fields: Sequence[str] = LINEAGE, by: Sequence
 def cohort(predictions: DataFrame, policy: LabelPolicy = LabelPolicy(), by: Sequence[str] = ()) -> DataFrame:
     """UTC months of a cohort: kind, first and last month, contiguous and short enough or not."""
     at = F.col("prediction_at")
-    months = predictions.groupBy(*by, F.date_format(at, "yyyy-MM").alias("month"), month_index(at).alias("month_no")).agg(
-        F.count(F.lit(1)).alias("n"))
-    span = F.max("month_no") - F.min("month_no") + 1
+    months = predictions.groupBy(*by, F.date_format(at, "yyyy-MM").alias("__month"), month_index(at).alias("__month_no")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    span = F.max("__month_no") - F.min("__month_no") + 1
     return months.groupBy(*by).agg(
-        F.when(F.count("month") <= 1, "monthly").otherwise("rolling").alias("kind"),
-        F.concat_ws(",", F.array_sort(F.collect_list("month"))).alias("utc_months"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("prediction_count"),
-        ((F.count("month") == F.coalesce(span, F.lit(0))) & (F.count("month") <= policy.maximum_months)).alias("acceptable"),
+        F.when(F.count("__month") <= 1, "monthly").otherwise("rolling").alias("kind"),
+        F.concat_ws(",", F.array_sort(F.collect_list("__month"))).alias("utc_months"),
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("prediction_count"),
+        ((F.count("__month") == F.coalesce(span, F.lit(0))) & (F.count("__month") <= policy.maximum_months)).alias("acceptable"),
     )
 
 

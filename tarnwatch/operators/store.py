@@ -83,9 +83,15 @@ def ingest_plan(records: DataFrame, existing: DataFrame) -> DataFrame:
         *RECORD_COLUMNS, "idempotency_key", "copies", outcome.alias("outcome"))
 
 
+# What a row of a dimension says besides its first time: a deployment serves the model it first appeared with.
+DIMENSIONS = {"model_version": (), "deployment_id": ("model_version",)}
+
+
 def first_seen(records: DataFrame, column: str) -> DataFrame:
-    """A dimension: each value with the time it first appeared."""
-    return records.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("computed_at").alias("created_at"))
+    """A dimension: each value with the time it first appeared, and what it then came with."""
+    at = F.struct("computed_at", "result_id")
+    return records.where(F.col(column).isNotNull()).groupBy(column).agg(
+        F.min("computed_at").alias("created_at"), *[F.min_by(c, at).alias(c) for c in DIMENSIONS[column]])
 
 
 def newest(records: DataFrame, limit: int) -> DataFrame:
@@ -149,7 +155,7 @@ class MetricsTable:
         """Append what is new; returns (result_id, idempotency_key, copies, outcome)."""
         plan = freeze(ingest_plan(records, self.read()), "ingest")
         fresh = plan.where(F.col("outcome") == "ingested")
-        for column in ("model_version", "deployment_id"):
+        for column in DIMENSIONS:
             seen = first_seen(fresh, column)
             home = f"{self.path}/{column}s"
             if folder_exists(self.spark, home):

@@ -291,12 +291,12 @@ def feature_one_hot(spark, sf):
 
 
 @query("feature_z_score", """
-WITH f AS (SELECT avg(p_size) AS ms, stddev_pop(p_size) AS ss, avg(p_retailprice) AS mp, stddev_pop(p_retailprice) AS sp FROM part WHERE p_partkey % 2 = 0)
+WITH f AS (SELECT avg(p_size) AS ms, stddev_pop(p_size) AS ss, avg(p_retailprice) AS mp, stddev_pop(p_retailprice) AS sp FROM part)
 SELECT p_partkey, round((p_size - ms) / ss, 6) + 0e0 AS p_size, round((p_retailprice - mp) / sp, 6) + 0e0 AS p_retailprice FROM part, f
 """)
 def feature_z_score(spark, sf):
     parts = table(spark, sf, "part")
-    fitted = fe.fit_scaler(parts.where("p_partkey % 2 = 0"), ["p_size", "p_retailprice"])
+    fitted = fe.fit_scaler(parts, ["p_size", "p_retailprice"])
     out = parts.select("p_partkey", *[fe.scaled(c, *fitted[c]).alias(c) for c in fitted])
     return rounded(out, 6, "p_size", "p_retailprice")
 

@@ -281,13 +281,17 @@ def drift_result_documents(spark, sf):
 
 
 @query("drift_failure_classes", """
-SELECT strftime(l_shipdate, '%Y-%m') AS window_id, 'unknown' AS run_status, 'current_window_incompatible' AS error_class FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1998-07-01' GROUP BY ALL
+WITH w AS (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS window_id FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-07-01')
+SELECT window_id, 'unknown' AS run_status, c AS error_class FROM w, (VALUES ('current_window_incompatible'), ('baseline_incompatible'), ('monitoring_failure')) t(c)
 """)
 def drift_failure_classes(spark, sf):
-    """A window with a column the profile does not know is reported, not measured."""
+    """A column the profile doesn't know; a profile that doesn't fit; and a value that fails only when it is read."""
     profile = reference_profile(spark, sf, numeric=("l_quantity",), categorical=())
-    return dr.checked_monitor(windows(spark, sf), profile).drop("sample_size")
+    fitting = windows(spark, sf).select("window_id", "l_quantity")
+    broken = fitting.withColumn("l_quantity", F.when(F.col("l_quantity") > 40, F.raise_error(F.lit("unreadable"))).otherwise(F.col("l_quantity")))
+    runs = [dr.checked_monitor(windows(spark, sf), profile), dr.checked_monitor(fitting, profile, profile_reasons=("checksum",)),
+            dr.checked_monitor(broken, profile)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2]).drop("sample_size")
 
 
 # --- predictions -----------------------------------------------------------------------

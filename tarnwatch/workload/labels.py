@@ -145,28 +145,33 @@ def mixed_lineage(spark, sf):
 
 @query("monthly_cohorts", """
 WITH m AS (SELECT o_orderpriority AS segment, strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) * 12 + month(o_orderdate) AS k, count(*) AS n
-  FROM orders WHERE CASE o_orderpriority WHEN '1-URGENT' THEN o_orderdate < TIMESTAMP '1995-02-01' WHEN '2-HIGH' THEN o_orderdate < TIMESTAMP '1995-03-01'
-    WHEN '3-MEDIUM' THEN o_orderdate < TIMESTAMP '1995-05-01' WHEN '5-LOW' THEN month(o_orderdate) = 3 AND year(o_orderdate) < 1997 ELSE false END GROUP BY ALL)
+  FROM (SELECT o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN TIMESTAMP '1995-01-15' WHEN '2-HIGH' THEN make_timestamp(1995, 1 + o_custkey % 2, 3, 0, 0, 0)
+    WHEN '3-MEDIUM' THEN make_timestamp(1995, 1 + o_custkey % 4, 3, 0, 0, 0) WHEN '5-LOW' THEN make_timestamp(year(o_orderdate), 3, 3, 0, 0, 0) ELSE o_orderdate END AS o_orderdate FROM orders) GROUP BY ALL)
 SELECT segment, CASE WHEN count(*) <= 1 THEN 'monthly' ELSE 'rolling' END AS kind, string_agg(month, ',' ORDER BY month) AS utc_months,
   CAST(sum(n) AS BIGINT) AS prediction_count, max(k) - min(k) + 1 = count(*) AND count(*) <= 3 AS acceptable FROM m GROUP BY segment
 """)
 def monthly_cohorts(spark, sf):
-    at, segment = F.col("o_orderdate"), F.col("o_orderpriority")
-    chosen = (
-        F.when(segment == "1-URGENT", at < "1995-02-01").when(segment == "2-HIGH", at < "1995-03-01")
-        .when(segment == "3-MEDIUM", at < "1995-05-01").when(segment == "5-LOW", (F.month(at) == 3) & (F.year(at) < 1997)).otherwise(False))
-    orders = table(spark, sf, "orders").where(chosen).select(segment.alias("segment"), at.alias("prediction_at"))
+    """One month, two, four, all there are, and every March."""
+    at, segment, k = F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_custkey").cast("int")
+    day = lambda year, month: F.make_date(year, month, F.lit(3)).cast("timestamp")
+    moved = (
+        F.when(segment == "1-URGENT", day(F.lit(1995), F.lit(1))).when(segment == "2-HIGH", day(F.lit(1995), 1 + k % 2))
+        .when(segment == "3-MEDIUM", day(F.lit(1995), 1 + k % 4)).when(segment == "5-LOW", day(F.year(at), F.lit(3))).otherwise(at.cast("timestamp")))
+    orders = table(spark, sf, "orders").select(segment.alias("segment"), moved.alias("prediction_at"))
     return rc.cohort(orders, POLICY, ["segment"])
 
 
 @query("month_gaps", """
-WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS k, count(*) AS n
-  FROM orders WHERE month(o_orderdate) NOT IN (4, 9, 10) GROUP BY ALL)
+WITH o AS (SELECT date_trunc('month', o_orderdate) AS d, month(o_orderdate) AS m FROM orders),
+s AS (SELECT d - CASE WHEN m IN (4, 9) THEN INTERVAL 1 MONTH WHEN m = 10 THEN INTERVAL 2 MONTH ELSE INTERVAL 0 MONTH END AS d FROM o),
+m AS (SELECT strftime(d, '%Y-%m') AS month, CAST(year(d) * 12 + month(d) AS INTEGER) AS k, count(*) AS n FROM s GROUP BY ALL)
 SELECT k AS month_no, month, n, CAST(k - lag(k) OVER (ORDER BY k) AS INTEGER) AS gap FROM m
 """)
 def month_gaps(spark, sf):
-    at = F.col("o_orderdate")
-    return rc.month_gaps(table(spark, sf, "orders").where(~F.month(at).isin(4, 9, 10)).select(at.alias("prediction_at")))
+    """What fell into April, September and October counts for the month before them."""
+    at = F.date_trunc("MONTH", "o_orderdate")
+    back = F.when(F.month(at).isin(4, 9), 1).when(F.month(at) == 10, 2).otherwise(0)
+    return rc.month_gaps(table(spark, sf, "orders").select(F.add_months(at, -back).cast("timestamp").alias("prediction_at")))
 
 
 @query("document_label_status", """
@@ -293,9 +298,9 @@ def current_predictions(spark, sf):
 
 
 @query("tolerant_difference", """
-WITH e AS (SELECT l_suppkey AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY l_suppkey),
-a AS (SELECT l_suppkey AS k, count(*) + (l_suppkey % 5 = 0)::INT AS n, sum(l_quantity) + CASE WHEN l_suppkey % 3 = 0 THEN 0.00005 ELSE 0 END AS q
-  FROM lineitem WHERE l_suppkey % 11 <> 0 GROUP BY l_suppkey)
+WITH e AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN -l_suppkey ELSE l_suppkey END AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_suppkey),
+a AS (SELECT CASE WHEN l_suppkey % 11 = 0 THEN -1000000 - l_suppkey ELSE l_suppkey END AS k, count(*) + (l_suppkey % 5 = 0)::INT AS n,
+  sum(l_quantity) + CASE WHEN l_suppkey % 3 = 0 THEN 0.00005 ELSE 0 END AS q FROM lineitem GROUP BY l_suppkey)
 SELECT a.k, 'n' AS field, 'value' AS problem FROM a JOIN e USING (k) WHERE a.n <> e.n
 UNION ALL SELECT a.k, 'q', 'value' FROM a JOIN e USING (k) WHERE abs(a.q - e.q) > 1e-4
 UNION ALL SELECT k, '*', 'missing' FROM e WHERE k NOT IN (SELECT k FROM a)
@@ -304,18 +309,20 @@ UNION ALL SELECT k, '*', 'unexpected' FROM a WHERE k NOT IN (SELECT k FROM e)
 def tolerant_difference(spark, sf):
     k = F.col("l_suppkey")
     lines = table(spark, sf, "lineitem")
-    totals = lambda df: df.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
-    expected = totals(lines.where(k % 7 != 0))
-    actual = totals(lines.where(k % 11 != 0)).withColumns({
-        "n": F.col("n") + (F.col("k") % 5 == 0).cast("int"), "q": F.col("q") + F.when(F.col("k") % 3 == 0, 0.00005).otherwise(0.0)})
+    totals = lines.groupBy(k.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    s = F.col("s")
+    expected = totals.select(F.when(s % 7 == 0, -s).otherwise(s).alias("k"), "n", "q")
+    actual = totals.select(F.when(s % 11 == 0, -1000000 - s).otherwise(s).alias("k"), (F.col("n") + (s % 5 == 0).cast("int")).alias("n"),
+                           (F.col("q") + F.when(s % 3 == 0, 0.00005).otherwise(0.0)).alias("q"))
     return cp.differences(actual, expected, ["k"], tolerance=1e-4).select("k", "field", "problem")
 
 
 @query("key_sets", """
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side
-FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 0) b ON a.k = b.k
+FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT CASE WHEN c_custkey % 4 = 0 THEN -c_custkey ELSE c_custkey END AS k FROM customer) b ON a.k = b.k
 """)
 def key_sets(spark, sf):
     left = table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
-    right = table(spark, sf, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"))
+    key = F.col("c_custkey")
+    right = table(spark, sf, "customer").select(F.when(key % 4 == 0, -key).otherwise(key).alias("k"))
     return cp.key_sets(left, right, ["k"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from tarnwatch.config import GatePolicy
@@ -253,6 +255,26 @@ def latency_gates(spark, sf):
     return rounded(gt.latency_failures(table(spark, sf, "events"), "value", GatePolicy().latency, ["event_type"]), 6, "p95")
 
 
+@query("gates_with_latency", f"""
+WITH {SCORED_SQL}, {_metrics_sql('p', 'a')},
+f AS (SELECT a.*, list_filter([{_absolute_sql('a')}], lambda x: x IS NOT NULL) AS failures FROM a_m a),
+q AS (SELECT CASE WHEN event_type = 'error' THEN '1-URGENT' WHEN event_type = 'click' THEN '2-HIGH' ELSE '5-LOW' END AS segment, quantile_cont(value / 4, 0.95e0) AS p95 FROM events GROUP BY 1),
+j AS (SELECT f.segment, list_concat(failures, CASE WHEN p95 IS NULL THEN ['latency.batch_100_p95_ms', 'latency.single_p95_ms']
+  ELSE list_filter([CASE WHEN p95 > 500 THEN 'latency.batch_100_p95_ms' END, CASE WHEN p95 > 30 THEN 'latency.single_p95_ms' END], lambda x: x IS NOT NULL) END) AS failures
+  FROM f LEFT JOIN q USING (segment))
+SELECT segment, CASE WHEN len(failures) > 0 THEN 'failed' ELSE 'not_comparable' END AS status, array_to_string(failures, ',') AS failures FROM j
+""")
+def gates_with_latency(spark, sf):
+    """Segments that are fast enough, too slow, and not measured at all."""
+    policy = replace(LIMITS, latency={"single_p95_ms": 30.0, "batch_100_p95_ms": 500.0})
+    kind = F.col("event_type")
+    times = table(spark, sf, "events").select(
+        F.when(kind == "error", "1-URGENT").when(kind == "click", "2-HIGH").otherwise("5-LOW").alias("segment"), (F.col("value") / 4).alias("ms"))
+    verdicts = gt.evaluate(scored_orders(spark, sf), "label", "probability", 0.5, "id", policy, ["segment"])
+    out = gt.with_latency(verdicts, times, "ms", policy, ["segment"])
+    return out.select("segment", "status", F.array_join("failures", ",").alias("failures"))
+
+
 # --- splits and models -----------------------------------------------------------------
 
 SPLIT_SQL = """

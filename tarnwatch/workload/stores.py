@@ -78,13 +78,15 @@ def stored_results(spark, sf):
 
 @query("store_dimensions", f"""
 WITH {RECORDS_SQL}
-SELECT 'model_version' AS dimension, model_version AS value, {iso_sql('min(computed_at)')} AS created_at FROM recs GROUP BY model_version
-UNION ALL SELECT 'deployment_id', deployment_id, {iso_sql('min(computed_at)')} FROM recs WHERE deployment_id IS NOT NULL GROUP BY deployment_id
+SELECT 'model_version' AS dimension, model_version AS value, {iso_sql('min(computed_at)')} AS created_at, NULL AS serves FROM recs GROUP BY model_version
+UNION ALL SELECT 'deployment_id', deployment_id, {iso_sql('min(computed_at)')}, arg_min(model_version, (computed_at, result_id)) FROM recs WHERE deployment_id IS NOT NULL GROUP BY deployment_id
 """)
 def store_dimensions(spark, sf):
     rows = records(spark, sf)
     parts = [
-        st.first_seen(rows, c).select(F.lit(c).alias("dimension"), F.col(c).alias("value"), iso("created_at").alias("created_at"))
+        st.first_seen(rows, c).select(
+            F.lit(c).alias("dimension"), F.col(c).alias("value"), iso("created_at").alias("created_at"),
+            (F.col("model_version") if c == "deployment_id" else F.lit(None).cast("string")).alias("serves"))
         for c in ("model_version", "deployment_id")]
     return parts[0].unionByName(parts[1])
 

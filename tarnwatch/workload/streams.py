@@ -76,21 +76,22 @@ def streaming_redelivery_removal(spark, sf):
 
 @query("streaming_label_join", """
 WITH p AS (SELECT o_orderkey AS id, o_custkey, o_orderdate AS made FROM orders),
-l AS (SELECT l_orderkey AS id, l_linenumber AS revision, l_shipdate AS received_at, CASE WHEN l_orderkey % 17 = 0 THEN -1 ELSE o_custkey END AS entity FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT strftime(made, '%Y') AS year, count(*) AS matches, count(DISTINCT p.id) AS predictions FROM p JOIN l ON l.id = p.id AND l.entity = p.o_custkey AND received_at >= made AND received_at <= made + INTERVAL 91 DAY GROUP BY 1
+l AS (SELECT DISTINCT l_orderkey AS id, l_linenumber AS revision, l_shipdate AS received_at, CASE WHEN l_orderkey % 17 = 0 THEN -1 ELSE o_custkey END AS entity FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+m AS (SELECT p.id, made, received_at FROM p LEFT JOIN l ON l.id = p.id AND l.entity = p.o_custkey AND received_at >= made AND received_at <= made + INTERVAL 91 DAY),
+w AS (SELECT least((SELECT max(made) FROM p), (SELECT max(received_at) FROM l)) - INTERVAL 24 HOUR AS mark)
+SELECT strftime(made, '%Y') AS year, count(received_at) AS matches, count(DISTINCT id) FILTER (received_at IS NOT NULL) AS predictions,
+  count(*) FILTER (received_at IS NULL) AS unmatched FROM m, w WHERE received_at IS NOT NULL OR made + INTERVAL 91 DAY < mark GROUP BY 1
 """)
 def streaming_label_join(spark, sf):
-    """Stream-stream join; the delay covers the whole disorder of the files, so nothing is late."""
+    """Stream-stream join with the default delay: matches at once, unmatched predictions when the watermark has passed their
+    horizon and their state is dropped."""
     p = stream_of(spark, predictions(spark, sf).dropDuplicates(["prediction_id"]))
-    once = labels(spark, sf)
-    keep = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("prediction_id"), F.col("l_linenumber").alias("label_revision"),
-                                               F.col("l_shipdate").alias("received_at"), (F.col("l_returnflag") == "R").alias("churned_within_horizon"))
-    entity = once.select("prediction_id", "entity_key", "key_id").distinct()
-    lines = stream_of(spark, keep.join(entity, "prediction_id"))
-    df = sl.matched_stream(p, lines, delay="3650 days", how="inner")
-    found = collected(spark, df)
+    once = labels(spark, sf).dropDuplicates(["prediction_id", "label_revision", "received_at"])
+    found = collected(spark, sl.matched_stream(p, stream_of(spark, once)))
+    known = F.col("received_at").isNotNull()
     return found.groupBy(F.date_format("prediction_at", "yyyy").alias("year")).agg(
-        F.count(F.lit(1)).alias("matches"), F.countDistinct("prediction_id").alias("predictions"))
+        F.count_if(known).alias("matches"), F.countDistinct(F.when(known, F.col("prediction_id"))).alias("predictions"),
+        F.count_if(~known).alias("unmatched"))
 
 
 def _event_profile(spark, sf):
@@ -139,7 +140,7 @@ def streaming_categorical_drift(spark, sf):
 LIFECYCLE_SQL = """
 WITH RECURSIVE acts AS (
   SELECT user_id AS alert_id, ts, event_id, event_id % 7 <> 0 AS ok, CASE event_type WHEN 'click' THEN 'acknowledge' WHEN 'purchase' THEN 'resolve' WHEN 'error' THEN 'suppress' ELSE 'reopen' END AS action,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type <> 'view'),
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 run AS (
   SELECT DISTINCT alert_id, CAST(0 AS BIGINT) AS k, 'open' AS state, 0 AS accepted FROM acts
   UNION ALL
@@ -154,8 +155,8 @@ SELECT CAST(alert_id AS VARCHAR) AS alert_id, state, count(*) AS n, CAST(sum(acc
 @query("streaming_alert_lifecycle", LIFECYCLE_SQL)
 def streaming_alert_lifecycle(spark, sf):
     """State after every action, counted per alert and state."""
-    log = actions(spark, sf).withColumn("action_id", F.col("action_id").cast("string"))
-    ordered = log.withColumn("action_id", F.lpad("action_id", 20, "0"))
-    df = sy.transitions(stream_of(spark, ordered))
-    return collected(spark, df).groupBy("alert_id", "state").agg(
+    log = actions(spark, sf).withColumn("action_id", F.lpad(F.col("action_id").cast("string"), 20, "0"))
+    home = scratch(spark, "lifecycle")
+    sy.run_lifecycle(stream_of(spark, log), home, scratch(spark, "lifecycle-checkpoint"))
+    return sy.history(spark, home).groupBy("alert_id", "state").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("accepted")).alias("accepted"))

@@ -13,6 +13,7 @@ from tarnwatch.operators import store as st
 from tarnwatch.operators import telemetry as te
 from tarnwatch.sources import files, manifest, results
 from tarnwatch.sources.files import EVIDENCE_SCHEMA
+from tarnwatch.streaming import lifecycle as lc
 
 START = datetime(2024, 3, 11)
 POLICY = AlertPolicy(minimum_sample_size=60, minimum_coverage=0.7)
@@ -91,6 +92,33 @@ def log(spark, *rows):
         "alert_id string, action_id int, at timestamp, action string, actor_id string, reason string")
 
 
+def test_delivery_again_after_a_day_and_on_higher_severity(spark):
+    rows = [("a", START + timedelta(hours=12 * k), k, 0) for k in range(20)]
+    rows += [("b", START, 0, 0), ("b", START + timedelta(hours=1), 1, 2), ("b", START + timedelta(hours=2), 2, 1),
+             ("b", START + timedelta(hours=25), 3, 0), ("b", START + timedelta(hours=24, minutes=59), 4, 2), (None, START, 0, 0), (None, START, 1, 0)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, id int, severity int")
+    got = al.delivery_decisions(df, ["k"], "at", "id", F.col("severity"))
+    assert got.count() == len(rows)
+    delivered = sorted((r["k"] or "", r["id"]) for r in got.where("delivered").collect())
+    assert delivered == [("", 0)] + [("a", k) for k in range(0, 20, 2)] + [("b", 0), ("b", 1), ("b", 3)]
+    assert al.delivery_decisions(df.limit(0), ["k"], "at", "id").count() == 0
+
+
+def test_settled_batches_follow_each_other(spark):
+    def log(*rows):
+        return spark.createDataFrame([(a, i, START + timedelta(hours=h), act, "me", "why") for a, i, h, act in rows],
+                                     "alert_id string, action_id string, at timestamp, action string, actor_id string, reason string")
+
+    none = spark.createDataFrame([], "alert_id string, state string")
+    first = lc.settle(log(("x", "1", 1, "resolve"), ("x", "2", 2, "acknowledge"), ("x", "3", 3, "acknowledge"), ("y", "4", 1, "suppress"), ("y", "5", 2, "resolve")), none)
+    assert [(r["action_id"], r["accepted"], r["state"]) for r in first.orderBy("action_id").collect()] == [
+        ("1", False, "open"), ("2", True, "acknowledged"), ("3", False, "acknowledged"), ("4", True, "suppressed"), ("5", False, "suppressed")]
+    states = spark.createDataFrame([("x", "acknowledged"), ("y", "suppressed")], "alert_id string, state string")
+    second = lc.settle(log(("x", "6", 5, "acknowledge"), ("x", "7", 6, "resolve"), ("x", "8", 7, "suppress"), ("y", "9", 5, "resolve")), states)
+    assert [(r["accepted"], r["state"]) for r in second.orderBy("action_id").collect()] == [
+        (False, "acknowledged"), (True, "resolved"), (False, "resolved"), (False, "suppressed")]
+
+
 def test_lifecycle(spark):
     rows = log(
         spark, ("a", 1, "acknowledge", "x", "r"), ("a", 2, "resolve", "x", "r"), ("b", 1, "resolve", "x", "r"),
@@ -133,6 +161,12 @@ def test_ingest_is_idempotent_and_private(spark, tmp_path):
         ("x", "invalid"), ("y", "invalid")]
     assert outcome(recs(spark, rec("z", status="warning", computed=NOW + timedelta(hours=1)), rec("z"), rec("z"))) == [
         ("z", "conflict"), ("z", "ingested")]
+    spoiled = rec("q", n=-1, computed=NOW)
+    assert outcome(recs(spark, spoiled, rec("q", computed=NOW + timedelta(hours=1)))) == [("q", "ingested"), ("q", "invalid")]
+    assert store.read().where("result_id = 'q'").first()["sample_size"] == 500
+    assert store.dimension("deployment_id").first()["model_version"] == "m"
+    store = st.MetricsTable(spark, str(tmp_path / "other"))
+    assert outcome(recs(spark, rec(), rec("z"))) == [("r1", "ingested"), ("z", "ingested")]
     assert store.count() == 2 and store.count("monitoring") == 2 and store.count("alert") == 0
 
 

@@ -93,6 +93,25 @@ def test_cohorts_and_definitions(spark):
     assert [r["problem"] for r in gap.problems().collect()] == ["cohort"]
 
 
+def test_an_unfit_cohort_is_refused(spark):
+    """Mixed lineage, a null beside a value, two label definitions, a gap, and an unfit score: no metrics, and the reason."""
+    def told(predictions, labels=BASE_L):
+        row = run(spark, predictions, labels).report().first()
+        assert row["roc_auc"] is None and row["tp"] is None
+        return row["status"], row["reasons"]
+
+    other = list(BASE_P[3])
+    other[6] = "m2"
+    assert told([*BASE_P[:3], tuple(other)]) == ("not_available", "lineage")
+    other[6] = None
+    assert told([*BASE_P[:3], tuple(other)]) == ("not_available", "lineage")
+    assert told(BASE_P, [*BASE_L[:-1], l("p4", False, definition="d2")]) == ("not_available", "label_definition")
+    assert told([*BASE_P, p("p6", 0.7, datetime(2026, 2, 1))]) == ("not_available", "cohort")
+    assert told([*BASE_P[:3], p("p4", float("nan"))]) == ("not_available", "probability")
+    both = run(spark, [*BASE_P, p("p6", 0.7, datetime(2026, 2, 1))], BASE_L).report({"month": F.date_format("prediction_at", "MM")})
+    assert {r["month"]: r["status"] for r in both.collect()} == {"02": "not_available", "04": "stable"}
+
+
 def test_production_needs_approval(spark):
     with pytest.raises(PolicyError):
         run(spark, BASE_P, BASE_L, origin="production")
