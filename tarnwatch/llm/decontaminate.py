@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnwatch.llm import textkit as tk
+from tarnwatch.llm.batches import small_batches
 
 K1, B = 1.2, 0.75
 BLOCK = 8                   # items of an index block
@@ -194,6 +195,7 @@ def leaks(docs: DataFrame, items: DataFrame, least_score: float = 0.5, least_ove
           index_bytes: int = 32 << 20) -> DataFrame:
     """One row per document and leaked item, with the best passage (its first word counted from 0)."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.select("item_id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, out = int(total // index_bytes) + 1, None

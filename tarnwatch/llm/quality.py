@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tarnwatch.llm import textkit as tk
+from tarnwatch.llm.batches import small_batches
 
 BUCKETS = 1 << 18
 STEMS = (4, 5)              # bytes of the word beginnings that are features too
@@ -272,6 +273,7 @@ SCORES = ("p_quality", "p_toxic", "p_quality_text", "p_quality_meta", "p_toxic_t
 def score(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
     """All columns of docs, and the probabilities SCORES."""
     shared = docs.sparkSession.sparkContext.broadcast(heads)
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tarnwatch.llm.batches import small_batches
 from tarnwatch.llm.urls import url_parts
 from tarnwatch.plans.freeze import freeze
 
@@ -335,6 +336,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     host, _ = url_parts(F.col("url"))
     mains = freeze(infer(pages).select("host", "main"), "wrappers")
     rows = pages.select("page_id", "url", "html", host.alias("host")).join(mains, "host", "left").select("page_id", "url", "html", "main")
