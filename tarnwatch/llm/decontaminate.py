@@ -32,7 +32,8 @@ from tarnwatch.llm import textkit as tk
 from tarnwatch.llm.batches import small_batches
 
 K1, B = 1.2, 0.75
-BLOCK = 8                   # items of an index block
+BLOCK = 4                   # items of an index block
+TABLE = 1 << 24             # cells of the largest table of block maxima (float32)
 SCHEMA = "doc_id long, item_id long, passage long, score double, question double, answer double, overlap double"
 
 
@@ -49,6 +50,7 @@ class Index:
     block_share: np.ndarray     # largest share of the term in the block
     opens: np.ndarray           # whether the term can bring an item over the threshold
     closed: np.ndarray          # per block: most that terms which open nothing add
+    maxima: np.ndarray | None   # terms by blocks, if that is a small table
     words: list                 # per item: word hashes, number of question words
     longest: int
 
@@ -108,8 +110,12 @@ def build_index(items: list[tuple[int, str]], least_score: float) -> Index | Non
     shut = ~opens[number]
     rest = np.bincount(item[shut], share[shut], len(kept))
     closed = np.array([rest[k:k + BLOCK].max() for k in range(0, len(kept), BLOCK)])
+    maxima = None
+    if len(terms) * len(closed) <= TABLE:
+        maxima = np.zeros((len(terms), len(closed)), np.float32)
+        maxima[block_term, block] = block_share
     return Index(np.array([i for i, _, _ in kept]), terms, starts, item, weight, share,
-                 np.searchsorted(block_term, np.arange(len(terms) + 1)), block, block_share, opens, closed,
+                 np.searchsorted(block_term, np.arange(len(terms) + 1)), block, block_share, opens, closed, maxima,
                  [(w, n) for _, w, n in kept], int(lengths.max()))
 
 
@@ -137,18 +143,30 @@ def retrieve(index: Index, hashes: np.ndarray, firsts: np.ndarray, least_score:
     once = np.unique(passage * len(index.terms) + words)
     passage, words = once // len(index.terms), once % len(index.terms)
 
-    opening = index.opens[words]
-    p, w = passage[opening], words[opening]
-    owner, entry = _expand(index.block_starts, w)
     blocks = len(index.closed)
-    key, inverse = np.unique(p[owner] * blocks + index.block[entry], return_inverse=True)
-    bound = np.bincount(inverse, index.block_share[entry], len(key)) + index.closed[key % blocks]
-    key = key[bound >= least_score - 1e-9]
+    if index.maxima is not None:
+        # Blocks few enough for a table: the sum of maxima of every block, for runs of passages.
+        starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1]))) if len(passage) else passage
+        names, kept = passage[starts], []
+        for k in range(0, len(starts), 512):
+            lo, hi = starts[k], starts[k + 512] if k + 512 < len(starts) else len(words)
+            bound = np.add.reduceat(index.maxima[words[lo:hi]], starts[k:k + 512] - lo, axis=0)
+            row, block = np.nonzero(bound >= least_score - 1e-5)
+            kept.append(names[k + row] * blocks + block)
+        key = np.concatenate(kept) if kept else passage
+    else:
+        opening = index.opens[words]
+        p, w = passage[opening], words[opening]
+        owner, entry = _expand(index.block_starts, w)
+        key, inverse = np.unique(p[owner] * blocks + index.block[entry], return_inverse=True)
+        bound = np.bincount(inverse, index.block_share[entry], len(key)) + index.closed[key % blocks]
+        key = key[bound >= least_score - 1e-9]
 
     found = []
-    lists = np.searchsorted(passage, np.unique(key // blocks))
-    ends = np.searchsorted(passage, np.unique(key // blocks), "right")
-    for name, a, b in zip(np.unique(key // blocks), lists, ends):
+    open_passages = np.unique(key // blocks)
+    lists = np.searchsorted(passage, open_passages)
+    ends = np.searchsorted(passage, open_passages, "right")
+    for name, a, b in zip(open_passages, lists, ends):
         owner, entry = _expand(index.starts, words[a:b])
         score = np.bincount(index.posted[entry], index.weight[entry], len(index.items))
         part = np.bincount(index.posted[entry], index.share[entry], len(index.items))
