@@ -3,8 +3,9 @@
 A document's set of 5-word shingles is XOR-hashed into a sketch of m cells of 64 bits. A shingle that only one of two
 documents has changes one cell, so the number of cells that differ (the Hamming distance of the sketches, cell by cell) never
 exceeds the symmetric difference D of the sets, and D <= (|A| + |B|) / 7 is the same as a Jaccard similarity of 0.75 or more.
-Size bands fix m. By the pigeonhole principle, two similar documents agree in one of the first D + 1 cells that are
-filled; only these are joined. Cells are ranges of the hash, so a document sorts its shingles once and reads off its cells.
+Size bands fix m. By the pigeonhole principle, of the first D + 1 + q filled cells two similar documents agree in 1 + q at
+least; these cells are joined, and pairs are counted by cells. Cells are ranges of the hash, so a document sorts its shingles
+once and reads off its cells.
 
 A document takes part in the band of its own size and in the next one, if a partner may be in it. Dropping a fixed set of
 shingles from all sketches keeps the bound, so shingles that very many documents share stay out of them (they'd fill cells
@@ -12,10 +13,14 @@ alone); a document left with fewer filled cells than the bound asks for also joi
 shingles, and by its smallest shingles if that is too short as well. If one of two partners has enough cells in a sketch, the
 pair meets there, so nothing is lost. Which shingles are left out changes the plan, never the result.
 
-Documents with equal sets are one vertex from the start. In a bucket of agreeing cells each document is compared with the
-first one only; after the components of these links are known, the documents of a bucket that lie in different components
-are compared with each other. Links inside a component can't change the classes, so no class is ever written as pairs.
-Every candidate is verified on the whole texts.
+Documents with equal sets are one vertex from the start. In a bucket of agreeing cells each document is first compared with
+the smallest one only. After the components of these links are known, buckets are read as sets of components: two
+components that share too few cells can't hold a link; for the others, the members of the smaller one are held against the
+members of the larger one by a second, bit-wise parity sketch, whose Hamming distance bounds D as well, and only the pairs
+within the bound are verified. Documents that meet in the second sketch (large groups of copies, and texts made of common
+passages) are put into families by their buckets; a family is compared in blocks of texts, inside tasks, by the bit-wise sketch and
+then the sets, and a block puts out only links that connect what wasn't connected yet. Links inside a component can't change
+the classes, so no class is ever written as pairs. Every link is verified on the whole texts.
 
 Defined results: a null text, or one without words, has an empty set and no links; with fewer than five words the whole
 sequence is the one shingle; rows that share a doc_id are one vertex; a null doc_id is a vertex of its own (all such rows
@@ -31,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnwatch.llm import textkit as tk
+from tarnwatch.llm.batches import small_batches
 from tarnwatch.llm.exprs import components, partitions
 from tarnwatch.plans.freeze import freeze
 
 NO_ID = -(2**63)
 HOT_SHINGLES = 400_000      # most shingles that are left out of sketches: 8 bytes each in every task
-LEAST_HOT = 32              # documents that share a shingle before it may be left out
+LEAST_HOT = 16              # documents that share a shingle before it may be left out
 CHUNK = 1_500_000           # cells a task holds before it hands them on
+BLOCK = 400_000             # shingles of a block of a family
 FILTER_WORDS = 1 << 20      # words of 63 bits in the filter that tells which texts candidates need
 
 
@@ -57,6 +64,20 @@ def set_digest(found: np.ndarray) -> tuple[int, int]:
     return (int(a.sum().astype(np.int64)), int(b.sum().astype(np.int64))) if len(found) else (0, 0)
 
 
+def margin(n: int) -> int:
+    """Cells beyond the first that two similar documents share at least, if the smaller has n shingles."""
+    return n // 16
+
+
+def bits_of(found: np.ndarray) -> bytes:
+    """Parity sketch of single bits, four or more a shingle (a power of two, so a longer one folds to a shorter one)."""
+    if not len(found):
+        return b""
+    size = 1 << max(6, int(4 * len(found) - 1).bit_length())
+    odd = np.bincount((tk.mixed(found ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def cells(found: np.ndarray, m: int, need: int, tag: int) -> tuple[np.ndarray, bool]:
     """Keys of the first `need` filled cells of the sketch of m cells, and whether there are as many."""
     if not len(found):
@@ -68,9 +89,9 @@ def cells(found: np.ndarray, m: int, need: int, tag: int) -> tuple[np.ndarray, b
     return tk.mixed(parity ^ tk.mixed(cell[starts[:need]] + np.uint64(tag))), enough
 
 
-def cell_keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Every key by which a document with this set of shingles meets its partners."""
-    n, out = len(found), []
+def cell_keys(found: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every key by which a document with this set of shingles meets its partners: of the first sketch, and of the others."""
+    n, out, more = len(found), [], [np.zeros(0, np.uint64)]
     rare = found
     if len(hot):
         at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
@@ -79,19 +100,20 @@ def cell_keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     last = int(np.searchsorted(BANDS, n * 4 // 3, "right")) - 1
     for band in range(own, last + 1):
         largest = int(BANDS[band + 1]) - 1
-        need = (n + min(n * 4 // 3, largest)) // 7 + 1
+        need = (n + min(n * 4 // 3, largest)) // 7 + 1 + margin(n)
         tag = band << 48
-        got, enough = cells(rare, 2 * largest // 7 * 21 // 20 + 1, need, tag)
+        got, enough = cells(rare, 2 * largest // 5 + 1, need, tag)
         out.append(got)
         if not enough:
-            got, enough = cells(found, largest, need, tag + (1 << 56))
-            out.append(got)
+            got, enough = cells(found, largest * 3 // 4 + 1, need, tag + (1 << 56))
+            more.append(got)
         if not enough:
-            out.append(tk.mixed(found[:need] + np.uint64(tag + (2 << 56))))
-    return np.concatenate(out)
+            more.append(tk.mixed(found[:need] + np.uint64(tag + (2 << 56))))
+    return np.concatenate(out), np.concatenate(more)
 
 
 FIRST_SCHEMA = "kind int, a long, b long, c long, d long"
+DESCRIBED = FIRST_SCHEMA + ", bits binary"
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -107,20 +129,25 @@ def _rows(kind: int, *columns) -> pa.RecordBatch:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, size and digest of every document; kind 1: shingles that several documents of a chunk share."""
+    """kind 0: doc_id, size, digest and bit sketch of every document; kind 1: shingles that several documents of a chunk share."""
     held, held_n = [], 0
     for batch in batches:
         ids, sizes, digests = _ids(batch), np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64)
+        bits = [b""] * len(batch)
         for row, found in tk.shingle_sets(batch.column("text")):
-            sizes[row], digests[row] = len(found), set_digest(found)
+            sizes[row], digests[row], bits[row] = len(found), set_digest(found), bits_of(found)
             held.append(found)
             held_n += len(found)
             if held_n >= CHUNK * 2:
-                yield _shared(held)
+                yield _with_bits(_shared(held))
                 held, held_n = [], 0
-        yield _rows(0, ids, sizes, digests[:, 0], digests[:, 1])
+        yield _with_bits(_rows(0, ids, sizes, digests[:, 0], digests[:, 1]), bits)
     if held:
-        yield _shared(held)
+        yield _with_bits(_shared(held))
+
+
+def _with_bits(batch: pa.RecordBatch, bits: list[bytes] | None = None) -> pa.RecordBatch:
+    return batch.append_column("bits", pa.array(bits, pa.binary()) if bits else pa.nulls(len(batch), pa.binary()))
 
 
 def _shared(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -147,26 +174,35 @@ def _hot(described: DataFrame) -> np.ndarray:
 
 
 def _emit(hot, groups: int):
+    """Keys of every distinct set; those of the first sketch go to parts below `groups`, the others to an eighth as many behind."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, ids, held = set(), [], [], 0
+        seen, held = set(), 0
+        keys, ids = ([], []), ([], [])
         for batch in batches:
             own = _ids(batch)
             for row, found in tk.shingle_sets(batch.column("text")):
-                if not len(found) or (digest := set_digest(found)) in seen:
+                if len(found) < 3 or (digest := set_digest(found)) in seen:     # smaller sets link with equal ones only
                     continue
                 seen.add(digest)
-                keys.append(cell_keys(found, hot.value))
-                ids.append(np.full(len(keys[-1]), own[row]))
-                held += len(keys[-1])
+                for k, got in enumerate(cell_keys(found, hot.value)):
+                    keys[k].append(got)
+                    ids[k].append(np.full(len(got), own[row]))
+                    held += len(got)
                 if held >= CHUNK:
-                    yield _packed(keys, ids, groups)
-                    keys, ids, held = [], [], 0
+                    yield from _both(keys, ids, groups)
+                    keys, ids, held = ([], []), ([], []), 0
         if held:
-            yield _packed(keys, ids, groups)
+            yield from _both(keys, ids, groups)
     return run
 
 
-def _packed(keys: list[np.ndarray], ids: list[np.ndarray], groups: int) -> pa.RecordBatch:
+def _both(keys, ids, groups: int) -> Iterator[pa.RecordBatch]:
+    for k, (first, count) in enumerate(((0, groups), (groups, max(1, groups // 8)))):
+        if sum(map(len, keys[k])):
+            yield _packed(keys[k], ids[k], first, count)
+
+
+def _packed(keys: list[np.ndarray], ids: list[np.ndarray], first: int, groups: int) -> pa.RecordBatch:
     """One row per group of keys: 48 bits of every key, and the documents."""
     key, doc = np.concatenate(keys), np.concatenate(ids)
     group = ((key >> np.uint64(48)) % np.uint64(groups)).astype(np.uint16)
@@ -176,13 +212,18 @@ def _packed(keys: list[np.ndarray], ids: list[np.ndarray], groups: int) -> pa.Re
     full = np.flatnonzero(cuts[1:] > cuts[:-1])
     low = key.view(np.uint8).reshape(-1, 8)[:, :6]
     return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array([low[cuts[g]:cuts[g + 1]].tobytes() for g in full], pa.binary()),
+        [pa.array((full + first).astype(np.int32)), pa.array([low[cuts[g]:cuts[g + 1]].tobytes() for g in full], pa.binary()),
          pa.array([doc[cuts[g]:cuts[g + 1]].tobytes() for g in full], pa.binary())], ["part", "keys", "docs"])
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """kind 0: pairs of a bucket's first document with each other one; kind 1: buckets of three or more, one row per document.
-    Buckets with equal documents are one."""
+def _meet(groups: int):
+    return lambda table: _met(table, table.column("part")[0].as_py() >= groups)
+
+
+def _met(table: pa.Table, second: bool) -> pa.Table:
+    """kind 0: (a, b, cells) of a bucket's first document with each other one; kind 1: (bucket, document, cells) of buckets of three or
+    more; kind 2: as kind 0, of buckets of two. Buckets of equal documents are one, with the number of cells.
+    kind 3: (a, b) of a bucket's first document with each other one, of the second sketch."""
     low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("keys")]).reshape(-1, 6)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :6] = low
@@ -202,16 +243,22 @@ def _meet(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.append(starts, len(key)))
     name = np.add.reduceat(tk.mixed(doc.view(np.uint64)), starts) + sizes.astype(np.uint64)
-    _, once = np.unique(name, return_index=True)
-    once = once[sizes[once] > 1]
-    picked = np.zeros(len(starts), bool)
-    picked[once] = True
-    rows = np.repeat(picked, sizes)
-    first = np.repeat(doc[starts], sizes)
-    pairs = rows & (first != doc)
-    pairs = np.unique(np.stack([first[pairs], doc[pairs]]), axis=1)
-    large = rows & np.repeat(sizes > 2, sizes)
-    return pa.Table.from_batches([_rows(0, *pairs), _rows(1, np.repeat(name, sizes)[large].view(np.int64), doc[large])])
+    _, once, times = np.unique(name, return_index=True, return_counts=True)
+    count = np.zeros(len(starts), np.int64)
+    count[once] = times
+    count[sizes < 2] = 0
+    rows = np.repeat(count > 0, sizes)
+    first, cells_, size = np.repeat(doc[starts], sizes), np.repeat(count, sizes), np.repeat(sizes, sizes)
+    if second:
+        pair = np.unique(np.stack([first[rows & (first != doc)], doc[rows & (first != doc)]]), axis=1)
+        return pa.Table.from_batches([_rows(3, *pair)])
+    out = []
+    for kind, chosen in ((0, rows & (first != doc) & (size > 2)), (2, rows & (first != doc) & (size == 2))):
+        pair, number = np.unique(np.stack([first[chosen], doc[chosen]]), axis=1, return_inverse=True)
+        out.append(_rows(kind, *pair, np.bincount(number.ravel(), cells_[chosen], pair.shape[1])))
+    large = rows & (size > 2)
+    out.append(_rows(1, np.repeat(name, sizes)[large].view(np.int64), doc[large], cells_[large]))
+    return pa.Table.from_batches(out)
 
 
 def _bit(column: str):
@@ -260,12 +307,46 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch at `size` bytes."""
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def _near(key, members: pa.Table, others: pa.Table) -> pa.Table:
+    """Pairs of a member and another document that sizes and bit sketches allow to be similar."""
+    a, b = [], []
+    if members.num_rows and others.num_rows:
+        ids, sizes = members.column("id").to_numpy(), members.column("n").to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        ids, sizes = ids[order], sizes[order]
+        raw = members.column("bits").combine_chunks().take(pa.array(order))
+        folded: dict[int, np.ndarray] = {}
+        for other, n, bits in zip(others.column("id").to_pylist(), others.column("n").to_pylist(), others.column("bits")):
+            lo, hi = np.searchsorted(sizes, -(-3 * n // 4)), np.searchsorted(sizes, n * 4 // 3, "right")
+            own = np.frombuffer(bits.as_buffer(), np.uint8)
+            width = min([len(own)] + ([len(raw[int(lo)].as_buffer())] if lo < hi else []))
+            if lo >= hi:
+                continue
+            if width not in folded:
+                folded[width] = np.stack([_fold(np.frombuffer(x.as_buffer(), np.uint8), width) if len(x.as_buffer()) >= width
+                                          else np.zeros(width, np.uint8) for x in raw]).view(np.uint64)
+            distance = np.bitwise_count(folded[width][lo:hi] ^ _fold(own, width).view(np.uint64)).sum(1)
+            close = np.flatnonzero((7 * distance.astype(np.int64) <= sizes[lo:hi] + n) & (ids[lo:hi] != other)) + lo
+            a.append(np.minimum(ids[close], other))
+            b.append(np.maximum(ids[close], other))
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of docs (doc_id, text). n_links counts the verified links of
     the document's set; it is enough to connect its class, and zero only where there are no links to other sets."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
-    described = freeze(docs.mapInArrow(_describe, FIRST_SCHEMA), "shingle_sets")
+    described = freeze(docs.mapInArrow(_describe, DESCRIBED), "shingle_sets")
     sets = described.where("kind = 0").select(
         F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))
     firsts = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
@@ -274,25 +355,18 @@ def classes(docs: DataFrame) -> DataFrame:
     groups = min(4 * partitions(spark), 1 << 15)
     hot = spark.sparkContext.broadcast(_hot(described))
     packed = docs.mapInArrow(_emit(hot, groups), "part int, keys binary, docs binary")
-    met = freeze(packed.groupBy("part").applyInArrow(_meet, FIRST_SCHEMA), "met")
+    met = freeze(packed.groupBy("part").applyInArrow(_meet(groups), FIRST_SCHEMA), "met")
 
-    # A document of two texts meets under one id; each pair is tried between all texts of both.
-    first = _of_sets(met.where("kind = 0").select("a", "b"), reps)
-    first = freeze(first, "first_pairs")
+    stars = met.where("kind in (0, 2)").groupBy("a", "b").agg(F.sum("c").alias("cells"))
+    stars = freeze(_of_sets(stars, reps), "stars")
+    # Any pairs would do here: what this first round misses is found below.
+    first = freeze(stars.where("8 * cells >= 1 + least(na, nb) div 16").select("a", "b"), "first_pairs")
     links = freeze(verified(docs, first), "first_links")
     same = reps.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    label = components(links.select("a", "b").unionByName(same))
+    label = freeze(components(links.select("a", "b").unionByName(same)), "first_labels")
 
-    members = met.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).join(
-        label, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    members = freeze(members.join(mixed, "bucket"), "mixed_buckets")
-    left, right = members.alias("x"), members.alias("y")
-    across = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    across = _of_sets(across, reps).join(first, ["a", "b"], "left_anti")
-    more = freeze(verified(docs, across), "more_links")
-    links = links.unionByName(more).select("a", "b").distinct()
+    more = freeze(verified(docs, _across(met, stars, reps, described, label).join(first, ["a", "b"], "left_anti")), "more_links")
+    links = links.unionByName(more).unionByName(freeze(_in_families(docs, met, reps, label), "family_links")).select("a", "b").distinct()
     label = freeze(components(links.unionByName(same)), "labels")
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = reps.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("id", "rep"), "rep").select("id", "links")
@@ -303,12 +377,107 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
 
 
+def _in_families(docs: DataFrame, met: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
+    """Links among the documents that meet in the second sketch: as many as connect them, (a, b)."""
+    of = reps.select(F.col("id").alias("i"), F.col("rep").alias("r"))
+    edges = met.where("kind = 3").join(of.withColumnRenamed("i", "a").withColumnRenamed("r", "ra"), "a").join(
+        of.withColumnRenamed("i", "b").withColumnRenamed("r", "rb"), "b")
+    family = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "families")
+    members = family.select(F.col("component").alias("family"), F.col("node").alias("rep")).join(
+        reps.groupBy("rep").agg(F.max("n").alias("n")), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    members = members.select("family", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("pieces"),
+                                          F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    members = freeze(members.join(sizes.select("family", "pieces"), "family"), "family_members")
+    texts = _texts(docs, members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    piece = F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")
+    rows = members.withColumn("piece", piece).join(texts.withColumnRenamed("doc_id", "rep"), "rep").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    rows = rows.select("family", F.least("piece", "other").alias("p"), F.greatest("piece", "other").alias("q"), "piece", "rep", "label", "text")
+    return rows.groupBy("family", "p", "q").applyInArrow(_block_links, "a long, b long")
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between two pieces of a family, or within one, that connect labels which nothing before connects."""
+    table = table.combine_chunks()
+    sets = [found for _, found in tk.shingle_sets(table.column("text").chunk(0) if table.num_rows else pa.array([], pa.string()))]
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets = [sets[k] for k in order]
+    size = np.array([len(x) for x in sets], np.int64)
+    ids, root, piece = (table.column(n).to_numpy()[order].copy() for n in ("rep", "label", "piece"))
+    apart = table.num_rows > 0 and table.column("p")[0].as_py() != table.column("q")[0].as_py()
+    bits = [np.frombuffer(bits_of(x), np.uint8) for x in sets]
+    widths: dict[int, np.ndarray] = {}
+    a, b = [], []
+    for k in range(1, len(sets)):
+        lo = int(np.searchsorted(size, -(-3 * size[k] // 4)))
+        if lo >= k or not size[k]:
+            continue
+        width = len(bits[lo])
+        if width not in widths:
+            widths[width] = np.stack([_fold(x, width) if len(x) >= width else np.zeros(width, np.uint8) for x in bits]).view(np.uint64)
+        open_ = root[lo:k] != root[k]
+        if apart:
+            open_ &= piece[lo:k] != piece[k]
+        near = np.flatnonzero(open_) + lo
+        distance = np.bitwise_count(widths[width][near] ^ widths[width][k]).sum(1).astype(np.int64)
+        within = 7 * distance <= size[near] + size[k]
+        for j in near[within][np.argsort(distance[within], kind="stable")]:
+            if root[j] == root[k]:
+                continue
+            both = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
+            if 100 * both >= 75 * (size[j] + size[k] - both):
+                a.append(min(ids[j], ids[k]))
+                b.append(max(ids[j], ids[k]))
+                root[root == root[j]] = root[k]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _across(met: DataFrame, stars: DataFrame, reps: DataFrame, described: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs of sets in different components that may be similar: (a, b)."""
+    named = reps.join(label, F.col("rep") == F.col("node"), "left").select(
+        "id", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    named = freeze(named, "labelled_sets")
+    small = named.groupBy("label").agg(F.min("n").alias("least"), F.countDistinct("rep").alias("members"))
+
+    members = met.where("kind = 1").groupBy(F.col("a").alias("bucket"), F.col("b").alias("id")).agg(F.sum("c").alias("cells")).join(
+        named.select("id", "label").distinct(), "id").groupBy("bucket", "label").agg(F.max("cells").alias("cells"))
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    members = freeze(members.join(mixed, "bucket"), "mixed_buckets")
+    left, right = members.alias("x"), members.alias("y")
+    met_labels = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(
+        F.col("x.label").alias("p"), F.col("y.label").alias("q"), F.col("x.cells").alias("cells"))
+    of = named.select("id", "label").distinct()
+    twos = met.where("kind = 2").join(of.select(F.col("id").alias("a"), F.col("label").alias("p")), "a").join(
+        of.select(F.col("id").alias("b"), F.col("label").alias("q")), "b").where("p <> q").select(
+        F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.col("c").alias("cells"))
+    counted = met_labels.unionByName(twos).groupBy("p", "q").agg(F.sum("cells").alias("cells"))
+    counted = counted.join(small.select(F.col("label").alias("p"), F.col("least").alias("lp"), F.col("members").alias("mp")), "p").join(
+        small.select(F.col("label").alias("q"), F.col("least").alias("lq"), F.col("members").alias("mq")), "q")
+    close = counted.where("cells >= 1 + least(lp, lq) div 16")
+    # The smaller component asks, the larger one is asked, in pieces.
+    close = freeze(close.select(F.when(F.col("mp") <= F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("asking"),
+                                F.when(F.col("mp") <= F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("asked"),
+                                F.ceil(F.greatest("mp", "mq") / 2000).cast("int").alias("pieces")), "close_labels")
+    bits = described.where("kind = 0").select(F.col("a").alias("rep"), F.col("b").alias("n"), "bits")
+    own = named.where("id = rep").select("rep", "n", "label")
+    wanted = close.select(F.col("asking").alias("label")).union(close.select("asked")).distinct()
+    sketches = freeze(own.join(wanted, "label").distinct().join(bits, ["rep", "n"]).dropDuplicates(["rep", "n"]), "bit_sketches")
+    targets = sketches.join(close.select(F.col("asked").alias("label"), "pieces").distinct(), "label").select(
+        "label", F.pmod(F.xxhash64("rep"), "pieces").cast("int").alias("piece"), F.col("rep").alias("id"), "n", "bits")
+    askers = sketches.join(close.withColumnRenamed("asking", "label"), "label").select(
+        F.col("asked").alias("label"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("rep").alias("id"),
+        F.col("n").alias("n"), F.col("bits").alias("bits"))
+    return targets.groupBy("label", "piece").cogroup(askers.groupBy("label", "piece")).applyInArrow(_near, "a long, b long").distinct()
+
+
 def _of_sets(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs between the first documents of their sets, those whose sizes allow a link, each once."""
+    """The pairs between the first documents of their sets, those whose sizes allow a link, each once, with their cells and sizes."""
     left = reps.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na"))
     right = reps.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
     rows = pairs.join(left, "a").join(right, "b").where("ra <> rb and 4 * least(na, nb) >= 3 * greatest(na, nb)")
-    return rows.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    return rows.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(
+        F.max("cells").alias("cells"), F.min(F.least("na", "nb")).alias("na"), F.min(F.least("na", "nb")).alias("nb"))
 
 
 # For small tables: all pairs that share a shingle.
