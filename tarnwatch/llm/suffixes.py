@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnwatch.llm import textkit as tk
+from tarnwatch.llm.batches import small_batches
 from tarnwatch.llm.exprs import partitions
 from tarnwatch.plans.freeze import freeze
 
-GRAM = 22
+GRAM = 20
 NO_ID = 2**63 - 1
 NONE = -(2**63)             # stands for several documents
-CHUNK = 1_200_000           # anchors a task holds before it hands them on
-FILTER_WORDS = 1 << 20
+CHUNK = 500_000           # anchors a task holds before it hands them on
+FILTER_WORDS, SLICES = 1 << 20, 64
+SUFFIXES = 250_000          # suffixes that are sorted at once
 PLACE = (1 << 40) - 1       # lower bits of a place: the byte; upper bits: which of the rows of a doc_id
 
 
@@ -411,10 +413,24 @@ def _find(least: int, buckets: int):
 
 
 def _repeats(table: pa.Table, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Spans of the contexts of one part, some anchors at a time: only suffixes of one anchor can share `least` bytes."""
     key = _long(list(table.column("keys")))
     doc, begin = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(n)]) for n in ("docs", "places"))
     size = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in table.column("sizes")]).astype(np.int64)
     body = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("texts")])
+    length = size + least - 1
+    first = np.cumsum(length) - length
+    turns = int(size.sum()) // SUFFIXES + 1
+    turn = tk.mixed(key + np.uint64(1)) % np.uint64(turns)
+    for k in range(turns):
+        own = np.flatnonzero(turn == k)
+        if len(own):
+            n = length[own]
+            at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield from _anchors_repeats(key[own], doc[own], begin[own], size[own], body[at], least)
+
+
+def _anchors_repeats(key, doc, begin, size, body, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     length = size + least - 1
     ends = np.cumsum(length)
     digest = tk.mixed(tk.span_hashes(body, ends - length, ends) ^ tk.mixed(key))
@@ -491,38 +507,50 @@ def _strip(key, spans: pa.Table, texts: pa.Table) -> pa.Table:
         pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "row", "n_removed", "n_spans", "kept"])
 
 
-def _bits(rows: DataFrame, name) -> np.ndarray:
-    """A filter of fixed size (8 MB) of the rows' hashes."""
-    bit = F.pmod(name, F.lit(FILTER_WORDS * 63))
-    bits = rows.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 63).cast("long").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit % 63 as int))")).alias("bits")).toPandas()
-    words = np.zeros(FILTER_WORDS, np.int64)
-    words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return words
-
-
-def _wanted(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column("bit").to_numpy(zero_copy_only=False)
-            hit = (shared.value[bit // 63] >> (bit % 63)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(["bucket", "doc_id", "row", "text"])
-    return run
+def _bit(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return tk.mixed(doc.view(np.uint64) ^ tk.mixed(row.view(np.uint64) + np.uint64(1))) % np.uint64(FILTER_WORDS * 64)
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts that a task's anchors lie in, as a filter of fixed size (8 MB) in slices."""
+    words = np.zeros(FILTER_WORDS, np.uint64)
     for batch in batches:
         for docs, places in zip(batch.column("docs"), batch.column("places")):
             doc, row = np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(places.as_buffer(), np.int64) >> 40
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(row[new])], ["doc_id", "row"])
+            bit = _bit(doc[new], row[new])
+            np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    slices = words.reshape(SLICES, -1)
+    used = np.flatnonzero(slices.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([slices[k].tobytes() for k in used], pa.binary())], ["slice", "bits"])
+
+
+def _either(table: pa.Table) -> pa.Table:
+    bits = None
+    for value in table.column("bits"):
+        own = np.frombuffer(value.as_buffer(), np.uint64)
+        bits = own if bits is None else bits | own
+    return pa.table([table.column("slice")[:1], pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+
+
+def _filter(met: DataFrame) -> np.ndarray:
+    got = met.select("docs", "places").mapInArrow(_marks, "slice int, bits binary").groupBy("slice").applyInArrow(
+        _either, "slice int, bits binary").toArrow()
+    words = np.zeros((SLICES, FILTER_WORDS // SLICES), np.uint64)
+    for k, bits in zip(got.column("slice").to_pylist(), got.column("bits")):
+        words[k] = np.frombuffer(bits.as_buffer(), np.uint64)
+    return words.ravel()
 
 
-def _deal(buckets: int):
+def _wanted(shared, buckets: int):
+    """Texts that the filter lets through, with their bucket. Those it lets through without need are left out by the join."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket = _bucket_of(np.ascontiguousarray(batch.column("doc_id").to_numpy(zero_copy_only=False)), buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *batch.columns], ["bucket", *batch.schema.names])
+            doc, row = (np.ascontiguousarray(batch.column(n).to_numpy(zero_copy_only=False)) for n in ("doc_id", "row"))
+            bit = _bit(doc, row)
+            hit = (shared.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+            bucket = pa.array(_bucket_of(doc, buckets).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([bucket, *batch.columns], ["bucket", *batch.schema.names]).filter(pa.array(hit.astype(bool)))
     return run
 
 
@@ -530,7 +558,8 @@ def dedup(docs: DataFrame, least: int = 50, keep_bytes: bool = True) -> DataFram
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes, or their SHA-256 in hex) of every row of docs (doc_id, text): without
     the bytes that a string of `least` bytes covers which also starts in a document with a smaller doc_id."""
     spark = docs.sparkSession
-    parts, buckets = min(2 * partitions(spark), 1 << 15), min(4 * partitions(spark), 1 << 15)
+    small_batches(spark)
+    parts, buckets = min(partitions(spark), 1 << 15), min(2 * partitions(spark), 1 << 15)
     text = F.coalesce("text", F.lit(""))
     named = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(1 << 20)).alias("row"),
@@ -541,13 +570,8 @@ def dedup(docs: DataFrame, least: int = 50, keep_bytes: bool = True) -> DataFram
         _emit(least, parts), "part int, kind int, keys binary, docs binary, places binary")
     met = freeze(packed.groupBy("part").applyInArrow(_meet(buckets), MET), "shared_anchors")
 
-    names = met.select("docs", "places").mapInArrow(_names, "doc_id long, row long").distinct()
-    needed = names.join(owned.select(F.col("first").alias("doc_id"), "row"), ["doc_id", "row"], "left_semi")
-    name = F.xxhash64("doc_id", "row")
-    shared = spark.sparkContext.broadcast(_bits(needed, name))
-    texts = named.select("doc_id", "row", "text", F.pmod(name, F.lit(FILTER_WORDS * 63)).alias("bit")).mapInArrow(
-        _deal(buckets), "bucket int, doc_id long, row long, text string, bit long").mapInArrow(
-        _wanted(shared), "bucket int, doc_id long, row long, text string")
+    shared = spark.sparkContext.broadcast(_filter(met))
+    texts = named.select("doc_id", "row", "text").mapInArrow(_wanted(shared, buckets), "bucket int, doc_id long, row long, text string")
 
     contexts = met.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_cut(least, parts), CONTEXTS)
     spans = contexts.groupBy("part").applyInArrow(_find(least, buckets), SPANS)
