@@ -235,7 +235,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([m.tobytes() for m in meta], pa.binary())], ["doc_id", "quality", "toxic", "words", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: int = 3000) -> dict[str, Head]:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, unlabelled: int = 2000) -> dict[str, Head]:
     """Heads for quality and toxic from a sample of about `labelled` and `unlabelled` documents at most."""
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
     # Labels of one document that disagree are unknown.
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, unlabelled: in
     if not got.num_rows:
         return {"quality": constant(1.0), "toxic": constant(0.0)}
     words = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("words")]
-    x = Sparse(len(words), np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words).astype(np.int64))
+    x = Sparse(len(words), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words]), np.concatenate(words))
     meta = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in got.column("meta")]).astype(np.float64)
     ids = got.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
     held = tk.mixed(ids.view(np.uint64)) % np.uint64(4) == 0
