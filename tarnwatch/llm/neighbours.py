@@ -47,6 +47,9 @@ class Centroids:
         """The `beam` nearest centroids of each row that the graph leads to, and their distances; both in order."""
         n, k = len(x), len(self.points)
         beam = min(beam, k)
+        if n > 512:     # a few rows at a time: the search holds 64 candidates with their components per row
+            parts = [self.nearest(x[i:i + 512], beam) for i in range(0, n, 512)]
+            return np.concatenate([o for o, _ in parts]), np.concatenate([f for _, f in parts])
         far = np.full((n, k), np.inf)
         far[:, self.entries] = _distances(x, self.points[self.entries])
         opened = np.zeros((n, k), bool)
