@@ -520,9 +520,23 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
             bit = _bit(doc[new], row[new])
             np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    yield _slices(words)
+
+
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of (doc_id, row), as such a filter."""
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    for batch in batches:
+        doc, row = (np.ascontiguousarray(batch.column(n).to_numpy(zero_copy_only=False)) for n in ("doc_id", "row"))
+        bit = _bit(doc, row)
+        np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    yield _slices(words)
+
+
+def _slices(words: np.ndarray) -> pa.RecordBatch:
     slices = words.reshape(SLICES, -1)
     used = np.flatnonzero(slices.any(1))
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([slices[k].tobytes() for k in used], pa.binary())], ["slice", "bits"])
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([slices[k].tobytes() for k in used], pa.binary())], ["slice", "bits"])
 
 
 def _either(table: pa.Table) -> pa.Table:
@@ -533,9 +547,8 @@ def _either(table: pa.Table) -> pa.Table:
     return pa.table([table.column("slice")[:1], pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
 
 
-def _filter(met: DataFrame) -> np.ndarray:
-    got = met.select("docs", "places").mapInArrow(_marks, "slice int, bits binary").groupBy("slice").applyInArrow(
-        _either, "slice int, bits binary").toArrow()
+def _filter(rows: DataFrame, marks) -> np.ndarray:
+    got = rows.mapInArrow(marks, "slice int, bits binary").groupBy("slice").applyInArrow(_either, "slice int, bits binary").toArrow()
     words = np.zeros((SLICES, FILTER_WORDS // SLICES), np.uint64)
     for k, bits in zip(got.column("slice").to_pylist(), got.column("bits")):
         words[k] = np.frombuffer(bits.as_buffer(), np.uint64)
@@ -570,7 +583,9 @@ def dedup(docs: DataFrame, least: int = 50, keep_bytes: bool = True) -> DataFram
         _emit(least, parts), "part int, kind int, keys binary, docs binary, places binary")
     met = freeze(packed.groupBy("part").applyInArrow(_meet(buckets), MET), "shared_anchors")
 
-    shared = spark.sparkContext.broadcast(_filter(met))
+    # Texts with anchors to follow, and of equal texts the first one: both filters let through a few more.
+    firsts = owned.select(F.col("first").alias("doc_id"), "row")
+    shared = spark.sparkContext.broadcast(_filter(met.select("docs", "places"), _marks) & _filter(firsts, _first_rows))
     texts = named.select("doc_id", "row", "text").mapInArrow(_wanted(shared, buckets), "bucket int, doc_id long, row long, text string")
 
     contexts = met.groupBy("bucket").cogroup(texts.groupBy("bucket")).applyInArrow(_cut(least, parts), CONTEXTS)
