@@ -5,10 +5,11 @@ Each takes all its predecessor kept and returns the columns of documents (doc_id
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnwatch.llm import decontaminate as leaks, lines, mixing, neardup, quality
 from tarnwatch.llm.exprs import table
+from tarnwatch.plans.freeze import freeze
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,21 +26,26 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """The rows with a number of their own (_row), written once: a doc_id may be null, or that of several rows."""
+    return freeze(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), label)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest doc_id; of several rows with that doc_id, one."""
-    groups = neardup.classes(docs.select("doc_id", "text"))
-    first = groups.where(F.col("n_shingles") > 0).where("doc_id = component_id").select("doc_id")
-    alone = groups.where("n_shingles = 0 and doc_id is not null").select("doc_id")
-    keep = first.union(alone).distinct()
-    turn = Window.partitionBy("doc_id").orderBy("text", "source", "lang")
-    kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").withColumn("_k", F.row_number().over(turn)).where("_k = 1")
-    return kept.select(*COLUMNS)
+    """Of each class of similar rows the one with the smallest doc_id, one without doc_id only if none has it; of several
+    rows with that doc_id, one. Rows are told apart by number, so unlike texts of one doc_id, or without, all stay."""
+    rows = numbered(docs, "grouped_rows")
+    groups = neardup.classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64("text").alias("_text"), "source", "lang", "n_chars", "_row")
+    first = rows.select("_row", order.alias("_order")).join(groups, "_row").groupBy("component_id").agg(F.min("_order")["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    found = leaks.leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+    """Rows that leak no benchmark item, whatever their doc_id."""
+    rows = numbered(docs, "searched_rows")
+    found = leaks.leaks(rows.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,6 +280,24 @@ def test_stages_keep_their_columns_and_take_odd_rows(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_keep_rows_without_or_with_repeated_ids(spark):
+    rng = random.Random(32)
+    text = [sentence(rng, 60, 5000) for _ in range(8)]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()
+    leak = f"{sentence(rng, 90)} {bench.text} {sentence(rng, 40)}"
+    rows = [(None, text[0]), (None, text[1]), (7, text[1] + " more"), (5, text[1]), (None, text[2]), (None, text[2] + " more"), (None, text[2]),
+            (9, text[3]), (9, text[4]), (9, text[4]), (2, text[5]), (2, text[6]), (3, text[5] + " more"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], DOCS).repartition(4)
+    got = [(r.doc_id, r.text) for r in stages.one_of_each_group(spark, docs, SF).collect()]
+    kept = [(None, text[0]), (5, text[1]), (9, text[3]), (9, text[4]), (2, text[5]), (2, text[6]), (None, None), (None, "")]
+    without = [r for r in got if r in ((None, text[2]), (None, text[2] + " more"))]
+    assert len(without) == 1 and sorted(map(str, got)) == sorted(map(str, kept + without))
+    rows = [(None, leak), (None, text[0]), (4, leak), (4, text[1]), (5, text[2]), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], DOCS).repartition(3)
+    got = [(r.doc_id, r.text) for r in stages.decontaminate(spark, docs, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, text[0]), (4, text[1]), (5, text[2]), (None, None)]))
+
+
 def test_pipeline_is_its_stages(spark):
     from tests.llm.test_exact_ops import brute_classes, brute_lines, words
 
