@@ -158,44 +158,71 @@ def _either(a: str, b: str) -> str:
     return ("*" if optional else "+") if repeated else ("?" if optional else "1")
 
 
+def _walk(first):
+    """The result of a walk that yields the walks it waits for. They are kept in a list, so no depth of a page is too large."""
+    stack, got = [first], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(got))
+            got = None
+        except StopIteration as done:
+            stack.pop()
+            got = done.value
+    return got
+
+
 def wrapped(tree) -> list:
     """A page's tree as a wrapper: neighbours of one kind are one repeated group."""
+    return _walk(_wrapped(tree))
+
+
+def align(a: list, b: list) -> list:
+    """The least wrapper that both fit: slots and groups that only one side has become optional."""
+    return _walk(_align(a, b))
+
+
+def _wrapped(tree):
     if tree == "#":
         return ["#", "1", []]
-    return [tree[0], "1", _folded([wrapped(c) for c in tree[1]])]
+    children = []
+    for child in tree[1]:
+        children.append((yield _wrapped(child)))
+    return [tree[0], "1", (yield _folded(children))]
 
 
-def _folded(children: list) -> list:
+def _folded(children: list):
     out: list = []
     for child in children:
         if out and out[-1][0] == child[0]:
-            both = align(out[-1], child)
+            both = yield _align(out[-1], child)
             out[-1] = [both[0], REPEATED[both[1]], both[2]]
         elif len(out) >= 2 and out[-2][0] == child[0] and out[-1][1] in "?*":
-            both = align(out[-2], child)                # a child, something optional, the child again
+            both = yield _align(out[-2], child)         # a child, something optional, the child again
             out[-2] = [both[0], REPEATED[both[1]], both[2]]
         else:
             out.append(child)
     return out
 
 
-def align(a: list, b: list) -> list:
-    """The least wrapper that both fit: slots and groups that only one side has become optional."""
-    return [a[0], _either(a[1], b[1]), _folded(_aligned(a[2], b[2]))]
+def _align(a: list, b: list):
+    return [a[0], _either(a[1], b[1]), (yield _folded((yield _aligned(a[2], b[2]))))]
 
 
-def _aligned(a: list, b: list) -> list:
+def _aligned(a: list, b: list):
+    out: list = []
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [align(x, y) for x, y in zip(a, b)]
+        for x, y in zip(a, b):
+            out.append((yield _align(x, y)))
+        return out
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+    i, j = 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(align(a[i], b[j]))
+            out.append((yield _align(a[i], b[j])))
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([a[i][0], OPTIONAL[a[i][1]], a[i][2]])
@@ -206,23 +233,56 @@ def _aligned(a: list, b: list) -> list:
     return out
 
 
+def packed(wrapper: list) -> str:
+    """The wrapper as a flat JSON list: signature, mark and number of children of each node, parents first."""
+    out, stack = [], [wrapper]
+    while stack:
+        name, mark, children = stack.pop()
+        out += [name, mark, len(children)]
+        stack += reversed(children)
+    return json.dumps(out, ensure_ascii=False)
+
+
+def unpacked(stream: str) -> list:
+    flat, top = json.loads(stream), []
+    stack = [[top, 1]]
+    for name, mark, n in zip(flat[::3], flat[1::3], flat[2::3]):
+        while not stack[-1][1]:
+            stack.pop()
+        stack[-1][1] -= 1
+        node = [name, mark, []]
+        stack[-1][0].append(node)
+        stack.append([node[2], n])
+    return top[0]
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as a regular expression over tokens."""
-    mark = "" if wrapper[1] == "1" else wrapper[1]
-    if wrapper[0] == "#":
-        return f"#{mark}"
-    inner = " ".join(expression(c) for c in wrapper[2])
-    text = f"<{wrapper[0]}> {inner} </>" if inner else f"<{wrapper[0]}> </>"
-    return f"({text}){mark}" if mark else text
-
-
-def slot_paths(wrapper: list, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
-    out = set()
-    for child in wrapper[2]:
-        if child[0] == "#":
-            out.add(path)
-        else:
-            out |= slot_paths(child, path + (child[0],))
+    out, stack = [], [wrapper]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        mark = "" if node[1] == "1" else node[1]
+        if node[0] == "#":
+            out.append(f"#{mark}")
+            continue
+        out.append(f"(<{node[0]}>" if mark else f"<{node[0]}>")
+        stack.append(f"</>){mark}" if mark else "</>")
+        stack += reversed(node[2])
+    return " ".join(out)
+
+
+def slot_paths(wrapper: list) -> set[tuple[str, ...]]:
+    out, stack = set(), [(wrapper, ())]
+    while stack:
+        node, path = stack.pop()
+        for child in node[2]:
+            if child[0] == "#":
+                out.add(path)
+            else:
+                stack.append((child, path + (child[0],)))
     return out
 
 
@@ -269,7 +329,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, streams, slots = batch.column("host").to_pylist(), [], []
         for html in batch.column("html"):
             tree, blocks = read(html.as_py() or "")
-            streams.append(json.dumps(wrapped(tree), ensure_ascii=False))
+            streams.append(packed(wrapped(tree)))
             own: dict[tuple[str, ...], list[str]] = {}
             for path, shut, text in blocks:
                 if not shut:
@@ -283,10 +343,10 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fold(group: pd.DataFrame) -> pd.DataFrame:
     wrapper = None
     for stream in sorted(group["stream"]):
-        page = json.loads(stream)
+        page = unpacked(stream)
         wrapper = page if wrapper is None else align(wrapper, page)
     out = group.iloc[:1].copy()
-    out["stream"] = json.dumps(wrapper, ensure_ascii=False)
+    out["stream"] = packed(wrapper)
     out["pages"] = int(group["pages"].sum())
     return out
 
@@ -316,7 +376,7 @@ def _mains(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for host, stream, pages, slots in zip(frame["host"], frame["stream"], frame["pages"], frame["slots"]):
-            wrapper = json.loads(stream)
+            wrapper = unpacked(stream)
             known = list(slots) if slots is not None else []
             varies = pages > 1 and any(s["varies"] for s in known)
             chars = {tuple(s["path"].split("\x1f")) if s["path"] else (): s["chars"] for s in known if s["varies"] or not varies}

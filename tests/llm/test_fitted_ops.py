@@ -205,6 +205,18 @@ def test_cut_and_odd_pages_do_not_fail():
     assert wrappers.page_text(wrappers.read(deep)[1], None) == "x"
 
 
+def test_deep_pages_take_part_in_their_host(spark):
+    deep = "<div>" * 3000 + "x"
+    rows = [(1, "http://d.example/1", deep), (2, "http://d.example/2", "<ul><li>" * 1200 + "y"), (3, "http://d.example/3", "<div>" * 2000 + "z"),
+            (4, "http://e.example/4", PAGE.format(n=4, extra=""))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r.text for r in wrappers.main_text(df).collect()}
+    assert got == {1: "x", 2: "y", 3: "z", 4: TEXT.format(n=4)}
+    page = wrappers.align(wrappers.wrapped(wrappers.read(deep)[0]), wrappers.wrapped(wrappers.read(deep[5:])[0]))
+    assert wrappers.packed(wrappers.unpacked(wrappers.packed(page))) == wrappers.packed(page)
+    assert wrappers.expression(page).count("<div>") == 3000
+
+
 def test_pages_of_the_table_give_their_article(spark):
     pages = {p.page_id: p.html for p in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in workload.QUERIES["op7_main_text"](spark, SF).collect():
