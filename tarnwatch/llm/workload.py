@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnwatch.llm import decontaminate, lattice, lines, mixing, neardup, neighbours, quality, suffixes, urls, wrappers
+from tarnwatch.llm import (alignment, decontaminate, lattice, lines, mixing, neardup, nearvectors, neighbours, quality, spelling,
+                           suffixes, urls, wrappers)
 from tarnwatch.llm.exprs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 @query("op1_suffix_dedup")
@@ -77,3 +79,18 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return quality.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", *quality.SCORES, "score", "keep")
+
+
+@query("op11_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_summary(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, VOCABULARY)
+
+
+@query("op12_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearvectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.frequent_words(table(spark, sf_dir, "documents")))
