@@ -235,7 +235,7 @@ def test_variants_of_no_words(spark):
 
 def test_tree_search_reaches_all_vectors_within_the_distance():
     draw = np.random.default_rng(2)
-    vectors = draw.integers(0, 3, (500, spelling.PLACES)).astype(np.uint8) * (draw.random((500, spelling.PLACES)) < 0.05)
+    vectors = draw.integers(0, 4, (500, spelling.PLACES)).astype(np.uint8) * (np.arange(spelling.PLACES) < 10)
     tree = spelling.Tree(vectors, 16)
     asked = np.clip(vectors.astype(int) + (draw.random(vectors.shape) < 0.01), 0, 255).astype(np.uint8)
     seen = collections.defaultdict(set)
