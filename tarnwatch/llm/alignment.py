@@ -7,6 +7,10 @@ byte ranges end together, the last ones of each group, are linked; how often two
 Tokenizer A is a byte-level BPE file (JSON) and gets a space before the text, B a sentencepiece model that adds the space itself.
 Both files are read once, by the driver, and go out as they are: their size does not depend on the texts.
 
+Neither tokenizer has a token that goes on from a visible sign to a space or a line break, or from a letter to a punctuation mark
+(checked when the files are loaded). So a text is aligned unit by unit, a unit being what stands between two such
+places, and a worker remembers the units it met lately.
+
 Defined results: a text that is null or empty, or that either tokenizer doesn't give back byte for byte, has no tokens and
 empty lists. Strings of special tokens are plain text. Rows are kept one by one, whatever their doc_id: null, or repeated. Other
 columns are ignored. An empty table gives an empty result. Ends are looked up WINDOW bytes at a time, so that the
@@ -18,7 +22,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import os
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +37,15 @@ from tarnwatch.llm.batches import small_batches
 from tarnwatch.plans.freeze import freeze
 
 WINDOW = 1 << 20
-# Fixed value of byte-level vocabularies: how a text is split before merges.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 100_000
+# Units that a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 250_000, 64
 ALIGNED = "doc_id {id}, a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>"
+LINKED = ("doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, links array<bigint>, times array<bigint>")
 SUMMARY = ("doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
            "groups_sha256 string")
+LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+units = re.compile(rf"(?<=\S)(?=[ \n])|(?<={LETTER})(?=[.,;:!?])").split
+ACROSS = re.compile(rf"[^\s▁][▁ \n]|\n|{LETTER}[.,;:!?]").search
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -44,47 +56,28 @@ def byte_of_sign() -> dict[str, int]:
 
 
 class ByteLevel:
-    """Tokenizer A: ids of a space and the text, and the bytes of every id.
-
-    The tokenizer itself would look up each word again and build offsets and strings for each token. Texts of common Latin
-    letters are split here, if the file splits as SPLIT does, and only words not met lately go through its model; the others
-    go through it whole.
-    """
+    """Tokenizer A: ids of a text, and the bytes of every id."""
 
     def __init__(self, file: bytes):
-        import regex
         from tokenizers import Tokenizer
-        described = json.loads(file)
+        described, signs = json.loads(file), byte_of_sign()
         self.tokenizer = Tokenizer.from_str(file.decode())
         self.tokenizer.encode_special_tokens = True
-        before = described.get("pre_tokenizer") or {}
-        self.by_word = (described.get("normalizer") is None and before.get("type") == "ByteLevel"
-                        and before.get("use_regex", True) and not before.get("add_prefix_space", True))
-        self.split, self.common = regex.compile(SPLIT).findall, regex.compile(r"[\t\n\r -~\u00a1-\u024f]*").fullmatch
-        self.sign_of = {b: c for c, b in byte_of_sign().items()}
-        self.met: dict[str, list[int]] = {}
-        signs, entries = byte_of_sign(), described["model"]["vocab"]
+        entries = described["model"]["vocab"]
         self.bytes = [b""] * (max(entries.values(), default=-1) + 1)
         for entry, number in entries.items():
             self.bytes[number] = bytes(signs[c] for c in entry) if all(c in signs for c in entry) else entry.encode()
+        before = described.get("pre_tokenizer") or {}
+        self.cuts = (described.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+                     and not before.get("add_prefix_space", True))
 
-    def ids(self, text: str) -> list[int]:
-        if not (self.by_word and self.common(text)):
-            return self.tokenizer.encode(f" {text}", add_special_tokens=False).ids
-        out, met = [], self.met
-        for word in self.split(f" {text}"):
-            ids = met.get(word)
-            if ids is None:
-                if len(met) >= REMEMBERED:
-                    met.clear()
-                signs = "".join(map(self.sign_of.__getitem__, word.encode()))
-                ids = met[word] = [token.id for token in self.tokenizer.model.tokenize(signs)]
-            out += ids
-        return out
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
-    """Tokenizer B: ids of the text, to which it adds the space, and the bytes of every id."""
+    """Tokenizer B: ids of a text without the space that the model adds, and the bytes of every id. No piece holds a line break, so
+    one put before the text keeps it apart from the added space; the ids of both are left out again."""
 
     def __init__(self, file: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -92,58 +85,112 @@ class Pieces:
         names = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(name[3:5], 16)]) if self.model.is_byte(k) else name.replace("▁", " ").encode()
                       for k, name in enumerate(names)]
+        self.cuts = not any(ACROSS(name) for name in names) and self.model.encode("\n") == [
+            self.model.piece_to_id("▁"), self.model.piece_to_id("<0x0A>")]
 
-    def ids(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
-
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        if self.cuts:
+            return [found[2:] for found in self.model.encode([f"\n{text}" for text in texts], num_threads=1)]
+        return self.model.encode([text[1:] for text in texts], num_threads=1)
 
-@functools.lru_cache(maxsize=4)
-def _loaded(kind: type, file: bytes):
-    tokenizer = kind(file)
-    return tokenizer, np.array([len(x) for x in tokenizer.bytes], np.int64)
 
-
-def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For every offset in both lists of ends, ascending: how many tokens of A and of B end there or before."""
-    cuts_a, cuts_b = [], []
-    last = int(min(ends_a[-1], ends_b[-1])) if len(ends_a) and len(ends_b) else -1
+def common_ends(ends_a: list[int], ends_b: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
+    """For every offset in both ascending lists of ends: how many tokens of A and of B end there or before."""
+    cuts_a, cuts_b, a0, b0 = [], [], 0, 0
+    last = min(ends_a[-1], ends_b[-1]) if ends_a and ends_b else -1
     for low in range(0, last + 1, window):
-        (a0, a1), (b0, b1) = (np.searchsorted(ends, (low, low + window)) for ends in (ends_a, ends_b))
-        index_a = dict(zip(ends_a[a0:a1].tolist(), range(a0 + 1, a1 + 1)))
-        index_b = dict(zip(ends_b[b0:b1].tolist(), range(b0 + 1, b1 + 1)))
+        a1, b1 = bisect_left(ends_a, low + window, a0), bisect_left(ends_b, low + window, b0)
+        index_a = dict(zip(ends_a[a0:a1], range(a0 + 1, a1 + 1)))
+        index_b = dict(zip(ends_b[b0:b1], range(b0 + 1, b1 + 1)))
         shared = sorted(index_a.keys() & index_b.keys())
         cuts_a += map(index_a.__getitem__, shared)
         cuts_b += map(index_b.__getitem__, shared)
-    return np.array(cuts_a, np.int64), np.array(cuts_b, np.int64)
-
-
-def aligned_text(text: str | None, a, b) -> tuple[list, list, np.ndarray, np.ndarray]:
-    """Ids of both tokenizers and how many of them each group holds. a and b: pairs (tokenizer, lengths of its ids)."""
-    nothing = [], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not text:
-        return nothing
-    whole, ids, ends = f" {text}".encode(), [], []
-    for tokenizer, lengths in (a, b):
-        found = tokenizer.ids(text)
-        if b"".join(map(tokenizer.bytes.__getitem__, found)) != whole:
-            return nothing
-        ids.append(found)
-        ends.append(np.cumsum(lengths[found]))
-    cuts_a, cuts_b = common_ends(*ends)
-    return *ids, np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+        a0, b0 = a1, b1
+    return cuts_a, cuts_b
+
+
+class Aligned(NamedTuple):
+    """Numbers of ids of both tokenizers, their groups as `a1,a2|b1;a3|b2,b3`, and linked ids as a << 32 | b. Only numbers and one
+    text, so that remembered ones are cheap to keep."""
+    n_a: int
+    n_b: int
+    groups: str
+    links: tuple[int, ...]
+
+
+class Aligner:
+    """Aligns texts; a text that doesn't come back from both tokenizers is None."""
+
+    def __init__(self, file_a: bytes, file_b: bytes):
+        self.sides = ByteLevel(file_a), Pieces(file_b)
+        self.cuts = all(side.cuts for side in self.sides)
+        self.met: dict[str, Aligned | None] = {}
+
+    def unit(self, whole: str, a_ids: list[int], b_ids: list[int]) -> Aligned | None:
+        encoded, ends = whole.encode(), []
+        for side, found in zip(self.sides, (a_ids, b_ids)):
+            parts = [side.bytes[k] for k in found]
+            if b"".join(parts) != encoded:
+                return None
+            ends.append(list(accumulate(map(len, parts))))
+        groups, links, a, b = [], [], 0, 0
+        for to_a, to_b in zip(*common_ends(*ends)):
+            groups.append(f"{','.join(map(str, a_ids[a:to_a]))}|{','.join(map(str, b_ids[b:to_b]))}")
+            links.append(a_ids[to_a - 1] << 32 | b_ids[to_b - 1])
+            a, b = to_a, to_b
+        return Aligned(len(a_ids), len(b_ids), ";".join(groups), tuple(links))
+
+    def texts(self, texts: list[str | None]) -> list[list[Aligned] | None]:
+        """The aligned units of some texts; none of a text that is null or empty."""
+        cut = [(units(f" {text}") if self.cuts else [f" {text}"]) if text else [] for text in texts]
+        met = self.met
+        if len(met) > REMEMBERED:
+            met.clear()
+        new = list(set().union(*cut).difference(met))
+        for some in (new[k:k + 1000] for k in range(0, len(new), 1000)):
+            for unit, a_ids, b_ids in zip(some, *(side.ids(some) for side in self.sides)):
+                met[unit] = self.unit(unit, a_ids, b_ids)
+        out = [[met[unit] for unit in part] for part in cut]
+        for unit in new:
+            if len(unit) > LONGEST:
+                del met[unit]
+        return [None if None in part else part for part in out]
+
+
+@functools.lru_cache(maxsize=2)
+def aligner(file_a: bytes, file_b: bytes) -> Aligner:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Aligner(file_a, file_b)
+
+
+def group_lists(found: list[Aligned] | None) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Ids of A and of B, and how many of each the groups hold."""
+    out: tuple = [], [], [], []
+    for group in chain.from_iterable(unit.groups.split(";") for unit in found or () if unit.groups):
+        for k, side in enumerate(group.split("|")):
+            ids = side.split(",")
+            out[k].extend(map(int, ids))
+            out[k + 2].append(len(ids))
+    return out
+
+
+def _sent(docs: DataFrame, *paths: str) -> list:
+    files = []
+    for path in paths:
+        with open(path, "rb") as file:
+            files.append(docs.sparkSession.sparkContext.broadcast(file.read()))
+    return files
 
 
 def align(docs: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
     """doc_id, a_ids, b_ids, a_sizes, b_sizes: the k-th group is the next a_sizes[k] ids of A and the next b_sizes[k] of B."""
-    spark = docs.sparkSession
-    small_batches(spark, 250)
-    files = [open(path, "rb").read() for path in (vocabulary_a, vocabulary_b)]
-    sent = [spark.sparkContext.broadcast(x) for x in files]
+    small_batches(docs.sparkSession, 250)
+    sent = _sent(docs, vocabulary_a, vocabulary_b)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _loaded(ByteLevel, sent[0].value), _loaded(Pieces, sent[1].value)
+        aligned = aligner(*(x.value for x in sent)).texts
         for batch in batches:
-            rows = [aligned_text(text.as_py(), a, b) for text in batch.column("text")]
+            rows = list(map(group_lists, aligned(batch.column("text").to_pylist())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array([row[k] for row in rows], pa.list_(pa.int32())) for k in range(4))],
                 ["doc_id", "a_ids", "b_ids", "a_sizes", "b_sizes"])
@@ -152,25 +199,33 @@ def align(docs: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
     return kept.mapInArrow(work, ALIGNED.format(id=kept.schema["doc_id"].dataType.simpleString()))
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column without nulls, and the offsets of its rows."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate(
-        ([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+def link(docs: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
+    """Per text its numbers of tokens and groups, a digest of the groups, and its distinct linked pairs of ids (a << 32 | b) with
+    the number of times each is linked. The digest is of `a1,a2|b1;a3|b2,b3`, the ids of the groups in order."""
+    small_batches(docs.sparkSession, 250)
+    sent = _sent(docs, vocabulary_a, vocabulary_b)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligned = aligner(*(x.value for x in sent)).texts
+        for batch in batches:
+            sizes, digests, links, times = [], [], [], []
+            for found in aligned(batch.column("text").to_pylist()):
+                found = found or []
+                pairs, number = np.unique(np.fromiter(chain.from_iterable(x.links for x in found), np.int64), return_counts=True)
+                sizes.append((sum(x.n_a for x in found), sum(x.n_b for x in found), int(number.sum())))
+                digests.append(hashlib.sha256(";".join(x.groups for x in found).encode()).hexdigest() if found else "")
+                links.append(pairs)
+                times.append(number)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array([row[k] for row in sizes], pa.int64()) for k in range(3)),
+                 pa.array(digests, pa.string()), pa.array(links, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links", "times"])
 
-def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of ids of all rows as a << 32 | b, and the offsets of the rows."""
-    linked, offsets = [], None
-    for side in "ab":
-        ids, starts = _lists(batch.column(f"{side}_ids"))
-        sizes, offsets = _lists(batch.column(f"{side}_sizes"))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        shift = np.repeat(starts[:-1] - ends[offsets[:-1]], np.diff(offsets))
-        linked.append(ids[ends[1:] + shift - 1])
-    return linked[0] << 32 | linked[1], offsets
+    kept = docs.select("doc_id", "text")
+    return kept.mapInArrow(work, LINKED.format(id=kept.schema["doc_id"].dataType.simpleString()))
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def pair_counts(linked: DataFrame) -> DataFrame:
     """a, b, n: how often the ids a and b are linked in all texts; best: whether no id of A is linked with b more often.
 
     Of two linked tokens the bytes of one end with those of the other. So the number of rows is bounded by the
@@ -179,60 +234,46 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            new, times = np.unique(_links(batch)[0], return_counts=True)
-            merged, place = np.unique(np.concatenate((codes, new)), return_inverse=True)
-            total = np.zeros(len(merged), np.int64)
+            new, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("links", "times"))
+            codes, place = np.unique(np.concatenate((codes, new)), return_inverse=True)
+            total = np.zeros(len(codes), np.int64)
             np.add.at(total, place, np.concatenate((counts, times)))
-            codes, counts = merged, total
+            counts = total
         for k in range(0, len(codes), 1 << 16):
             part = codes[k:k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array((part >> 32).astype(np.int32)), pa.array((part & 0xFFFFFFFF).astype(np.int32)),
                                               pa.array(counts[k:k + (1 << 16)])], ["a", "b", "n"])
 
-    counted = aligned.mapInArrow(work, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = linked.select("links", "times").mapInArrow(work, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return counted.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
 
 
-def _digest(a_ids: list[str], b_ids: list[str], a_sizes: list[int], b_sizes: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of the groups in order."""
-    out, a, b = [], 0, 0
-    for n_a, n_b in zip(a_sizes, b_sizes):
-        out.append(f"{','.join(a_ids[a:a + n_a])}|{','.join(b_ids[b:b + n_b])}")
-        a, b = a + n_a, b + n_b
-    return hashlib.sha256(";".join(out).encode()).hexdigest() if out else ""
-
-
-def summary(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def summary(linked: DataFrame, counts: DataFrame) -> DataFrame:
     """Per text: numbers of tokens, groups and links, links whose pair is the best of its id of B, the sum of the pairs' counts
-    over the links, and a digest of the groups. counts is as large as the vocabularies allow, whatever the texts, and goes to all tasks."""
+    over the links, and the digest of the groups. counts is as large as the vocabularies allow, whatever the texts, and goes to all tasks."""
     table = counts.select("a", "b", "n", "best").toArrow()
     codes = table["a"].to_numpy().astype(np.int64) << 32 | table["b"].to_numpy().astype(np.int64)
     order = np.argsort(codes)
-    sent = aligned.sparkSession.sparkContext.broadcast(
+    sent = linked.sparkSession.sparkContext.broadcast(
         (codes[order], table["n"].to_numpy()[order], table["best"].to_numpy()[order].astype(np.int64)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = sent.value
-        names = [str(k) for k in range(1 << 16)]
         for batch in batches:
-            links, offsets = _links(batch)
+            offsets = np.concatenate(([0], np.cumsum(batch.column("links").value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+            links, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("links", "times"))
             at = np.searchsorted(known, links)
-            per_row = [np.diff(np.concatenate(([0], np.cumsum(x[at])))[offsets]) for x in (best, n)]
-            digests = []
-            for row in range(batch.num_rows):
-                lists = [batch.column(c)[row].values.to_pylist() for c in ("a_ids", "b_ids", "a_sizes", "b_sizes")]
-                ids = [[names[k] if k < 1 << 16 else str(k) for k in x] for x in lists[:2]]
-                digests.append(_digest(*ids, *lists[2:]))
-            groups = np.diff(offsets)
+            best_links, sums = (np.diff(np.concatenate(([0], np.cumsum(x[at] * times)))[offsets]) for x in (best, n))
+            groups = batch.column("n_groups")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(batch.column(c).value_lengths().cast(pa.int64())) for c in ("a_ids", "b_ids")),
-                 pa.array(groups), pa.array(groups), *map(pa.array, per_row), pa.array(digests, pa.string())],
+                [batch.column("doc_id"), batch.column("n_a"), batch.column("n_b"), groups, groups, pa.array(best_links), pa.array(sums),
+                 batch.column("groups_sha256")],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    return aligned.mapInArrow(work, SUMMARY.format(id=aligned.schema["doc_id"].dataType.simpleString()))
+    return linked.mapInArrow(work, SUMMARY.format(id=linked.schema["doc_id"].dataType.simpleString()))
 
 
 def alignment_summary(docs: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFrame:
-    """The summary of all texts. Texts are tokenized once: the aligned ids are written and read twice."""
-    aligned = freeze(align(docs, vocabulary_a, vocabulary_b), "aligned")
-    return summary(aligned, freeze(pair_counts(aligned), "token_pairs"))
+    """The summary of all texts. Texts are tokenized once: their links are written and read twice."""
+    linked = freeze(link(docs, vocabulary_a, vocabulary_b), "linked")
+    return summary(linked, freeze(pair_counts(linked), "token_pairs"))

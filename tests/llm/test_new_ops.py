@@ -82,20 +82,31 @@ def test_alignment_keeps_groups_and_handles_no_rows(spark):
 def test_common_ends_do_not_depend_on_windows():
     draw = np.random.default_rng(5)
     ends = [np.unique(draw.integers(1, 5000, 900)) for _ in range(2)]
-    ends = [np.append(e[e < 5000], 5000) for e in ends]
+    ends = [[*e[e < 5000].tolist(), 5000] for e in ends]
     whole = alignment.common_ends(*ends)
     for window in (1, 7, 1000):
-        assert all((x == y).all() for x, y in zip(whole, alignment.common_ends(*ends, window)))
-    assert (ends[0][whole[0] - 1] == np.intersect1d(*ends)).all()
-
-
-def test_words_split_as_the_tokenizer_splits_them():
-    tokenizer, draw = alignment.ByteLevel(open(A, "rb").read()), random.Random(4)
-    pool = "abst'mrelvdn 019.,-!éßœĀ\n\t\r ÀŸ÷«"
-    for _ in range(3000):
-        text = "".join(draw.choice(pool) for _ in range(draw.randint(1, 25)))
-        assert tokenizer.common(text)
-        assert tokenizer.ids(text) == tokenizer.tokenizer.encode(" " + text, add_special_tokens=False).ids
+        assert whole == alignment.common_ends(*ends, window)
+    assert [ends[0][k - 1] for k in whole[0]] == sorted(set(ends[0]) & set(ends[1]))
+
+
+def test_units_give_the_ids_of_whole_texts():
+    files = [open(path, "rb").read() for path in (A, B)]
+    found, draw = alignment.Aligner(*files), random.Random(4)
+    a, b = found.sides[0].tokenizer, found.sides[1].model
+    assert found.cuts
+    for pool in ("abst'mrelvdn 019.,-!éßœĀ\n\t\r ÀŸ÷«", "ab  \n\u00a0\u0085\x1c.", "語 и🙂a \u3000\u200b़े"):
+        for _ in range(3000):
+            text = "".join(draw.choice(pool) for _ in range(draw.randint(1, 25)))
+            parts = found.texts([text])[0]
+            whole = found.unit(f" {text}", a.encode(f" {text}", add_special_tokens=False).ids, b.encode(text))
+            assert "".join(alignment.units(f" {text}")) == f" {text}"
+            if whole is None:
+                assert parts is None
+                continue
+            assert alignment.group_lists(parts) == alignment.group_lists([whole])
+            assert ";".join(x.groups for x in parts) == whole.groups
+            assert [k for x in parts for k in x.links] == list(whole.links)
+            assert (sum(x.n_a for x in parts), sum(x.n_b for x in parts)) == whole[:2]
 
 
 # --- near vectors ----------------------------------------------------------------------------------------------------
