@@ -94,17 +94,22 @@ class Pieces:
         return self.model.encode([text[1:] for text in texts], num_threads=1)
 
 
+def _shared(ends_a: list[int], ends_b: list[int], a: int, b: int) -> tuple[list[int], list[int]]:
+    index_a, index_b = dict(zip(ends_a, range(a + 1, a + len(ends_a) + 1))), dict(zip(ends_b, range(b + 1, b + len(ends_b) + 1)))
+    shared = sorted(index_a.keys() & index_b.keys())
+    return [index_a[end] for end in shared], [index_b[end] for end in shared]
+
+
 def common_ends(ends_a: list[int], ends_b: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
     """For every offset in both ascending lists of ends: how many tokens of A and of B end there or before."""
-    cuts_a, cuts_b, a0, b0 = [], [], 0, 0
     last = min(ends_a[-1], ends_b[-1]) if ends_a and ends_b else -1
+    if last < window:
+        return _shared(ends_a, ends_b, 0, 0)
+    cuts_a, cuts_b, a0, b0 = [], [], 0, 0
     for low in range(0, last + 1, window):
         a1, b1 = bisect_left(ends_a, low + window, a0), bisect_left(ends_b, low + window, b0)
-        index_a = dict(zip(ends_a[a0:a1], range(a0 + 1, a1 + 1)))
-        index_b = dict(zip(ends_b[b0:b1], range(b0 + 1, b1 + 1)))
-        shared = sorted(index_a.keys() & index_b.keys())
-        cuts_a += map(index_a.__getitem__, shared)
-        cuts_b += map(index_b.__getitem__, shared)
+        for cuts, new in zip((cuts_a, cuts_b), _shared(ends_a[a0:a1], ends_b[b0:b1], a0, b0)):
+            cuts += new
         a0, b0 = a1, b1
     return cuts_a, cuts_b
 
@@ -123,20 +128,22 @@ class Aligner:
 
     def __init__(self, file_a: bytes, file_b: bytes):
         self.sides = ByteLevel(file_a), Pieces(file_b)
+        self.tables = [(side.bytes, [str(k) for k in range(len(side.bytes))]) for side in self.sides]
         self.cuts = all(side.cuts for side in self.sides)
         self.met: dict[str, Aligned | None] = {}
 
     def unit(self, whole: str, a_ids: list[int], b_ids: list[int]) -> Aligned | None:
-        encoded, ends = whole.encode(), []
-        for side, found in zip(self.sides, (a_ids, b_ids)):
-            parts = [side.bytes[k] for k in found]
-            if b"".join(parts) != encoded:
-                return None
-            ends.append(list(accumulate(map(len, parts))))
+        (bytes_a, names_a), (bytes_b, names_b) = self.tables
+        encoded, parts_a, parts_b = whole.encode(), [bytes_a[k] for k in a_ids], [bytes_b[k] for k in b_ids]
+        if b"".join(parts_a) != encoded or b"".join(parts_b) != encoded:
+            return None
         groups, links, a, b = [], [], 0, 0
-        for to_a, to_b in zip(*common_ends(*ends)):
-            groups.append(f"{','.join(map(str, a_ids[a:to_a]))}|{','.join(map(str, b_ids[b:to_b]))}")
-            links.append(a_ids[to_a - 1] << 32 | b_ids[to_b - 1])
+        for to_a, to_b in zip(*common_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))):
+            last_a, last_b = a_ids[to_a - 1], b_ids[to_b - 1]
+            of_a = names_a[last_a] if to_a - a == 1 else ",".join([names_a[k] for k in a_ids[a:to_a]])
+            of_b = names_b[last_b] if to_b - b == 1 else ",".join([names_b[k] for k in b_ids[b:to_b]])
+            groups.append(f"{of_a}|{of_b}")
+            links.append(last_a << 32 | last_b)
             a, b = to_a, to_b
         return Aligned(len(a_ids), len(b_ids), ";".join(groups), tuple(links))
 
