@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from tarnwatch.llm import textkit as tk
 from tarnwatch.llm.batches import small_batches
 from tarnwatch.llm.exprs import components, partitions
+from tarnwatch.llm.spread import lookup
 from tarnwatch.plans.freeze import freeze
 
 NO_ID = -(2**63)
@@ -342,10 +343,30 @@ def _near(key, members: pa.Table, others: pa.Table) -> pa.Table:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of docs (doc_id, text). n_links counts the verified links of
-    the document's set; it is enough to connect its class, and zero only where there are no links to other sets."""
+    the document's set; it is enough to connect its class, and zero only where there are no links to other sets.
+
+    Rows of one doc_id are one document. A row without doc_id is one of its own, so unlike texts without doc_id are
+    not connected through it; its class has the smallest doc_id there is, or none."""
+    docs = docs.select("doc_id", "text")
+    if docs.where("doc_id is null").isEmpty():
+        return _classes(docs)
+    rows = freeze(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "numbered_texts")
+    found = _classes(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
+    found = freeze(rows.select("_row", "doc_id").join(found, "_row"), "row_classes")
+    known = found.where("doc_id is not null")
+    least = known.groupBy("doc_id").agg(F.min("component_id").alias("b"))
+    merged = components(known.join(least, "doc_id").select(F.col("component_id").alias("a"), "b"), "classes_of_id")
+    found = lookup(found, merged.select(F.col("node").alias("component_id"), F.col("component").alias("to")), ["component_id"], F.col("_row"))
+    found = found.withColumn("component_id", F.coalesce("to", "component_id"))
+    named = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return lookup(found, named, ["component_id"], F.col("_row")).select(
+        "doc_id", "n_shingles", F.col("least").alias("component_id"), "n_links")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The same, of rows that all have a doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
     described = freeze(docs.mapInArrow(_describe, DESCRIBED), "shingle_sets")
     sets = described.where("kind = 0").select(
         F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))

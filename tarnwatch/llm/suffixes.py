@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnwatch.llm import textkit as tk
 from tarnwatch.llm.batches import small_batches
@@ -32,6 +32,7 @@ from tarnwatch.llm.exprs import partitions
 from tarnwatch.plans.freeze import freeze
 
 GRAM = 20
+TEXTS_OF_ID = 1 << 23
 NO_ID = 2**63 - 1
 NONE = -(2**63)             # stands for several documents
 CHUNK = 500_000           # anchors a task holds before it hands them on
@@ -567,6 +568,22 @@ def _wanted(shared, buckets: int):
     return run
 
 
+def _numbers(keys: DataFrame) -> DataFrame:
+    """(doc_id, digest, digest2, number) of the texts of every doc_id that has several: 0, 1, 2, ... within the doc_id.
+
+    The texts of one doc_id (all rows without one, say) are numbered part by part, so no task holds them all. A place in a
+    text has room for 2 ** 23 texts of one doc_id; more are refused, never mixed up."""
+    placed = keys.withColumn("part", F.pmod("digest", F.lit(partitions(keys.sparkSession))))
+    sizes = placed.groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("doc_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
+                          F.sum("n").over(Window.partitionBy("doc_id")).alias("texts")).where("texts > 1")
+    number = F.col("start") + F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("digest", "digest2")) - 1
+    found = placed.join(starts, ["doc_id", "part"]).select("doc_id", "digest", "digest2", number.alias("number"))
+    return found.withColumn("number", F.when(F.col("number") >= TEXTS_OF_ID, F.raise_error(
+        F.lit("more texts of one doc_id than can be told apart"))).otherwise(F.col("number")))
+
+
 def dedup(docs: DataFrame, least: int = 50, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes, or their SHA-256 in hex) of every row of docs (doc_id, text): without
     the bytes that a string of `least` bytes covers which also starts in a document with a smaller doc_id."""
@@ -575,9 +592,17 @@ def dedup(docs: DataFrame, least: int = 50, keep_bytes: bool = True) -> DataFram
     parts, buckets = min(partitions(spark), 1 << 15), min(2 * partitions(spark), 1 << 15)
     text = F.coalesce("text", F.lit(""))
     named = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(1 << 20)).alias("row"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
         F.xxhash64(text).alias("digest"), F.xxhash64(F.lit(5), text).alias("digest2"), text.alias("text"))
-    owned = freeze(named.groupBy("digest", "digest2").agg(F.min("doc_id").alias("first"), F.min("row").alias("row")), "texts_by_digest")
+    keys = freeze(named.select("doc_id", "digest", "digest2").distinct(), "text_keys")
+    numbers = freeze(_numbers(keys), "text_numbers")
+    name, row = ["doc_id", "digest", "digest2"], F.coalesce("number", F.lit(0)).cast("long").alias("row")
+    owned = freeze(keys.join(numbers, name, "left").groupBy("digest", "digest2").agg(F.min(F.struct("doc_id", row)).alias("one")).select(
+        "digest", "digest2", F.col("one.doc_id").alias("first"), F.col("one.row").alias("row")), "texts_by_digest")
+    if numbers.isEmpty():
+        named = named.withColumn("row", F.lit(0).cast("long"))
+    else:
+        named = named.join(numbers, name, "left").select(*named.columns, row)
 
     packed = named.select("doc_id", "row", "digest", "text").mapInArrow(
         _emit(least, parts), "part int, kind int, keys binary, docs binary, places binary")

@@ -90,6 +90,15 @@ def test_suffix_dedup_matches_brute_force(spark, texts):
     same_rows(run_strip(spark, rows[:60], 30), strip(rows[:60], 30))
 
 
+def test_suffix_dedup_of_many_rows_of_one_id_and_without(spark):
+    rng = random.Random(17)
+    shared = ["".join(rng.choice("abcdef ") for _ in range(70)) for _ in range(6)]
+    rows = [(1, " | ".join(shared))]
+    for doc_id in (5, None):
+        rows += [(doc_id, f"{rng.random()} {rng.choice(shared)[rng.randrange(9):]} {rng.random()}") for _ in range(5000)]
+    same_rows(run_strip(spark, rows), strip(rows))
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert run_strip(spark, []) == []
     same_rows(run_strip(spark, [(1, None), (2, "")]), [(1, 0, 0, 0, b""), (2, 0, 0, 0, b"")])
@@ -190,10 +199,19 @@ def test_near_duplicate_classes(spark, texts, monkeypatch, hot):
 def test_near_duplicates_of_null_ids_and_of_nothing(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (4, None)], "doc_id long, text string")
     got = {tuple(r) for r in neardup.classes(df).select("doc_id", "n_shingles", "component_id").collect()}
-    assert got == {(None, 1, None), (3, 1, None), (4, 0, 4)}
+    assert got == {(None, 1, 3), (3, 1, 3), (4, 0, 4)}
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_connect_nothing_by_that(spark, texts):
+    a, b, c = (next(t for t in texts[k:] if t and len(t.split()) > 40) for k in (0, 7, 14))
+    rows = [(1, a), (None, a + " more"), (2, b), (None, b + " more"), (None, c), (None, c + " more"), (None, "alone at last"),
+            (7, c[::-1]), (7, "two texts of one id"), (8, "two texts of one id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in neardup.classes(df).select("doc_id", "component_id").collect())
+    assert got == Counter([(1, 1), (None, 1), (2, 2), (None, 2), (None, None), (None, None), (None, None), (7, 7), (7, 7), (8, 7)])
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 300)] + [(rng.randrange(1000, 3000), rng.randrange(1000, 3000)) for _ in range(1500)]
