@@ -246,40 +246,3 @@ def two_sample_distances(
     step = F.coalesce(F.col("higher") - F.col("score"), F.lit(0.0))
     found = ranked.groupBy(*group).agg(F.max(split).alias("ks"), F.sum(split * step).alias("wasserstein"))
     return ungrouped(found, by)
-
-
-def bootstrap_deltas(
-    df: DataFrame, label: str, candidate: str, champion: str, threshold: float, key: str, replicates: int, seed: int,
-) -> DataFrame:
-    """Poisson-bootstrap interval of the Brier and F1 difference.
-
-    Each row draws its weight per replicate from a hash of its key, so a replicate
-    is one weighted aggregate and every run draws the same.
-    """
-    y, a, b = F.col(label).cast("int"), F.col(candidate), F.col(champion)
-    draw = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    # Map-side combine leaves one row per task and replicate before the shuffle.
-    expanded = df.select(key, y.alias("y"), a.alias("a"), b.alias("b"), draw.alias("replicate"))
-    u = F.pmod(F.xxhash64(F.col(key), F.col("replicate"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    # --- fixed values: cumulative Poisson(1) probabilities ---
-    cumulative = [0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
-    weight = F.lit(0)
-    for c in cumulative:
-        weight = weight + (u >= c).cast("int")
-    w = expanded.withColumn("w", weight)
-    hit_a, hit_b = F.col("a") >= threshold, F.col("b") >= threshold
-
-    def f1(hit: Column) -> Column:
-        tp = F.sum(F.when(hit & (F.col("y") == 1), F.col("w")).otherwise(0))
-        wrong = F.sum(F.when(hit != (F.col("y") == 1), F.col("w")).otherwise(0))
-        return safe_ratio(2 * tp, 2 * tp + wrong)
-
-    def brier(p: str) -> Column:
-        d = F.col(p) - F.col("y")
-        return F.sum(F.col("w") * d * d) / F.sum("w")
-
-    runs = w.groupBy("replicate").agg((brier("a") - brier("b")).alias("brier_delta"), (f1(hit_a) - f1(hit_b)).alias("f1_delta"))
-    # `replicates` rows are left: the built-in percentile holds them all.
-    return runs.agg(*[
-        F.percentile(F.col(c), F.lit(q)).alias(f"{c}_{name}")
-        for c in ("brier_delta", "f1_delta") for name, q in (("low", 0.025), ("high", 0.975))])

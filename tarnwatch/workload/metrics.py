@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tarnwatch.config import GatePolicy
+from tarnwatch.operators import bootstrap as bs
 from tarnwatch.operators import gates as gt
 from tarnwatch.operators import metrics as mt
 from tarnwatch.operators import training as tr
@@ -372,6 +373,18 @@ def two_sample_distances(spark, sf):
     return rounded(rounded(out, 6, "ks"), 3, "wasserstein")
 
 
+@query("regression_deltas", f"""
+WITH {SCORED_SQL}, {_metrics_sql('p', 'a')}, {_metrics_sql('champion', 'b')}
+{" UNION ALL ".join(f"""SELECT a.segment, '{m}' AS metric, round(a.{m}, 6) AS candidate, round(b.{m}, 6) AS champion, round(a.{m} - b.{m}, 6) AS delta,
+  {'a' if m in LIMITS.lower_is_better else 'b'}.{m} - {'b' if m in LIMITS.lower_is_better else 'a'}.{m} > {v}e0 AS failed FROM a_m a JOIN b_m b USING (segment)""" for m, v in LIMITS.regression.items())}
+""")
+def regression_deltas(spark, sf):
+    """What the gates judge, measured on the rows; the intervals beside them are in `bootstrap_deltas`."""
+    out = bs.regression_evidence(scored_orders(spark, sf), "label", "probability", "champion", "id", 0.5, 0.5, LIMITS, ["segment"], replicates=1)
+    return rounded(out.select("segment", "metric", "candidate", "champion", "delta", "failed"), 6, "candidate", "champion", "delta")
+
+
 @query("bootstrap_deltas")
 def bootstrap_deltas(spark, sf):
-    return mt.bootstrap_deltas(scored_orders(spark, sf), "label", "probability", "champion", 0.5, "id", 50, 7)
+    """Intervals of all seven differences over 2,000 stratified resamples. Random draws have no SQL: tests hold them to NumPy."""
+    return bs.regression_evidence(scored_orders(spark, sf), "label", "probability", "champion", "id", 0.5, 0.5, LIMITS, ["segment"])
