@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,7 +21,8 @@ from tarnwatch.operators.contract import (
     one_of,
 )
 from tarnwatch.plans.freeze import freeze
-from tarnwatch.sources.files import delete_folder, folder_exists
+from tarnwatch.sources.files import delete_folder
+from tarnwatch.sources.publish import children, publish, published
 
 RECORD_SCHEMA = (
     "result_id string, result_type string, status string, data_origin string, window_start timestamp, "
@@ -134,61 +139,131 @@ def exportable(records: DataFrame) -> DataFrame:
     return records.where(F.col("result_type") != "public_snapshot").orderBy(F.col("window_end").desc(), F.col("result_id").asc())
 
 
+@dataclass(frozen=True)
+class Commit:
+    """What one step made visible: a batch of results with its dimensions, or that results older than a time are gone."""
+
+    number: int
+    batch: str | None = None
+    expire_before: str | None = None
+
+
 @dataclass(frozen=True)
 class MetricsTable:
-    """Parquet table partitioned by result type and month of the window's end."""
+    """Results by type and month of the window's end, in batches that become visible one by one.
+
+    A batch (its results and what it adds to the dimensions) is written to folders of its own that nobody reads. It becomes
+    visible by one marker, `commits/<number>`, which only one writer can create: who comes second finds the number taken, and
+    plans again over what is there by then. So two writers of one record leave it once, and a writer that dies before the
+    marker has changed nothing. Retention is such a marker too: readers leave out the expired rows of all earlier batches from
+    then on; `sweep` deletes their files, and batches never published, when readers of before are done.
+    """
 
     spark: SparkSession
     path: str
 
-    @property
-    def results_path(self) -> str:
-        return f"{self.path}/results"
+    def commits(self) -> list[Commit]:
+        return [Commit(int(name), **json.loads(text)) for name, text in published(self.spark, f"{self.path}/commits")]
 
-    def read(self) -> DataFrame:
-        if not folder_exists(self.spark, self.results_path):
-            empty = self.spark.createDataFrame([], RECORD_SCHEMA)
-            return empty.withColumns({"idempotency_key": F.lit(""), "window_month": F.lit("")})
-        return self.spark.read.parquet(self.results_path)
+    def _publish(self, commits: list[Commit], **step: str) -> bool:
+        number = commits[-1].number + 1 if commits else 0
+        return publish(self.spark, f"{self.path}/commits/{number:012d}", json.dumps(step))
+
+    @property
+    def parts(self) -> list[str]:
+        return [*(f"{column}s" for column in DIMENSIONS), "results"]
+
+    def _batch_folder(self, batch: str, part: str) -> str:
+        return f"{self.path}/{part}/batch={batch}"
+
+    def read(self, commits: list[Commit] | None = None) -> DataFrame:
+        """All results that are visible, or were after the given commits."""
+        commits = self.commits() if commits is None else commits
+        by_border: dict[str, list[str]] = {}
+        border = ""
+        for commit in reversed(commits):
+            border = max(border, commit.expire_before or "")
+            if commit.batch:
+                by_border.setdefault(border, []).append(self._batch_folder(commit.batch, "results"))
+        schema = f"{RECORD_SCHEMA}, idempotency_key string, window_month string"
+        parts = []
+        for since, folders in by_border.items():
+            # Only folders of these batches are listed; the schema is known, so no file is opened to find it.
+            rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/results").parquet(*folders).drop("batch")
+            if since:
+                rows = rows.where(F.col("window_end") >= F.lit(since).cast("timestamp")).where(F.col("window_month") >= since[:7])
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def ingest(self, records: DataFrame) -> DataFrame:
-        """Append what is new; returns (result_id, idempotency_key, copies, outcome)."""
-        plan = freeze(ingest_plan(records, self.read()), "ingest")
-        fresh = plan.where(F.col("outcome") == "ingested")
+        """Add what is new, all of it or nothing; returns (result_id, idempotency_key, copies, outcome)."""
+        records = freeze(records, "ingested_records")
+        while True:
+            commits = self.commits()
+            plan = freeze(ingest_plan(records, self.read(commits)), "ingest")
+            fresh = plan.where(F.col("outcome") == "ingested")
+            found = plan.select("result_id", "idempotency_key", "copies", "outcome")
+            if fresh.isEmpty():
+                return found
+            batch = uuid.uuid4().hex
+            self._write_batch(batch, fresh, commits)
+            if self._publish(commits, batch=batch):
+                return found
+            for part in self.parts:
+                delete_folder(self.spark, self._batch_folder(batch, part))
+
+    def _write_batch(self, batch: str, fresh: DataFrame, commits: list[Commit]) -> None:
         for column in DIMENSIONS:
-            seen = first_seen(fresh, column)
-            home = f"{self.path}/{column}s"
-            if folder_exists(self.spark, home):
-                seen = seen.join(self.spark.read.parquet(home).select(column), column, "left_anti")
-            freeze(seen, column).write.mode("append").parquet(home)
-        month = F.date_format("window_end", "yyyy-MM")
-        out = fresh.drop("outcome", "copies").withColumn("window_month", month)
+            seen = first_seen(fresh, column).join(self.dimension(column, commits).select(column), column, "left_anti")
+            seen.write.parquet(self._batch_folder(batch, f"{column}s"))
+        out = fresh.drop("outcome", "copies").withColumn("window_month", F.date_format("window_end", "yyyy-MM"))
         # Rebalance, not repartition: one type and month may hold a third of all records.
-        out.hint("rebalance", "result_type", "window_month").write.mode("append").partitionBy(
-            "result_type", "window_month").parquet(self.results_path)
-        return plan.select("result_id", "idempotency_key", "copies", "outcome")
+        out.hint("rebalance", "result_type", "window_month").write.partitionBy("result_type", "window_month").parquet(
+            self._batch_folder(batch, "results"))
 
-    def dimension(self, column: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{column}s")
+    def dimension(self, column: str, commits: list[Commit] | None = None) -> DataFrame:
+        """Values with the time they were first seen, also those whose results have expired."""
+        folders = [self._batch_folder(c.batch, f"{column}s") for c in (self.commits() if commits is None else commits) if c.batch]
+        schema = ", ".join([f"{column} string", "created_at timestamp", *(f"{c} string" for c in DIMENSIONS[column])])
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{column}s").parquet(*folders).drop("batch")
 
     def count(self, result_type: str | None = None) -> int:
         rows = self.read()
         return (rows if result_type is None else rows.where(F.col("result_type") == result_type)).count()
 
     def apply_retention(self, now: str, policy: StorePolicy = StorePolicy()) -> int:
-        """Drop expired rows: whole months as folders, the border month rewritten. Dimensions stay."""
+        """Make rows older than the policy allows invisible, in one step; how many these were. Dimensions stay."""
         at = F.lit(now).cast("timestamp")
-        rows = self.read()
-        old = expired(rows, at, policy)
-        touched = old.groupBy("result_type", "window_month").agg(F.count(F.lit(1)).alias("n")).collect()  # partitions
-        if not touched:
-            return 0
-        months = sorted({r["window_month"] for r in touched})
-        kept = freeze(retained(rows.where(F.col("window_month").isin(*months)), at, policy), "retained")
-        keep = {(r["result_type"], r["window_month"]) for r in kept.select("result_type", "window_month").distinct().collect()}
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "result_type", "window_month").parquet(self.results_path)
-        for r in touched:
-            if (r["result_type"], r["window_month"]) not in keep:
-                delete_folder(self.spark, f"{self.results_path}/result_type={r['result_type']}/window_month={r['window_month']}")
-        return sum(r["n"] for r in touched)
+        border = self.spark.range(1).select(F.date_format(retention_border(at, policy), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
+        while True:
+            commits = self.commits()
+            gone = expired(self.read(commits), at, policy).count()
+            if not gone or self._publish(commits, expire_before=border):
+                return gone
+
+    def sweep(self, older_than_hours: float = 24.0) -> list[str]:
+        """Delete the folders nobody can see that are at least so old: batches without a marker, and months that a marker of that
+        age has expired. Returns what was deleted."""
+        commits, limit = self.commits(), time.time() * 1000 - older_than_hours * HOUR_MICROS / 1000
+        known, gone = {c.batch for c in commits}, []
+        for part in self.parts:
+            for name, changed in children(self.spark, f"{self.path}/{part}"):
+                if name.partition("=")[2] not in known and changed <= limit:
+                    gone.append(f"{part}/{name}")
+        ages = {int(name): changed for name, changed in children(self.spark, f"{self.path}/commits") if not name.startswith(".")}
+        border = ""
+        for commit in reversed(commits):
+            if commit.expire_before and ages.get(commit.number, limit + 1) <= limit:
+                border = max(border, commit.expire_before)
+            if not commit.batch or not border:
+                continue
+            results = self._batch_folder(commit.batch, "results")
+            for kind, _ in children(self.spark, results):
+                for month, _ in children(self.spark, f"{results}/{kind}") if "=" in kind else ():
+                    if month.partition("=")[2] < border[:7]:
+                        gone.append(f"results/batch={commit.batch}/{kind}/{month}")
+        for folder in gone:
+            delete_folder(self.spark, f"{self.path}/{folder}")
+        return gone

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwatch.sources.files import is_complete
+from tarnwatch.sources.files import delete_folder
+from tarnwatch.sources.publish import publish, published
 
 
 def result_key(inputs: Mapping[str, object]) -> str:
@@ -26,11 +28,21 @@ class StoredResult:
 def write_once(spark: SparkSession, folder: str, inputs: Mapping[str, object], compute: Callable[[], DataFrame]) -> StoredResult:
     """Compute and store, or read back what an identical run stored.
 
-    A run that died half-way left no success marker and is written again.
+    Each run writes to a folder of its own, and the first to finish makes its folder the result by one marker. A run that died
+    half-way left no marker; of two at once, the later one reads the result of the earlier.
     """
     key = result_key(inputs)
-    path = f"{folder.rstrip('/')}/key={key}"
-    if is_complete(spark, path):
+    home = f"{folder.rstrip('/')}/key={key}"
+
+    def stored() -> str | None:
+        found = published(spark, f"{home}/marker")
+        return f"{home}/{found[0][1]}" if found else None
+
+    if path := stored():
         return StoredResult(key, True, spark.read.parquet(path))
-    compute().write.mode("overwrite").parquet(path)
-    return StoredResult(key, False, spark.read.parquet(path))
+    run = f"run-{uuid.uuid4().hex}"
+    compute().write.parquet(f"{home}/{run}")
+    if publish(spark, f"{home}/marker/result", run):
+        return StoredResult(key, False, spark.read.parquet(f"{home}/{run}"))
+    delete_folder(spark, f"{home}/{run}")
+    return StoredResult(key, True, spark.read.parquet(stored()))

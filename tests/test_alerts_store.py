@@ -180,6 +180,61 @@ def test_retention_keeps_dimensions(spark, tmp_path):
     assert store.apply_retention(str(NOW), StorePolicy(retention_days=365)) == 0
 
 
+def test_two_writers_at_once_leave_every_record_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    store = st.MetricsTable(spark, str(tmp_path))
+    store.ingest(recs(spark, rec("before")))
+    batches = [recs(spark, *[rec(f"r{k}", model=f"m{k % 3}") for k in range(lo, lo + 12)]) for lo in (0, 0, 6, 0)]
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda df: [tuple(r) for r in store.ingest(df).select("result_id", "outcome").collect()], batches))
+    counted = [(i, o) for part in found for i, o in part]
+    assert sorted(i for i, o in counted if o == "ingested") == sorted(f"r{k}" for k in range(18))
+    assert sum(o == "reused" for _, o in counted) == 48 - 18
+    assert sorted(r["result_id"] for r in store.read().collect()) == sorted(["before", *(f"r{k}" for k in range(18))])
+    assert sorted(r["model_version"] for r in store.dimension("model_version").collect()) == ["m", "m0", "m1", "m2"]
+    assert [c.number for c in store.commits()] == list(range(len(store.commits())))
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    store = st.MetricsTable(spark, str(tmp_path))
+    store.ingest(recs(spark, rec("a")))
+    for broken in ("publish", "write"):
+        with monkeypatch.context() as patch:
+            if broken == "publish":
+                patch.setattr(st, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+            else:
+                patch.setattr(st.MetricsTable, "_write_batch", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                store.ingest(recs(spark, rec("b", model="mb")))
+        assert [r["result_id"] for r in store.read().collect()] == ["a"] and store.dimension("model_version").count() == 1
+    assert len(store.sweep(0)) == 3                     # results and dimensions that were written, but not published
+    assert [r["outcome"] for r in store.ingest(recs(spark, rec("b", model="mb"))).collect()] == ["ingested"]
+    assert store.sweep(0) == [] and store.count() == 2 and store.dimension("model_version").count() == 2
+
+
+def test_retention_is_one_step_and_leaves_later_batches_alone(spark, tmp_path):
+    store = st.MetricsTable(spark, str(tmp_path))
+    old = NOW - timedelta(days=400)
+    store.ingest(recs(spark, rec("old", end=old), rec("new")))
+    held = store.commits()
+    assert store.apply_retention(str(NOW), StorePolicy(retention_days=365)) == 1
+    assert sorted(r["result_id"] for r in store.read(held).collect()) == ["new", "old"]       # a reader of before
+    store.ingest(recs(spark, rec("late", end=old)))
+    assert sorted(r["result_id"] for r in store.read().collect()) == ["late", "new"]
+    assert store.sweep() == [] and len(store.sweep(0)) == 1
+    assert sorted(r["result_id"] for r in store.read().collect()) == ["late", "new"]
+    assert store.apply_retention(str(NOW), StorePolicy(retention_days=365)) == 1
+    assert [r["result_id"] for r in store.read().collect()] == ["new"]
+
+
+def test_a_name_is_published_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    from tarnwatch.sources.publish import published, publish
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: publish(spark, f"{tmp_path}/marks/one", str(k)), range(24)))
+    assert sum(won) == 1 and published(spark, f"{tmp_path}/marks") == [("one", str(won.index(True)))]
+
+
 def test_dashboard_states(spark):
     state = lambda hours, *rows: tuple(st.latest_state(recs(spark, *rows), F.lit(NOW + timedelta(hours=hours))).first()[:2])
     row = rec(status="not_available", n=0)
