@@ -132,20 +132,40 @@ class Aligner:
         self.cuts = all(side.cuts for side in self.sides)
         self.met: dict[str, Aligned | None] = {}
 
-    def unit(self, whole: str, a_ids: list[int], b_ids: list[int]) -> Aligned | None:
-        (bytes_a, names_a), (bytes_b, names_b) = self.tables
-        encoded, parts_a, parts_b = whole.encode(), [bytes_a[k] for k in a_ids], [bytes_b[k] for k in b_ids]
-        if b"".join(parts_a) != encoded or b"".join(parts_b) != encoded:
-            return None
-        groups, links, a, b = [], [], 0, 0
-        for to_a, to_b in zip(*common_ends(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))):
-            last_a, last_b = a_ids[to_a - 1], b_ids[to_b - 1]
-            of_a = names_a[last_a] if to_a - a == 1 else ",".join([names_a[k] for k in a_ids[a:to_a]])
-            of_b = names_b[last_b] if to_b - b == 1 else ",".join([names_b[k] for k in b_ids[b:to_b]])
+    def aligned(self, wholes: list[str]) -> list[Aligned | None]:
+        """Some units at once: their bytes stand one behind the other, so that one dictionary of ends per tokenizer serves them all."""
+        a_lists, b_lists = (side.ids(wholes) for side in self.sides)
+        found = self._aligned([whole.encode() for whole in wholes], a_lists, b_lists)
+        if found is None:                       # one of them doesn't come back: each by itself
+            found = [(self._aligned([whole.encode()], [a], [b]) or [None])[0] for whole, a, b in zip(wholes, a_lists, b_lists)]
+        return found
+
+    def _aligned(self, encoded: list[bytes], a_lists: list[list[int]], b_lists: list[list[int]]) -> list[Aligned] | None:
+        unit_ends, ids, ends = list(accumulate(map(len, encoded))), [], []
+        for (bytes_of, _), lists in zip(self.tables, (a_lists, b_lists)):
+            flat = list(chain.from_iterable(lists))
+            parts = [bytes_of[k] for k in flat]
+            stops = list(accumulate(map(len, parts)))
+            if b"".join(parts) != b"".join(encoded) or [stops[k - 1] for k in accumulate(map(len, lists))] != unit_ends:
+                return None
+            ids.append(flat)
+            ends.append(stops)
+        (a_ids, b_ids), (a_cuts, b_cuts) = ids, common_ends(*ends)
+        (_, names_a), (_, names_b) = self.tables
+        groups, a, b = [], 0, 0
+        for to_a, to_b in zip(a_cuts, b_cuts):
+            of_a = names_a[a_ids[a]] if to_a - a == 1 else ",".join([names_a[k] for k in a_ids[a:to_a]])
+            of_b = names_b[b_ids[b]] if to_b - b == 1 else ",".join([names_b[k] for k in b_ids[b:to_b]])
             groups.append(f"{of_a}|{of_b}")
-            links.append(last_a << 32 | last_b)
             a, b = to_a, to_b
-        return Aligned(len(a_ids), len(b_ids), ";".join(groups), tuple(links))
+        links = [a_ids[x - 1] << 32 | b_ids[y - 1] for x, y in zip(a_cuts, b_cuts)]
+        last = {a_cut: k for k, a_cut in enumerate(a_cuts, 1)}
+        out, start = [], 0
+        for n_a, n_b, stop in zip(map(len, a_lists), map(len, b_lists), accumulate(map(len, a_lists))):
+            end = last[stop]
+            out.append(Aligned(n_a, n_b, ";".join(groups[start:end]), tuple(links[start:end])))
+            start = end
+        return out
 
     def texts(self, texts: list[str | None]) -> list[list[Aligned] | None]:
         """The aligned units of some texts; none of a text that is null or empty."""
@@ -155,8 +175,7 @@ class Aligner:
             met.clear()
         new = list(set().union(*cut).difference(met))
         for some in (new[k:k + 1000] for k in range(0, len(new), 1000)):
-            for unit, a_ids, b_ids in zip(some, *(side.ids(some) for side in self.sides)):
-                met[unit] = self.unit(unit, a_ids, b_ids)
+            met.update(zip(some, self.aligned(some)))
         out = [[met[unit] for unit in part] for part in cut]
         for unit in new:
             if len(unit) > LONGEST:
