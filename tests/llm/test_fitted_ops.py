@@ -153,6 +153,46 @@ def test_recall_of_many_lists(spark):
     assert len(got) == sum(i % 50 == 0 for i, _ in rows) and hits / total >= 0.9
 
 
+def test_bounds_and_groups_lose_nothing(spark, monkeypatch):
+    """With all lists read, every result is that of brute force, ties included: small whole numbers give many equal scores."""
+    def all_lists(found, asked, near, recall, replicas, spread):
+        found.beam, found.ratio = len(found.points), 1e9
+
+    monkeypatch.setattr(neighbours, "tune", all_lists)
+    monkeypatch.setattr(neighbours, "GROUP", 8)
+    monkeypatch.setattr(neighbours, "PIECE", 300)
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-3, 4, (2500, 7)).astype(float)
+    x[x.any(1) == 0, 0] = 1
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for r in neighbours.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, near in brute_nearest(rows, 20, lambda i: i % 50 == 0).items():
+        assert got[q] == [i for i, _ in near]
+
+
+def test_doubles_are_not_rounded(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + 1e-12, 0.5]), (2, [1.0, 0.5]), (3, [1e39, 1.0]), (4, [1.0 - 1e-12, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 1e39), (1, 1.0 + 1e-12), (2, 1.0), (4, 1.0 - 1e-12)]
+
+
+def test_graph_leads_to_nearest_centroids():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = neighbours.fit(x, 1.0, 600)
+    at = neighbours.lifted(x[:500], 1.0)
+    order, far = found.nearest(at, 48)
+    exact = neighbours._distances(at, found.points)
+    assert (np.diff(far, axis=1) >= 0).all() and np.allclose(np.take_along_axis(exact, order, 1), far)
+    assert (order[:, 0] == exact.argmin(1)).mean() > 0.85
+
+
 # --- op7 ---------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
