@@ -86,7 +86,14 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of `least_chars` characters
     found in `least_docs` documents lose their lines in all but the largest document that holds them.
+    Columns of docs named n_lines or n_dropped give way to those; all others are kept, whatever their names.
     """
+    docs = docs.drop("n_lines", "n_dropped")
+    aside = "_" * (1 + max(map(len, docs.columns)))
+    own_names = {c: f"{aside}{k}" for k, c in enumerate(docs.columns) if c.lower() in ("_doc", "_row", "_gone", "_lines")}
+    if own_names:
+        kept = dedup_lines(docs.withColumnsRenamed(own_names), least_chars, least_docs, batches, fanout)
+        return kept.withColumnsRenamed({v: k for k, v in own_names.items()})
     spark = docs.sparkSession
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     ids = [F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_doc"), F.xxhash64("text").alias("_row")]

@@ -271,7 +271,8 @@ SCORES = ("p_quality", "p_toxic", "p_quality_text", "p_quality_meta", "p_toxic_t
 
 
 def score(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
-    """All columns of docs, and the probabilities SCORES."""
+    """All columns of docs, and the probabilities SCORES; columns of docs with these names give way to them."""
+    docs = docs.drop(*SCORES)
     shared = docs.sparkSession.sparkContext.broadcast(heads)
     small_batches(docs.sparkSession)
     names = docs.columns
@@ -290,7 +291,9 @@ def score(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, most_toxic: float = 0.5, **sample: int) -> DataFrame:
-    """All columns of docs, SCORES, score (quality and not toxic) and keep. docs needs doc_id, text, source and lang."""
+    """All columns of docs, SCORES, score (quality and not toxic) and keep. docs needs doc_id, text, source and lang;
+    its columns with names of results give way to those."""
+    docs = docs.drop(*SCORES, "score", "keep")
     scored = score(docs, fit(docs, labels, **sample))
     return scored.withColumns({
         "score": F.col("p_quality") * (1 - F.col("p_toxic")),

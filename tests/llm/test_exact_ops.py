@@ -370,3 +370,27 @@ def test_url_filter(spark):
     log = spark.createDataFrame([("http://c.net/", "http://x.com/de/1"), (None, "x"), ("", "")], "source string, target string")
     assert {r.page_id: r.verdict for r in urls.filter_urls(df, redirects=log).collect()}[16] == "block"
     assert urls.filter_urls(df.limit(0)).count() == 0
+
+
+def test_foreign_columns_with_names_of_the_line_operator(spark):
+    line = "a line of more than twenty characters"
+    rows = [(k, f"{line}\nown {k}", k * 10, f"d{k}", [k], True, 7) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc long, _lines string, _gone array<long>, n_lines boolean, extra int")
+    from tarnwatch.llm import lines
+    out = lines.dedup_lines(df)
+    assert sorted(out.columns) == sorted(["doc_id", "_doc", "_lines", "_gone", "extra", "text", "n_lines", "n_dropped"])
+    for r in out.collect():
+        assert (r["_doc"], r["_lines"], r["_gone"], r["extra"]) == (r.doc_id * 10, f"d{r.doc_id}", [r.doc_id], 7)
+        assert (r.n_lines, r.n_dropped) == (2, int(r.doc_id < 3))
+        assert r.text == (f"own {r.doc_id}" if r.doc_id < 3 else f"{line}\nown 3")
+
+
+def test_foreign_columns_with_names_of_the_classifier(spark):
+    from tarnwatch.llm import quality
+    docs = spark.createDataFrame([(1, "some text", "en", "s", "mine", "own", 5, 1)],
+                                 "doc_id long, text string, lang string, source string, p_quality string, keep string, score int, quality int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality.judge(docs, labels)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "lang", "source", "quality", *quality.SCORES, "score", "keep"])
+    row = out.first()
+    assert row.quality == 1 and row.keep is True and isinstance(row.p_quality, float)
