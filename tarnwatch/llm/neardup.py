@@ -224,7 +224,7 @@ def _meet(groups: int):
 def _met(table: pa.Table, second: bool) -> pa.Table:
     """kind 0: (a, b, cells) of a bucket's first document with each other one; kind 1: (bucket, document, cells) of buckets of three or
     more; kind 2: as kind 0, of buckets of two. Buckets of equal documents are one, with the number of cells.
-    kind 3: (a, b) of a bucket's first document with each other one, of the second sketch."""
+    kind 3: (a, b) of the second sketch: the smallest document of those that a part's buckets connect, with each other one."""
     low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("keys")]).reshape(-1, 6)
     wide = np.zeros((len(low), 8), np.uint8)
     wide[:, :6] = low
@@ -251,8 +251,7 @@ def _met(table: pa.Table, second: bool) -> pa.Table:
     rows = np.repeat(count > 0, sizes)
     first, cells_, size = np.repeat(doc[starts], sizes), np.repeat(count, sizes), np.repeat(sizes, sizes)
     if second:
-        pair = np.unique(np.stack([first[rows & (first != doc)], doc[rows & (first != doc)]]), axis=1)
-        return pa.Table.from_batches([_rows(3, *pair)])
+        return pa.Table.from_batches([_rows(3, *_under_least(first[rows], doc[rows]))])
     out = []
     for kind, chosen in ((0, rows & (first != doc) & (size > 2)), (2, rows & (first != doc) & (size == 2))):
         pair, number = np.unique(np.stack([first[chosen], doc[chosen]]), axis=1, return_inverse=True)
@@ -262,6 +261,22 @@ def _met(table: pa.Table, second: bool) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
+def _under_least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, other) for every id that the edges (a, b) connect with a smaller one: as many rows as ids at most."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[:len(a)], at[len(a):]
+    root, before = np.arange(len(ids)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(before[left], before[right])
+        np.minimum.at(root, before[left], low)
+        np.minimum.at(root, before[right], low)
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[root[other]], ids[other]
+
+
 def _bit(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_WORDS * 63))
 
@@ -401,7 +416,8 @@ def _classes(docs: DataFrame) -> DataFrame:
 def _in_families(docs: DataFrame, met: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
     """Links among the documents that meet in the second sketch: as many as connect them, (a, b)."""
     of = reps.select(F.col("id").alias("i"), F.col("rep").alias("r"))
-    edges = met.where("kind = 3").join(of.withColumnRenamed("i", "a").withColumnRenamed("r", "ra"), "a").join(
+    # A family has the same smallest document in most parts, so few rows are left of one member.
+    edges = met.where("kind = 3").select("a", "b").distinct().join(of.withColumnRenamed("i", "a").withColumnRenamed("r", "ra"), "a").join(
         of.withColumnRenamed("i", "b").withColumnRenamed("r", "rb"), "b")
     family = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "families")
     members = family.select(F.col("component").alias("family"), F.col("node").alias("rep")).join(

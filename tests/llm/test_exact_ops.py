@@ -203,6 +203,18 @@ def test_near_duplicates_of_null_ids_and_of_nothing(spark):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_edges_become_stars_under_the_least_id():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 30, 400):
+        a, b = rng.integers(-60, 300, size), rng.integers(-60, 300, size)
+        least = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(size):
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        got = neardup._under_least(a, b)
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted((y, x) for x, y in least.items() if x != y)
+
+
 def test_rows_without_id_connect_nothing_by_that(spark, texts):
     a, b, c = (next(t for t in texts[k:] if t and len(t.split()) > 40) for k in (0, 7, 14))
     rows = [(1, a), (None, a + " more"), (2, b), (None, b + " more"), (None, c), (None, c + " more"), (None, "alone at last"),
