@@ -470,6 +470,15 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _able(met: DataFrame, named: DataFrame) -> DataFrame:
+    """id of the documents that agree with all others together in as many cells of the first sketch as with one similar document
+    alone: that one has three quarters of the smallest set's shingles at least. What agrees by chance in a few cells falls out."""
+    agreed = met.where("kind = 1").select(F.col("b").alias("id"), "c").unionByName(
+        met.where("kind = 2").select(F.explode(F.array("a", "b")).alias("id"), "c"))
+    agreed = agreed.groupBy("id").agg(F.sum("c").alias("cells"))
+    return agreed.join(named.groupBy("id").agg(F.min("n").alias("n")), "id").where("cells >= 1 + ceil(3 * n / 4) div 16").select("id")
+
+
 def _across(met: DataFrame, stars: DataFrame, reps: DataFrame, described: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs of sets in different components that may be similar: (a, b)."""
     named = reps.join(label, F.col("rep") == F.col("node"), "left").select(
@@ -477,14 +486,14 @@ def _across(met: DataFrame, stars: DataFrame, reps: DataFrame, described: DataFr
     named = freeze(named, "labelled_sets")
     small = named.groupBy("label").agg(F.min("n").alias("least"), F.countDistinct("rep").alias("members"))
 
+    of = freeze(named.select("id", "label").distinct().join(_able(met, named), "id", "left_semi"), "able_sets")
     members = met.where("kind = 1").groupBy(F.col("a").alias("bucket"), F.col("b").alias("id")).agg(F.sum("c").alias("cells")).join(
-        named.select("id", "label").distinct(), "id").groupBy("bucket", "label").agg(F.max("cells").alias("cells"))
+        of, "id").groupBy("bucket", "label").agg(F.max("cells").alias("cells"))
     mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     members = freeze(members.join(mixed, "bucket"), "mixed_buckets")
     left, right = members.alias("x"), members.alias("y")
     met_labels = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(
         F.col("x.label").alias("p"), F.col("y.label").alias("q"), F.col("x.cells").alias("cells"))
-    of = named.select("id", "label").distinct()
     twos = met.where("kind = 2").join(of.select(F.col("id").alias("a"), F.col("label").alias("p")), "a").join(
         of.select(F.col("id").alias("b"), F.col("label").alias("q")), "b").where("p <> q").select(
         F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.col("c").alias("cells"))
