@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, PythonException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarnwatch.config import MISSING_CATEGORY, UNKNOWN_CATEGORY, DriftPolicy, as_dict
@@ -31,6 +31,8 @@ from tarnwatch.plans.ordering import assign_parts
 
 # --- fixed values: columns a window may carry beside its features ---
 TOLERATED_COLUMNS = ("id", "customerID", "Churn")
+# --- fixed values: SQL state classes of data exceptions, of failing functions and of errors raised by a query itself ---
+VALUE_STATES = ("22", "38", "39", "P0")
 
 
 def array_total(values: str) -> str:
@@ -282,10 +284,16 @@ def prediction_drift(
     """PSI of scores per window against one reference population."""
     now = prediction_histogram(current, probability, threshold=threshold, low=low, high=high, by=by, edges=edges)
     base = prediction_histogram(reference, probability, threshold=threshold, low=low, high=high, edges=edges)
-    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     # The reference side is a single aggregate row, joined on a constant.
-    paired = now.select("*", F.lit(1).alias("__one"), as_double(F.col("counts")).alias("current")).join(
-        F.broadcast(base.select(F.lit(1).alias("__one"), as_double(F.col("counts")).alias("reference"))), "__one")
+    paired = now.select("*", F.lit(1).alias("__one")).join(
+        F.broadcast(base.select(F.lit(1).alias("__one"), F.col("counts").alias("reference"))), "__one")
+    return histogram_drift(paired, by, policy)
+
+
+def histogram_drift(paired: DataFrame, by: Sequence[str], policy: DriftPolicy) -> DataFrame:
+    """PSI and status of rows of `prediction_histogram` that carry the counts they are held against as `reference`."""
+    as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    paired = paired.withColumn("current", as_double(F.col("counts"))).withColumn("reference", as_double(F.col("reference")))
     measured = paired.withColumn("psi", psi("reference", "current", policy.epsilon))
     return measured.select(
         *by, "n", "n_invalid", "psi", "mean", "positive_rate", "n_safe", "n_low", "n_medium", "n_high",
@@ -324,11 +332,21 @@ def window_problems(windows: DataFrame, profile: Profile, by: Sequence[str] = ("
     return [f"missing:{c}" for c in sorted(missing)] + [f"unexpected:{c}" for c in sorted(extra)]
 
 
+def caused_by_values(error: PySparkException) -> bool:
+    """Whether values could not be read or computed. Lost executors, missing files and the like are no evidence about a window."""
+    while error is not None:        # a failed write hides what failed as its cause
+        if isinstance(error, PythonException) or (error.getSqlState() or "").startswith(VALUE_STATES):
+            return True
+        error = getattr(error, "_cause", None)
+    return False
+
+
 def checked_monitor(
     windows: DataFrame, profile: Profile, *, by: Sequence[str] = ("window_id",), policy: DriftPolicy = DriftPolicy(),
     profile_reasons: Sequence[str] = (), score_column: str | None = None, **scores,
 ) -> DataFrame:
-    """Run rows with an error class: unsafe prerequisites give `unknown`, never an exception."""
+    """Run rows with an error class: unsafe prerequisites and values that cannot be read give `unknown` for all windows
+    (`monitoring.monitoring_run` tells the windows apart). Lost executors and missing files are raised."""
     def failed(reason: str) -> DataFrame:
         present = [c for c in by if c in windows.columns]
         ids = windows.select(*present).distinct() if present else windows.sparkSession.range(1).select()
@@ -346,7 +364,9 @@ def checked_monitor(
     try:
         # Measured here, so that what fails while it runs is evidence of an unusable run as well, not a crash later on.
         runs = freeze(monitor(windows, profile, by=by, policy=policy, **scores).runs, "runs")
-    except PySparkException:
+    except PySparkException as error:
+        if not caused_by_values(error):
+            raise
         return failed("monitoring_failure")
     return runs.withColumn("error_class", F.lit(None).cast("string"))
 

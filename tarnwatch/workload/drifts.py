@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarnwatch.config import DriftPolicy
 from tarnwatch.operators import drift as dr
+from tarnwatch.operators import monitoring as mo
 from tarnwatch.operators import profile as pf
 from tarnwatch.operators import scenario as sc
 from tarnwatch.operators.scoring import batch_summary, bands_around, decided, joined_vote, probability_audit, weighted_vote
 from tarnwatch.plans.freeze import freeze
+from tarnwatch.session import shared_folder
 from tarnwatch.workload.base import (
     CATEGORICAL,
     NUMERIC,
@@ -294,6 +298,48 @@ def drift_failure_classes(spark, sf):
     return runs[0].unionByName(runs[1]).unionByName(runs[2]).drop("sample_size")
 
 
+# --- a whole run ------------------------------------------------------------------------
+
+@query("monitoring_run", f"""
+WITH {FEATURES_SQL},
+m_top AS (SELECT window_id, max({SEVERITY_SQL.format(s='status')}) AS level FROM final GROUP BY window_id),
+m_lines AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN 'ref' ELSE strftime(l_shipdate, '%Y-%m') END AS window_id,
+  (CAST(l_quantity AS DOUBLE) + 0.5) / 52 AS x FROM lineitem),
+m_bins AS (SELECT window_id, CAST(ceil((CASE WHEN window_id = '1998-11' THEN x * x ELSE x END) * 10) AS INTEGER) AS bin FROM m_lines),
+m_share AS (SELECT window_id, bin, count(*) / sum(count(*)) OVER (PARTITION BY window_id) AS s FROM m_bins GROUP BY window_id, bin),
+m_sizes AS (SELECT window_id, count(*) AS n FROM m_bins WHERE window_id <> 'ref' GROUP BY window_id),
+m_grid AS (SELECT window_id, n, unnest(range(1, 11)) AS bin FROM m_sizes),
+m_psi AS (SELECT g.window_id, any_value(n) AS n, sum((coalesce(c.s, 0) - coalesce(r.s, 0)) * ln((coalesce(c.s, 0) + 1e-6) / (coalesce(r.s, 0) + 1e-6))) AS psi
+  FROM m_grid g LEFT JOIN m_share c ON c.window_id = g.window_id AND c.bin = g.bin LEFT JOIN m_share r ON r.window_id = 'ref' AND r.bin = g.bin GROUP BY g.window_id),
+m_levels AS (SELECT window_id, n, greatest(coalesce(level, -1), {SEVERITY_SQL.format(s='(' + ladder_sql('psi', 0.1, 0.2, 0.3) + ')')}) AS level FROM m_psi LEFT JOIN m_top USING (window_id))
+SELECT window_id, n AS sample_size, CASE WHEN window_id = '1998-09' THEN 'unknown' WHEN n < 500 THEN 'insufficient_data' WHEN window_id = '1998-10' THEN 'unknown'
+    ELSE CASE level WHEN 0 THEN 'stable' WHEN 1 THEN 'watch' WHEN 2 THEN 'warning' WHEN 3 THEN 'critical' ELSE 'unknown' END END AS run_status,
+  CASE WHEN window_id = '1998-09' THEN 'monitoring_failure' WHEN n >= 500 AND window_id = '1998-10' THEN 'current_window_incompatible' END AS error_class,
+  true AS reused
+FROM m_levels
+""")
+def monitoring_run(spark, sf):
+    """One month holds a value that cannot be read, the scores of one are no probabilities, those of another have moved."""
+    profile = reference_profile(spark, sf)
+    month, quantity = F.col("window_id"), F.col("l_quantity")
+
+    def score(rows):
+        x = (quantity.cast("double") + 0.5) / 52
+        return rows.withColumn("probability", F.when(month == "1998-10", 1.5).when(month == "1998-11", x * x).otherwise(x))
+
+    kept = mo.build_score_reference(
+        score(reference(spark, sf).withColumn("window_id", F.lit("reference"))), "probability", threshold=0.5, low=0.2, high=0.7)
+    sound = windows(spark, sf).select("window_id", "l_orderkey", "l_linenumber", *NUMERIC, *CATEGORICAL)
+    broken = sound.withColumn("l_quantity", F.when((month == "1998-09") & (quantity > 40), F.raise_error(F.lit("unreadable"))).otherwise(quantity))
+    given = {
+        "profile_id": pf.profile_identity(profile).first()["profile_id"], "identity": mo.window_identity(sound), "score": score,
+        "reference": kept, "key": ("l_orderkey", "l_linenumber"), "policy": DriftPolicy(minimum_sample_size=500)}
+    folder = f"{shared_folder(spark)}/tarnwatch/monitoring-{uuid.uuid4().hex}"
+    mo.monitoring_run(folder, broken, profile, **given)
+    again = mo.monitoring_run(folder, broken, profile, **given)
+    return again.data.withColumn("reused", F.lit(again.reused))
+
+
 # --- predictions -----------------------------------------------------------------------
 
 @query("prediction_drift", f"""
