@@ -201,22 +201,23 @@ def delivery_decisions(
     me = F.col("__o")
     levels = [r[0] for r in rows.select("__s").distinct().orderBy("__s").collect()]     # a handful of severities
     ahead = Window.partitionBy(*key, "__slot")
-    later = Window.partitionBy(*key).orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
+    # "All that follow" is asked from the end: a frame that only grows is one pass, one that shrinks is taken anew for every row.
+    later = Window.partitionBy(*key).orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy(*key, "__slot").agg(F.min("__o").alias("first"), *[
         F.min(F.when(F.col("__s") > s, me)).alias(f"over{k}") for k, s in enumerate(levels)])
     after = firsts.select(
         *key, "__slot", F.min("first").over(later).alias("next1"),
-        F.min("first").over(later.rowsBetween(2, Window.unboundedFollowing)).alias("next2"),
+        F.min("first").over(later.rowsBetween(Window.unboundedPreceding, -2)).alias("next2"),
         F.lead("__slot").over(Window.partitionBy(*key).orderBy("__slot")).alias("follower"),
         *[F.min(f"over{k}").over(later).alias(f"later{k}") for k in range(len(levels))])
     # In the next slot: emissions and, a slot later, the offsets they are asked from; the first emission not before each.
     asked = rows.select(*key, (F.col("__slot") + 1).alias("__slot"), (F.col("__t") + pause).alias("t"), F.lit(0).alias("kind"), me.alias("o"))
     own = rows.select(*key, "__slot", F.col("__t").alias("t"), F.lit(1).alias("kind"), me.alias("o"))
-    order_in = ahead.orderBy("t", "kind", "o").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    order_in = ahead.orderBy(F.desc("t"), F.desc("kind"), F.desc("o")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = asked.unionByName(own).withColumn("hit", F.min(F.when(F.col("kind") == 1, F.col("o"))).over(order_in)).where("kind = 0")
     found = found.select(*[F.col(c).alias(f"__{c}") for c in key], F.col("o").alias("__from"), "hit")
     higher = F.lit(None).cast(rows.schema["__o"].dataType)
-    down = ahead.orderBy("__o").rowsBetween(1, Window.unboundedFollowing)
+    down = ahead.orderBy(F.desc("__o")).rowsBetween(Window.unboundedPreceding, -1)
     for k, s in enumerate(levels):
         inside = F.min(F.when(F.col("__s") > s, me)).over(down)
         higher = F.when(F.col("__s") == s, F.coalesce(inside, F.col(f"later{k}"))).otherwise(higher)

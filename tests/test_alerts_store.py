@@ -104,6 +104,21 @@ def test_delivery_again_after_a_day_and_on_higher_severity(spark):
     assert al.delivery_decisions(df.limit(0), ["k"], "at", "id").count() == 0
 
 
+def test_suppression_has_no_frame_that_is_taken_anew_for_every_row(spark, monkeypatch):
+    """A frame from a row to the end of its partition is the square of a slot's emissions."""
+    plans = []
+
+    def kept(df, label="table"):
+        plans.append(df._jdf.queryExecution().toString())
+        return df
+
+    monkeypatch.setattr(al, "freeze", kept)
+    rows = [("a", START + timedelta(minutes=k), k, int(k == 40)) for k in range(50)]
+    got = al.delivery_decisions(spark.createDataFrame(rows, "k string, at timestamp, id int, severity int"), ["k"], "at", "id", F.col("severity"))
+    assert [r["id"] for r in got.where("delivered").orderBy("id").collect()] == [0, 40]
+    assert any("windowframe" in plan.lower() for plan in plans) and not any("unboundedfollowing" in plan.lower() for plan in plans)
+
+
 def test_settled_batches_follow_each_other(spark):
     def log(*rows):
         return spark.createDataFrame([(a, i, START + timedelta(hours=h), act, "me", "why") for a, i, h, act in rows],
