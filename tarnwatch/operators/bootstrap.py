@@ -27,7 +27,8 @@ from tarnwatch.operators.metrics import full_metrics, grouped, ungrouped
 
 METRICS = ("average_precision", "recall", "precision", "f1", "roc_auc", "brier_score", "expected_calibration_error")
 MODELS = ("candidate", "champion")
-BLOCK = 50
+BLOCK = 200             # replicates of one task
+PACKS = 16              # rows that the cells of a group are packed into
 
 
 def score_steps(resolution: int, thresholds: Sequence[float]) -> list[float]:
@@ -111,15 +112,20 @@ def bootstrap_replicates(
 
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        own = blocks[table["__block"][0].as_py()] if len(np.unique(table["y"].to_numpy())) == 2 else []
-        rows = replicate_metrics(table, own, seed, first_hits, bins)
+        held = pa.Table.from_struct_array(table["__cells"].chunk(0).flatten())
+        own = blocks[table["__block"][0].as_py()] if len(np.unique(held["y"].to_numpy())) == 2 else []
+        rows = replicate_metrics(held, own, seed, first_hits, bins)
         first = pa.array([0] * len(rows), pa.int64())
         columns = {c: table[c].take(first) for c in by}
         columns["replicate"] = pa.array([r[0] for r in rows], pa.int32())
         columns |= {name: pa.array([r[k + 1] for r in rows], pa.float64()) for k, name in enumerate(names)}
         return pa.table(columns)
 
-    dealt = cells.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
+    # Every block needs all cells of its group: they travel as a few packed rows, not as one row for each cell and block.
+    drawn = [c for c in cells.columns if c not in by]
+    pack = F.pmod(F.xxhash64("y", *MODELS), F.lit(PACKS)).alias("__pack")
+    packed = cells.groupBy(*by, pack).agg(F.collect_list(F.struct(*drawn)).alias("__cells")).drop("__pack")
+    dealt = packed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(len(blocks) - 1))))
     schema = ", ".join([*(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in by), "replicate int", *(f"{n} double" for n in names)])
     return dealt.groupBy(*by, "__block").applyInArrow(work, schema)
 
