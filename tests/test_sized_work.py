@@ -3,6 +3,10 @@
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import bootstrap as bs
+from tarnwatch.workload import stores
+from tarnwatch.workload.base import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_cells_are_packed_before_they_are_dealt_to_blocks(spark):
@@ -13,3 +17,14 @@ def test_cells_are_packed_before_they_are_dealt_to_blocks(spark):
     drawn = bs.bootstrap_replicates(cells, [k / 20 for k in range(1, 20)], (0.5, 0.5), 450, 7, 10, ["g"])
     assert drawn.count() == 450 and drawn.select("replicate").distinct().count() == 450
     assert "collect_list" in drawn._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
+    plans = []
+    load = stores.manifest.load_verified
+    def kept(df, *a, **k):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return load(df, *a, **k)
+    monkeypatch.setattr(stores.manifest, "load_verified", kept)
+    assert stores.dataset_manifest_counts(spark, SF).first()["row_count"] == table(spark, SF, "lineitem").count()
+    assert "RebalancePartitions" in plans[0] and "RepartitionByExpression" not in plans[0]     # no fixed number of parts
