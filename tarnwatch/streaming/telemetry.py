@@ -7,6 +7,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tarnwatch.operators.telemetry import rollup
 
+# State goes to local disk, one store for all that a join keeps. The default keeps every row that a join waits with on the heap.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
 
 def hourly_rollup(events: DataFrame, at: str, latency: str, failed: Column, watermark: str = "24 hours") -> DataFrame:
     return rollup(events, at, latency, failed, "1 hour", watermark=watermark)
@@ -30,9 +36,17 @@ def late_counts(events: DataFrame, at: str, arrived: str, grace_hours: int = 24)
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop; restarts continue from the checkpoint."""
-    query = (
-        df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start())
-    query.awaitTermination()
+    """Process what is there and stop; restarts continue from the checkpoint, with the state store they began with."""
+    conf = df.sparkSession.conf
+    added = {} if any(k in conf.getAll for k in STATE) else STATE
+    try:
+        for k, v in added.items():
+            conf.set(k, v)
+        query = (
+            df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        for k in added:
+            conf.unset(k)
     return query

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import bootstrap as bs
+from tarnwatch.streaming import labels as sl
+from tarnwatch.streaming import telemetry as stt
 from tarnwatch.workload import stores
 from tarnwatch.workload.base import table
 
@@ -19,6 +21,17 @@ def test_cells_are_packed_before_they_are_dealt_to_blocks(spark):
     assert "collect_list" in drawn._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_state_of_streams_is_not_kept_on_the_heap(spark, tmp_path):
+    source, home = str(tmp_path / "source"), str(tmp_path / "checkpoint")
+    events = spark.range(20).select((F.col("id") % 5).alias("k"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    events.write.parquet(source)
+    before = dict(spark.conf.getAll)
+    stt.run_available(sl.without_redeliveries(spark.readStream.schema(events.schema).parquet(source), ["k"], "at"), str(tmp_path / "out"), home)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert "RocksDBStateStoreProvider" in "".join(r[0] for r in spark.read.text(f"{home}/offsets/0").collect())
+    assert dict(spark.conf.getAll) == before
+
+
 def test_rows_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
     plans = []
     load = stores.manifest.load_verified
