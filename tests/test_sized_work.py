@@ -1,11 +1,13 @@
 """Work that has to grow no faster than the rows: how often tables are read, in how many parts, and what is sent."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import bootstrap as bs
 from tarnwatch.streaming import labels as sl
 from tarnwatch.streaming import telemetry as stt
-from tarnwatch.workload import stores
+from tarnwatch.workload import drifts, stores
 from tarnwatch.workload.base import table
 
 SF = "/root/testdata/sf0.001"
@@ -32,6 +34,16 @@ def test_state_of_streams_is_not_kept_on_the_heap(spark, tmp_path):
     assert dict(spark.conf.getAll) == before
 
 
+def test_windows_are_not_cut_from_all_lines_again_and_again(spark, monkeypatch):
+    seen = []
+    def run(folder, windows, profile, **given):
+        seen.append(windows.inputFiles())
+        return SimpleNamespace(data=windows, reused=True)
+    monkeypatch.setattr(drifts.mo, "monitoring_run", run)
+    drifts.monitoring_run(spark, SF)
+    assert len(seen) == 2 and not any("lineitem" in file for files in seen for file in files)
+
+
 def test_rows_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
     plans = []
     load = stores.manifest.load_verified
