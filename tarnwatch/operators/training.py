@@ -48,16 +48,25 @@ class TrainedModel:
     split_rows: Mapping[str, int]
 
 
+def training_parts(
+    df: DataFrame, *, key: Sequence[str], label: str, seed: int = 42, fractions: Sequence[float] = (0.70, 0.15, 0.15),
+) -> DataFrame:
+    """df and its split, written."""
+    return freeze(stratified_split(df, key=key, stratum=[label], seed=seed, fractions=fractions), "training")
+
+
 def train(
     df: DataFrame, *, key: Sequence[str], label: str, features: Sequence[str], family: str = "logistic_regression",
-    seed: int = 42, fractions: Sequence[float] = (0.70, 0.15, 0.15), **params,
+    seed: int = 42, fractions: Sequence[float] = (0.70, 0.15, 0.15), parts: DataFrame | None = None, **params,
 ) -> TrainedModel:
     """Fit on train, choose the threshold on validation, report on test.
 
-    What the split and an iterative fit read many times is written once.
+    What the split and an iterative fit read many times is written once. Models of the same rows share `parts`, the result of
+    `training_parts` with the same key, label, seed and fractions.
     """
-    prepared = freeze(df.select(*key, label, *features), "prepared")
-    parts = freeze(stratified_split(prepared, key=key, stratum=[label], seed=seed, fractions=fractions), "training")
+    if parts is None:
+        prepared = freeze(df.select(*key, label, *features), "prepared")
+        parts = training_parts(prepared, key=key, label=label, seed=seed, fractions=fractions)
     sizes = {r["split"]: r["n"] for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     fit_rows = only(parts, "train")
     if family == "logistic_regression":

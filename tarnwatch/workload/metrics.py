@@ -338,9 +338,10 @@ def boosted_trees_training_run(spark, sf):
 
 @query("candidate_evaluation")
 def candidate_evaluation(spark, sf):
-    data, candidate = _train(spark, sf, "logistic_regression", max_iter=50)
-    data = freeze(data, "model-table")
-    champion = tr.train(data, key=["line_id"], label="label", features=["quantity"], max_iter=20)
+    data = freeze(model_table(spark, sf).dropDuplicates(["line_id"]), "model-table")
+    both = {"key": ["line_id"], "label": "label", "parts": tr.training_parts(data, key=["line_id"], label="label")}
+    candidate = tr.train(data, features=FEATURES, max_iter=50, **both)
+    champion = tr.train(data, features=["quantity"], max_iter=20, **both)
     out = tr.evaluate_candidate(data, key=["line_id"], label="label", candidate=candidate, champion=champion)
     return out.withColumn("failures", F.array_join("failures", ","))
 

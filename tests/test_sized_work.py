@@ -5,9 +5,10 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import bootstrap as bs
+from tarnwatch.operators import training as tr
 from tarnwatch.streaming import labels as sl
 from tarnwatch.streaming import telemetry as stt
-from tarnwatch.workload import drifts, stores
+from tarnwatch.workload import drifts, metrics, stores
 from tarnwatch.workload.base import table
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +35,14 @@ def test_state_of_streams_is_not_kept_on_the_heap(spark, tmp_path):
     assert dict(spark.conf.getAll) == before
 
 
+def test_models_of_the_same_rows_share_a_split(spark, monkeypatch):
+    seen = []
+    split = tr.stratified_split
+    monkeypatch.setattr(tr, "stratified_split", lambda *a, **k: seen.append(1) or split(*a, **k))
+    assert metrics.candidate_evaluation(spark, SF).count() == 1
+    assert len(seen) == 2       # once for both models, once rebuilt from keys and seed for the gates
+
+
 def test_windows_are_not_cut_from_all_lines_again_and_again(spark, monkeypatch):
     seen = []
     def run(folder, windows, profile, **given):
