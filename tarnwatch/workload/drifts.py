@@ -329,7 +329,7 @@ def monitoring_run(spark, sf):
 
     kept = mo.build_score_reference(
         score(reference(spark, sf).withColumn("window_id", F.lit("reference"))), "probability", threshold=0.5, low=0.2, high=0.7)
-    # Read about twenty times while failing windows are told apart, and a small part of the lines.
+    # Read again and again while failing windows are told apart, and a small part of the lines.
     sound = freeze(windows(spark, sf).select("window_id", "l_orderkey", "l_linenumber", *NUMERIC, *CATEGORICAL), "current-windows")
     broken = sound.withColumn("l_quantity", F.when((month == "1998-09") & (quantity > 40), F.raise_error(F.lit("unreadable"))).otherwise(quantity))
     given = {
