@@ -43,7 +43,8 @@ from tarnwatch.plans.freeze import freeze
 
 NO_ID = -(2**63)
 HOT_SHINGLES = 400_000      # most shingles that are left out of sketches: 8 bytes each in every task
-LEAST_HOT = 16              # documents that share a shingle before it may be left out
+LEAST_HOT = 16              # documents that share a shingle before it may be left out, in small tables
+HOT_PER = 250_000           # in larger ones, a document for every so many shingles of the table
 CHUNK = 1_500_000           # cells a task holds before it hands them on
 BLOCK = 400_000             # shingles of a block of a family
 FILTER_WORDS = 1 << 20      # words of 63 bits in the filter that tells which texts candidates need
@@ -158,8 +159,12 @@ def _shared(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _hot(described: DataFrame) -> np.ndarray:
-    """The shingles found in most documents, HOT_SHINGLES of them at most, sorted."""
-    counts = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= LEAST_HOT)
+    """The shingles found in most documents, HOT_SHINGLES of them at most, sorted.
+
+    A shingle has to have its share of the table, so that every chunk of it shows the shingle. What a fixed number of copies share
+    would be seen in small tables only, and there would be more of it than any list holds in large ones: it stays in sketches."""
+    total = described.where("kind = 0").agg(F.sum("b")).first()[0] or 0
+    counts = described.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).where(F.col("n") >= max(LEAST_HOT, total // HOT_PER))
     counts = freeze(counts, "frequent_shingles")
     levels = counts.groupBy(F.floor(F.log2("n") * 4).alias("level")).count().orderBy(F.desc("level")).collect()
     total, floor = 0, None
@@ -222,8 +227,8 @@ def _meet(groups: int):
 
 
 def _met(table: pa.Table, second: bool) -> pa.Table:
-    """kind 0: (a, b, cells) of a bucket's first document with each other one; kind 1: (bucket, document, cells) of buckets of three or
-    more; kind 2: as kind 0, of buckets of two. Buckets of equal documents are one, with the number of cells.
+    """kind 0: (a, b, cells) of a bucket's first document with each other one; kind 1: (bucket, document, cells, first document) of
+    buckets of three or more; kind 2: as kind 0, of buckets of two. Buckets of equal documents are one, with the number of cells.
     kind 3: (a, b) of the second sketch: the smallest document of those that a part's buckets connect, with each other one."""
     low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("keys")]).reshape(-1, 6)
     wide = np.zeros((len(low), 8), np.uint8)
@@ -257,7 +262,7 @@ def _met(table: pa.Table, second: bool) -> pa.Table:
         pair, number = np.unique(np.stack([first[chosen], doc[chosen]]), axis=1, return_inverse=True)
         out.append(_rows(kind, *pair, np.bincount(number.ravel(), cells_[chosen], pair.shape[1])))
     large = rows & (size > 2)
-    out.append(_rows(1, np.repeat(name, sizes)[large].view(np.int64), doc[large], cells_[large]))
+    out.append(_rows(1, np.repeat(name, sizes)[large].view(np.int64), doc[large], cells_[large], first[large]))
     return pa.Table.from_batches(out)
 
 
@@ -470,12 +475,11 @@ def _block_links(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _able(met: DataFrame, named: DataFrame) -> DataFrame:
+def _able(agreed: DataFrame, twos: DataFrame, named: DataFrame) -> DataFrame:
     """id of the documents that agree with all others together in as many cells of the first sketch as with one similar document
     alone: that one has three quarters of the smallest set's shingles at least. What agrees by chance in a few cells falls out."""
-    agreed = met.where("kind = 1").select(F.col("b").alias("id"), "c").unionByName(
-        met.where("kind = 2").select(F.explode(F.array("a", "b")).alias("id"), "c"))
-    agreed = agreed.groupBy("id").agg(F.sum("c").alias("cells"))
+    agreed = agreed.select("id", "cells").unionByName(twos.select(F.explode(F.array("a", "b")).alias("id"), "cells"))
+    agreed = agreed.groupBy("id").agg(F.sum("cells").alias("cells"))
     return agreed.join(named.groupBy("id").agg(F.min("n").alias("n")), "id").where("cells >= 1 + ceil(3 * n / 4) div 16").select("id")
 
 
@@ -486,17 +490,26 @@ def _across(met: DataFrame, stars: DataFrame, reps: DataFrame, described: DataFr
     named = freeze(named, "labelled_sets")
     small = named.groupBy("label").agg(F.min("n").alias("least"), F.countDistinct("rep").alias("members"))
 
-    of = freeze(named.select("id", "label").distinct().join(_able(met, named), "id", "left_semi"), "able_sets")
-    members = met.where("kind = 1").groupBy(F.col("a").alias("bucket"), F.col("b").alias("id")).agg(F.sum("c").alias("cells")).join(
-        of, "id").groupBy("bucket", "label").agg(F.max("cells").alias("cells"))
+    # A pair's cells lie in as many rows of met as parts hold them: they are summed up before anything is joined.
+    twos = freeze(met.where("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("cells")), "buckets_of_two")
+    agreed = freeze(met.where("kind = 1").groupBy(F.col("a").alias("bucket"), F.col("b").alias("id"), F.col("d").alias("first")).agg(
+        F.sum("c").alias("cells")), "buckets")
+    of = freeze(named.select("id", "label").distinct().join(_able(agreed, twos, named), "id", "left_semi"), "able_sets")
+    # Only buckets with a document outside the first one's component matter; the first documents' pairs tell which. Most buckets are
+    # of copies that are one component by now, and are gone before their members meet labels.
+    pairs = agreed.where("id <> first").select("first", "id").distinct()
+    apart = pairs.join(of, "id").join(named.select(F.col("id").alias("first"), F.col("label").alias("own")).distinct(), "first").where(
+        "label <> own").select("first", "id").distinct()
+    unlike = agreed.join(apart, ["first", "id"], "left_semi").select("bucket").distinct()
+    members = agreed.join(unlike, "bucket", "left_semi").join(of, "id").groupBy("bucket", "label").agg(F.max("cells").alias("cells"))
     mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     members = freeze(members.join(mixed, "bucket"), "mixed_buckets")
     left, right = members.alias("x"), members.alias("y")
     met_labels = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(
         F.col("x.label").alias("p"), F.col("y.label").alias("q"), F.col("x.cells").alias("cells"))
-    twos = met.where("kind = 2").join(of.select(F.col("id").alias("a"), F.col("label").alias("p")), "a").join(
+    twos = twos.join(of.select(F.col("id").alias("a"), F.col("label").alias("p")), "a").join(
         of.select(F.col("id").alias("b"), F.col("label").alias("q")), "b").where("p <> q").select(
-        F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.col("c").alias("cells"))
+        F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "cells")
     counted = met_labels.unionByName(twos).groupBy("p", "q").agg(F.sum("cells").alias("cells"))
     counted = counted.join(small.select(F.col("label").alias("p"), F.col("least").alias("lp"), F.col("members").alias("mp")), "p").join(
         small.select(F.col("label").alias("q"), F.col("least").alias("lq"), F.col("members").alias("mq")), "q")

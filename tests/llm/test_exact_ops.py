@@ -196,6 +196,14 @@ def test_near_duplicate_classes(spark, texts, monkeypatch, hot):
     assert Counter(tuple(r) for r in got) == brute_classes(rows)
 
 
+def test_shingles_of_a_few_copies_stay_in_the_sketches_of_a_large_table(spark):
+    """Else small tables leave out what large ones cannot list, and buckets grow faster than the rows."""
+    rows = [(0, 1, 10_000_000, 0, 0), (1, 7, 39, 0, 0), (1, 9, 40, 0, 0)]
+    described = spark.createDataFrame(rows, neardup.FIRST_SCHEMA)
+    assert neardup._hot(described).tolist() == [9]
+    assert neardup._hot(described.where("kind = 1")).tolist() == [7, 9]
+
+
 def test_near_duplicates_of_null_ids_and_of_nothing(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (4, None)], "doc_id long, text string")
     got = {tuple(r) for r in neardup.classes(df).select("doc_id", "n_shingles", "component_id").collect()}
