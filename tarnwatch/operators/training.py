@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,8 @@ from tarnwatch.operators.scoring import bands_around, score_with_model
 from tarnwatch.operators.split import only, stratified_split
 from tarnwatch.plans.freeze import freeze
 
+FIT_ROWS = 250_000          # rows of a part that a fit keeps in memory and reads again in every pass
+
 
 def logistic(features: Sequence[str], label: str, rows: int, c: float = 1.0, max_iter: int = 400) -> Pipeline:
     """L2 logistic regression with the penalty 1/C on the summed loss."""
@@ -55,6 +58,11 @@ def training_parts(
     return freeze(stratified_split(df, key=key, stratum=[label], seed=seed, fractions=fractions), "training")
 
 
+def fit_parts(rows: DataFrame, key: Sequence[str], n: int) -> DataFrame:
+    """n rows dealt by key to as many parts as they need. Files are cut by their packed bytes; a fit keeps many times those."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / FIT_ROWS)), *key)
+
+
 def train(
     df: DataFrame, *, key: Sequence[str], label: str, features: Sequence[str], family: str = "logistic_regression",
     seed: int = 42, fractions: Sequence[float] = (0.70, 0.15, 0.15), parts: DataFrame | None = None, **params,
@@ -68,7 +76,7 @@ def train(
         prepared = freeze(df.select(*key, label, *features), "prepared")
         parts = training_parts(prepared, key=key, label=label, seed=seed, fractions=fractions)
     sizes = {r["split"]: r["n"] for r in parts.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fit_rows = only(parts, "train")
+    fit_rows = fit_parts(only(parts, "train"), key, sizes.get("train", 0))
     if family == "logistic_regression":
         estimator = logistic(features, label, sizes.get("train", 0), **params)
     elif family == "boosted_trees":

@@ -43,6 +43,19 @@ def test_models_of_the_same_rows_share_a_split(spark, monkeypatch):
     assert len(seen) == 2       # once for both models, once rebuilt from keys and seed for the gates
 
 
+def test_rows_of_a_fit_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
+    seen = []
+    trees = tr.boosted_trees
+    def kept(*a, **k):
+        estimator = trees(*a, **k)
+        return SimpleNamespace(fit=lambda rows: seen.append((rows.rdd.getNumPartitions(), rows.count())) or estimator.fit(rows))
+    monkeypatch.setattr(tr, "boosted_trees", kept)
+    monkeypatch.setattr(tr, "FIT_ROWS", 200, raising=False)
+    split = metrics.boosted_trees_training_run(spark, SF).first()["split_rows"]
+    [(parts, rows)] = seen
+    assert rows == split["train"] and parts == -(-rows // 200) > 8
+
+
 def test_windows_are_not_cut_from_all_lines_again_and_again(spark, monkeypatch):
     seen = []
     def run(folder, windows, profile, **given):
