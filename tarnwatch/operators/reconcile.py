@@ -23,11 +23,13 @@ LINEAGE = (
 def collapsed(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key..., copies, conflict, content): one row per key.
 
-    All copies agree exactly when the smallest content equals the largest one.
+    All copies agree exactly when the smallest content equals the largest one. Contents are sorted before they are collapsed, so
+    rows first go to parts of bounded size: a part of a file holds as many as it packs. They are dealt by all columns, not by the
+    key alone, so that an id with very many copies is still split and collapsed in many tasks.
     """
     rest = [c for c in df.columns if c not in key]
     content = F.struct(*[F.col(f"`{c}`") for c in rest])
-    return df.groupBy(*key).agg(
+    return df.hint("rebalance", *df.columns).groupBy(*key).agg(
         F.count(F.lit(1)).alias("copies"), F.min(content).alias("content"), F.max(content).alias("__largest"),
     ).select(*key, "copies", (~F.col("content").eqNullSafe(F.col("__largest"))).alias("conflict"), "content")
 

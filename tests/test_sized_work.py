@@ -5,6 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import bootstrap as bs
+from tarnwatch.operators import reconcile as rc
 from tarnwatch.operators import training as tr
 from tarnwatch.streaming import labels as sl
 from tarnwatch.streaming import telemetry as stt
@@ -43,6 +44,14 @@ def test_models_of_the_same_rows_share_a_split(spark, monkeypatch):
     assert len(seen) == 2       # once for both models, once rebuilt from keys and seed for the gates
 
 
+def test_copies_are_sorted_in_parts_of_bounded_size(spark):
+    rows = spark.range(50).select((F.col("id") % 7).alias("k"), F.lit("x").alias("v"))
+    found = rc.collapsed(rows, ["k"])
+    assert found.agg(F.sum("copies"), F.count_if("conflict")).first()[:] == (50, 0) and found.count() == 7
+    assert "RebalancePartitions [k#" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2      # collapsed before ids meet
+
+
 def test_rows_of_a_fit_are_dealt_in_as_many_parts_as_they_need(spark, monkeypatch):
     seen = []
     trees = tr.boosted_trees
