@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnwatch.llm import textkit as tk
 from tarnwatch.llm.batches import small_batches
@@ -115,7 +115,6 @@ def cell_keys(found: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 FIRST_SCHEMA = "kind int, a long, b long, c long, d long"
-DESCRIBED = FIRST_SCHEMA + ", bits binary"
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -131,25 +130,20 @@ def _rows(kind: int, *columns) -> pa.RecordBatch:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, size, digest and bit sketch of every document; kind 1: shingles that several documents of a chunk share."""
+    """kind 0: doc_id, size and digest of every document; kind 1: shingles that several documents of a chunk share."""
     held, held_n = [], 0
     for batch in batches:
         ids, sizes, digests = _ids(batch), np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64)
-        bits = [b""] * len(batch)
         for row, found in tk.shingle_sets(batch.column("text")):
-            sizes[row], digests[row], bits[row] = len(found), set_digest(found), bits_of(found)
+            sizes[row], digests[row] = len(found), set_digest(found)
             held.append(found)
             held_n += len(found)
             if held_n >= CHUNK * 2:
-                yield _with_bits(_shared(held))
+                yield _shared(held)
                 held, held_n = [], 0
-        yield _with_bits(_rows(0, ids, sizes, digests[:, 0], digests[:, 1]), bits)
+        yield _rows(0, ids, sizes, digests[:, 0], digests[:, 1])
     if held:
-        yield _with_bits(_shared(held))
-
-
-def _with_bits(batch: pa.RecordBatch, bits: list[bytes] | None = None) -> pa.RecordBatch:
-    return batch.append_column("bits", pa.array(bits, pa.binary()) if bits else pa.nulls(len(batch), pa.binary()))
+        yield _shared(held)
 
 
 def _shared(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -335,32 +329,6 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def _near(key, members: pa.Table, others: pa.Table) -> pa.Table:
-    """Pairs of a member and another document that sizes and bit sketches allow to be similar."""
-    a, b = [], []
-    if members.num_rows and others.num_rows:
-        ids, sizes = members.column("id").to_numpy(), members.column("n").to_numpy()
-        order = np.argsort(sizes, kind="stable")
-        ids, sizes = ids[order], sizes[order]
-        raw = members.column("bits").combine_chunks().take(pa.array(order))
-        folded: dict[int, np.ndarray] = {}
-        for other, n, bits in zip(others.column("id").to_pylist(), others.column("n").to_pylist(), others.column("bits")):
-            lo, hi = np.searchsorted(sizes, -(-3 * n // 4)), np.searchsorted(sizes, n * 4 // 3, "right")
-            own = np.frombuffer(bits.as_buffer(), np.uint8)
-            width = min([len(own)] + ([len(raw[int(lo)].as_buffer())] if lo < hi else []))
-            if lo >= hi:
-                continue
-            if width not in folded:
-                folded[width] = np.stack([_fold(np.frombuffer(x.as_buffer(), np.uint8), width) if len(x.as_buffer()) >= width
-                                          else np.zeros(width, np.uint8) for x in raw]).view(np.uint64)
-            distance = np.bitwise_count(folded[width][lo:hi] ^ _fold(own, width).view(np.uint64)).sum(1)
-            close = np.flatnonzero((7 * distance.astype(np.int64) <= sizes[lo:hi] + n) & (ids[lo:hi] != other)) + lo
-            a.append(np.minimum(ids[close], other))
-            b.append(np.maximum(ids[close], other))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)})
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of docs (doc_id, text). n_links counts the verified links of
     the document's set; it is enough to connect its class, and zero only where there are no links to other sets.
@@ -387,7 +355,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     """The same, of rows that all have a doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    described = freeze(docs.mapInArrow(_describe, DESCRIBED), "shingle_sets")
+    described = freeze(docs.mapInArrow(_describe, FIRST_SCHEMA), "shingle_sets")
     sets = described.where("kind = 0").select(
         F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("h1"), F.col("d").alias("h2"))
     firsts = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
@@ -406,8 +374,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     same = reps.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     label = freeze(components(links.select("a", "b").unionByName(same)), "first_labels")
 
-    more = freeze(verified(docs, _across(met, stars, reps, described, label).join(first, ["a", "b"], "left_anti")), "more_links")
-    links = links.unionByName(more).unionByName(freeze(_in_families(docs, met, reps, label), "family_links")).select("a", "b").distinct()
+    edges = met.where("kind = 3").select("a", "b").unionByName(_across(met, reps, label))
+    links = links.unionByName(freeze(_in_families(docs, edges, reps, label), "family_links")).select("a", "b").distinct()
     label = freeze(components(links.unionByName(same)), "labels")
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = reps.join(ends.groupBy("id").agg(F.count(F.lit(1)).alias("links")).withColumnRenamed("id", "rep"), "rep").select("id", "links")
@@ -418,11 +386,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     return out.withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id")))
 
 
-def _in_families(docs: DataFrame, met: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
-    """Links among the documents that meet in the second sketch: as many as connect them, (a, b)."""
+def _in_families(docs: DataFrame, edges: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
+    """Links among the documents that edges (a, b) connect: as many as connect their classes, (a, b)."""
     of = reps.select(F.col("id").alias("i"), F.col("rep").alias("r"))
     # A family has the same smallest document in most parts, so few rows are left of one member.
-    edges = met.where("kind = 3").select("a", "b").distinct().join(of.withColumnRenamed("i", "a").withColumnRenamed("r", "ra"), "a").join(
+    edges = edges.distinct().join(of.withColumnRenamed("i", "a").withColumnRenamed("r", "ra"), "a").join(
         of.withColumnRenamed("i", "b").withColumnRenamed("r", "rb"), "b")
     family = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "families")
     members = family.select(F.col("component").alias("family"), F.col("node").alias("rep")).join(
@@ -483,12 +451,50 @@ def _able(agreed: DataFrame, twos: DataFrame, named: DataFrame) -> DataFrame:
     return agreed.join(named.groupBy("id").agg(F.min("n").alias("n")), "id").where("cells >= 1 + ceil(3 * n / 4) div 16").select("id")
 
 
-def _across(met: DataFrame, stars: DataFrame, reps: DataFrame, described: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that may be similar: (a, b)."""
+# Cells beyond the first that a document of n shingles shares at least with a similar one, which has three quarters of n or more.
+SPARE = "(ceil(3 * {n} / 4) div 16)"
+ROUNDS = 2      # times that documents without enough cells are left out; each makes more buckets those of one component
+
+
+def _spare(named: DataFrame) -> DataFrame:
+    return named.groupBy("id").agg(F.min("n").alias("n")).select("id", F.expr(SPARE.format(n="n")).alias("spare"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """bucket, wide: the buckets with documents of several components, and of how many."""
+    return rows.groupBy("bucket").agg(F.countDistinct("label").alias("wide")).where("wide > 1")
+
+
+def _sharing(rows: DataFrame, twos: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (bucket, id, label, cells) and pairs (a, b, p, q, cells) of documents that agree with documents of other components
+    in as many cells as with one similar document alone. Copies agree with each other in all cells: those don't count here."""
+    spare = freeze(_spare(named), "spare_cells")
+    for _ in range(ROUNDS):
+        rows = freeze(rows.join(_mixed(rows), "bucket", "left_semi"), "shared_buckets")
+        agreed = rows.select("id", "cells").unionByName(twos.select(F.explode(F.array("a", "b")).alias("id"), "cells"))
+        able = freeze(agreed.groupBy("id").agg(F.sum("cells").alias("cells")).join(spare, "id").where("cells > spare").select("id"), "sharing_sets")
+        rows = rows.join(able, "id", "left_semi")
+        twos = freeze(twos.join(able.withColumnRenamed("id", "a"), "a", "left_semi").join(
+            able.withColumnRenamed("id", "b"), "b", "left_semi"), "shared_twos")
+    return freeze(rows, "sharing_rows"), twos
+
+
+def _rarer(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Every document's rows without those of its most mixed buckets, up to its spare cells (a prefix filter).
+
+    Buckets have one order for all documents. What two similar ones drop of their common buckets are the first of these in that order,
+    the larger spare at most, and they have a cell more in common: a bucket is left to both."""
+    rows = rows.join(_mixed(rows), "bucket").join(_spare(named), "id")
+    order = Window.partitionBy("id").orderBy(F.desc("wide"), "bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("upto", F.sum("cells").over(order)).where("upto > spare").select("bucket", "id", "label", "cells")
+
+
+def _across(met: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all documents of different components that may be similar: a row for every member of a bucket,
+    however many components meet there."""
     named = reps.join(label, F.col("rep") == F.col("node"), "left").select(
         "id", "rep", "n", F.coalesce("component", "rep").alias("label"))
     named = freeze(named, "labelled_sets")
-    small = named.groupBy("label").agg(F.min("n").alias("least"), F.countDistinct("rep").alias("members"))
 
     # A pair's cells lie in as many rows of met as parts hold them: they are summed up before anything is joined.
     twos = freeze(met.where("kind = 2").groupBy("a", "b").agg(F.sum("c").alias("cells")), "buckets_of_two")
@@ -501,33 +507,14 @@ def _across(met: DataFrame, stars: DataFrame, reps: DataFrame, described: DataFr
     apart = pairs.join(of, "id").join(named.select(F.col("id").alias("first"), F.col("label").alias("own")).distinct(), "first").where(
         "label <> own").select("first", "id").distinct()
     unlike = agreed.join(apart, ["first", "id"], "left_semi").select("bucket").distinct()
-    members = agreed.join(unlike, "bucket", "left_semi").join(of, "id").groupBy("bucket", "label").agg(F.max("cells").alias("cells"))
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    members = freeze(members.join(mixed, "bucket"), "mixed_buckets")
-    left, right = members.alias("x"), members.alias("y")
-    met_labels = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label"))).select(
-        F.col("x.label").alias("p"), F.col("y.label").alias("q"), F.col("x.cells").alias("cells"))
+    rows = agreed.join(unlike, "bucket", "left_semi").join(of, "id").select("bucket", "id", "label", "cells")
     twos = twos.join(of.select(F.col("id").alias("a"), F.col("label").alias("p")), "a").join(
-        of.select(F.col("id").alias("b"), F.col("label").alias("q")), "b").where("p <> q").select(
-        F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "cells")
-    counted = met_labels.unionByName(twos).groupBy("p", "q").agg(F.sum("cells").alias("cells"))
-    counted = counted.join(small.select(F.col("label").alias("p"), F.col("least").alias("lp"), F.col("members").alias("mp")), "p").join(
-        small.select(F.col("label").alias("q"), F.col("least").alias("lq"), F.col("members").alias("mq")), "q")
-    close = counted.where("cells >= 1 + least(lp, lq) div 16")
-    # The smaller component asks, the larger one is asked, in pieces.
-    close = freeze(close.select(F.when(F.col("mp") <= F.col("mq"), F.col("p")).otherwise(F.col("q")).alias("asking"),
-                                F.when(F.col("mp") <= F.col("mq"), F.col("q")).otherwise(F.col("p")).alias("asked"),
-                                F.ceil(F.greatest("mp", "mq") / 2000).cast("int").alias("pieces")), "close_labels")
-    bits = described.where("kind = 0").select(F.col("a").alias("rep"), F.col("b").alias("n"), "bits")
-    own = named.where("id = rep").select("rep", "n", "label")
-    wanted = close.select(F.col("asking").alias("label")).union(close.select("asked")).distinct()
-    sketches = freeze(own.join(wanted, "label").distinct().join(bits, ["rep", "n"]).dropDuplicates(["rep", "n"]), "bit_sketches")
-    targets = sketches.join(close.select(F.col("asked").alias("label"), "pieces").distinct(), "label").select(
-        "label", F.pmod(F.xxhash64("rep"), "pieces").cast("int").alias("piece"), F.col("rep").alias("id"), "n", "bits")
-    askers = sketches.join(close.withColumnRenamed("asking", "label"), "label").select(
-        F.col("asked").alias("label"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("rep").alias("id"),
-        F.col("n").alias("n"), F.col("bits").alias("bits"))
-    return targets.groupBy("label", "piece").cogroup(askers.groupBy("label", "piece")).applyInArrow(_near, "a long, b long").distinct()
+        of.select(F.col("id").alias("b"), F.col("label").alias("q")), "b").where("p <> q")
+    rows, twos = _sharing(freeze(rows, "unlike_buckets"), freeze(twos, "unlike_twos"), named)
+    rows = freeze(_rarer(rows, named), "rare_buckets")
+    firsts = rows.groupBy("bucket").agg(F.min("id").alias("a"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    stars = rows.join(firsts.select("bucket", "a"), "bucket").where("id <> a").select("a", F.col("id").alias("b"))
+    return stars.unionByName(twos.select("a", "b")).distinct()
 
 
 def _of_sets(pairs: DataFrame, reps: DataFrame) -> DataFrame:

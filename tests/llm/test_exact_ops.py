@@ -204,6 +204,20 @@ def test_shingles_of_a_few_copies_stay_in_the_sketches_of_a_large_table(spark):
     assert neardup._hot(described.where("kind = 1")).tolist() == [7, 9]
 
 
+def test_a_bucket_of_many_components_adds_as_many_rows_as_it_has_members(spark):
+    """Not its pairs: 40 unlike documents meet in a bucket. Two of them have a rarer one in common, which the others drop for."""
+    sizes = [(k, k, 64) for k in range(40)]                     # 3 spare cells each: 4 are common to two similar documents
+    reps = spark.createDataFrame(sizes, "id long, rep long, n long")
+    label = spark.createDataFrame([], "node long, component long")
+    rows = [(1, 7, k, 5, 0) for k in range(40)]
+    met = spark.createDataFrame(rows, neardup.FIRST_SCHEMA)
+    edges = [tuple(r) for r in neardup._across(met, reps, label).collect()]
+    assert sorted(edges) == [(0, k) for k in range(1, 40)]
+    rows = [(1, 7, k, 3, 0) for k in range(40)] + [(1, 8, k, 1, 5) for k in (5, 6, 9)]
+    met = spark.createDataFrame(rows, neardup.FIRST_SCHEMA)
+    assert sorted(map(tuple, neardup._across(met, reps, label).collect())) == [(5, 6), (5, 9)]
+
+
 def test_near_duplicates_of_null_ids_and_of_nothing(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c"), (4, None)], "doc_id long, text string")
     got = {tuple(r) for r in neardup.classes(df).select("doc_id", "n_shingles", "component_id").collect()}
