@@ -19,10 +19,11 @@ def frozen_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tarnwatch/{spark.sparkContext.applicationId}"
 
 
-def freeze(df: DataFrame, label: str = "table") -> DataFrame:
+def freeze(df: DataFrame, label: str = "table", **options: str | int) -> DataFrame:
+    """df, written and read back. `options` are those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{frozen_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

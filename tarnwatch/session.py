@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 # Settings every job of this package relies on. Sizes (shuffle partitions,
@@ -15,6 +18,16 @@ BASE_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# What a query has shuffled goes when it ends. Else it stays on disk until the driver happens to collect its garbage.
+SPENT_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+# A join sorts no large table if the other one's parts can be hashed, and splits a hot key even if what follows has to be shuffled again.
+LARGE_JOIN = {
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+# Files are not packed into parts of 128 MB; no part has more rows than a file.
+FILE_BY_FILE = {"spark.sql.files.openCostInBytes": str(1 << 40)}
+
 
 def build_session(app_name: str = "tarnwatch", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -29,3 +42,17 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read, as the cluster names it; else one in the warehouse, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+@contextmanager
+def settings(spark: SparkSession, added: Mapping[str, str]) -> Iterator[None]:
+    """Settings for the queries begun inside; afterwards the session has its own again."""
+    known = spark.conf.getAll
+    before = {k: known.get(k) for k in added}
+    try:
+        for k, v in added.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

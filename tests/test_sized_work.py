@@ -1,7 +1,9 @@
 """Work that has to grow no faster than the rows: how often tables are read, in how many parts, and what is sent."""
 
+import time
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import bootstrap as bs
@@ -44,6 +46,72 @@ def test_models_of_the_same_rows_share_a_split(spark, monkeypatch):
     assert len(seen) == 2       # once for both models, once rebuilt from keys and seed for the gates
 
 
+def test_linear_fits_read_bounded_files_and_shuffle_nothing(spark, monkeypatch):
+    seen, linear, before = [], tr.logistic, dict(spark.conf.getAll)
+    def kept(*a, **k):
+        estimator = linear(*a, **k)
+        def fit(rows):
+            sizes = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+            seen.append((rows._jdf.queryExecution().executedPlan().toString(), *sizes, rows.columns))
+            return estimator.fit(rows)
+        return SimpleNamespace(fit=fit)
+    monkeypatch.setattr(tr, "logistic", kept)
+    monkeypatch.setattr(tr, "FIT_ROWS", 200)
+    assert metrics.candidate_evaluation(spark, SF).count() == 1
+    assert len(seen) == 2 and dict(spark.conf.getAll) == before
+    for plan, most, rows, columns in seen:
+        assert "Exchange" not in plan and most <= 200 and rows > 4000 and "line_id" not in columns
+
+
+def test_shuffles_of_the_model_table_go_when_it_is_written(spark, monkeypatch):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    def files():
+        found = manager.getAllFiles().iterator()
+        names = set()
+        while found.hasNext():
+            names.add(found.next().getName())
+        return {x for x in names if x.startswith("shuffle_")}
+    class Seen(Exception):
+        pass
+    def stop(*a, **k):
+        raise Seen
+    monkeypatch.setattr(tr, "training_parts", stop)
+    before = files()
+    with pytest.raises(Seen):
+        metrics.candidate_evaluation(spark, SF)
+    until = time.time() + 10
+    while files() - before and time.time() < until:     # they are removed in the background
+        time.sleep(0.1)
+    assert not files() - before
+
+
+def test_lines_meet_by_part_only_unless_their_ids_may_name_another(spark, tmp_path, monkeypatch):
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double"
+    whole = [(o, 1, o % 3, s, 5.5, 7.0, 0.1) for o in range(40) for s in (1, 2)]
+    holed = [(1, 2, 3, None, 9.0, 1.0, 0.1), (1, None, 2, 3, 9.0, 1.0, 0.1), (None, 1, 2, 3, 9.0, 1.0, 0.1), (1, 2, 3, 9, None, 1.0, 0.1),
+             (5, 1, None, 2, 5.5, 1.0, 0.1), (5, 1, 2, None, None, None, None), (-1, 1, 2, -3, -0.0, 1.0, 0.1), (-1, 1, 2, -3, 0.0, 1.0, 0.1)]
+    spark.createDataFrame([*whole, *whole, *holed, *holed], line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = [(0, 10, 900.0), (1, 20, 901.0), (1, 20, 901.0), (2, 30, 902.0), (3, 40, 903.0), (None, 50, 904.0), (7, 60, 905.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    class Seen(Exception):
+        pass
+    def stop(df, *a, **k):
+        raise Seen(df)
+    monkeypatch.setattr(metrics, "freeze", stop)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(Seen) as seen:
+            metrics.candidate_evaluation(spark, str(tmp_path))
+        found = seen.value.args[0]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l_partkey") == 4 and plan.count("Exchange") == 5
+        rows, every = [tuple(r) for r in found.collect()], {tuple(r) for r in metrics.model_table(spark, str(tmp_path)).collect()}
+        assert len(rows) == len({r[0] for r in rows}) == 80 + 5 and {r[0] for r in rows} == {r[0] for r in every} and set(rows) <= every
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_copies_are_sorted_in_parts_of_bounded_size(spark):
     rows = spark.range(50).select((F.col("id") % 7).alias("k"), F.lit("x").alias("v"))
     found = rc.collapsed(rows, ["k"])
