@@ -20,11 +20,7 @@ BASE_CONF = {
 
 # What a query has shuffled goes when it ends. Else it stays on disk until the driver happens to collect its garbage.
 SPENT_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-# A join sorts no large table if the other one's parts can be hashed, and splits a hot key even if what follows has to be shuffled again.
-LARGE_JOIN = {
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-}
+FIRST_PARTS = 1000          # of a large join, before Spark merges small ones
 # Files are not packed into parts of 128 MB; no part has more rows than a file.
 FILE_BY_FILE = {"spark.sql.files.openCostInBytes": str(1 << 40)}
 
@@ -38,6 +34,18 @@ def build_session(app_name: str = "tarnwatch", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def large_join(spark: SparkSession) -> dict[str, str]:
+    """Settings for a join of large tables: sorts nothing if the other table's parts can be hashed, splits a hot key even if what follows
+    has to be shuffled again, and starts with many parts, which Spark merges to its advisory size, so that few rows spill at a time."""
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    given = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(first, None) or 0))
+    return {
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        first: str(max(FIRST_PARTS, given)),
+    }
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read, as the cluster names it; else one in the warehouse, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ from tarnwatch.operators import training as tr
 from tarnwatch.operators.split import only, stratified_split
 from tarnwatch.plans.freeze import freeze
 from tarnwatch.plans.ordering import quantiles
-from tarnwatch.session import LARGE_JOIN, SPENT_SHUFFLES, settings
+from tarnwatch.session import SPENT_SHUFFLES, large_join, settings
 from tarnwatch.workload.base import SCORED_SQL, query, rounded, scored_orders, table
 
 RANKED_SQL = f"""
@@ -365,7 +365,7 @@ def boosted_trees_training_run(spark, sf):
 
 @query("candidate_evaluation")
 def candidate_evaluation(spark, sf):
-    with settings(spark, SPENT_SHUFFLES | LARGE_JOIN):
+    with settings(spark, SPENT_SHUFFLES | large_join(spark)):
         data = freeze(distinct_model_table(spark, sf), "model-table", compression="zstd")
     parts = tr.training_parts(data, key=["line_id"], label="label", keep=["label", *FEATURES])
     both = {"key": ["line_id"], "label": "label", "parts": parts}

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwatch import session
 from tarnwatch.operators import bootstrap as bs
 from tarnwatch.operators import reconcile as rc
 from tarnwatch.operators import training as tr
@@ -112,6 +113,14 @@ def test_lines_meet_by_part_only_unless_their_ids_may_name_another(spark, tmp_pa
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_large_joins_start_with_many_parts(spark):
+    before = dict(spark.conf.getAll)
+    assert set(session.large_join(spark).values()) >= {str(session.FIRST_PARTS)}
+    with session.settings(spark, {"spark.sql.shuffle.partitions": "4000"}):
+        assert set(session.large_join(spark).values()) >= {"4000"}      # a cluster's own number is not made smaller
+    assert dict(spark.conf.getAll) == before
+
+
 def test_copies_are_sorted_in_parts_of_bounded_size(spark):
     rows = spark.range(50).select((F.col("id") % 7).alias("k"), F.lit("x").alias("v"))
     found = rc.collapsed(rows, ["k"])
