@@ -20,7 +20,7 @@ BASE_CONF = {
 
 # What a query has shuffled goes when it ends. Else it stays on disk until the driver happens to collect its garbage.
 SPENT_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-FIRST_PARTS = 1000          # of a large join, before Spark merges small ones
+FIRST_PARTS = 200           # of a large join, before Spark merges small ones; more would be sorted, and spilled, where they are written
 # Files are not packed into parts of 128 MB; no part has more rows than a file.
 FILE_BY_FILE = {"spark.sql.files.openCostInBytes": str(1 << 40)}
 
@@ -36,12 +36,13 @@ def build_session(app_name: str = "tarnwatch", master: str | None = None, **conf
 
 def large_join(spark: SparkSession) -> dict[str, str]:
     """Settings for a join of large tables: sorts nothing if the other table's parts can be hashed, splits a hot key even if what follows
-    has to be shuffled again, and starts with many parts, which Spark merges to its advisory size, so that few rows spill at a time."""
+    has to be shuffled again, and starts with many parts, which Spark merges to half its usual size, so that what follows need not spill."""
     first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     given = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(first, None) or 0))
     return {
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
         first: str(max(FIRST_PARTS, given)),
     }
 
